@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import chat_windows, read_windows
 from .html import extract_text
+from .minhash import Similarity, near_duplicates
 from .quality import quality_report
 from .sentencepiece import Model, decode_column, encode_column, ids_digest
 from .topk import topk_search
@@ -22,6 +23,11 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_duplicates(docs, Similarity(words=3, percent=85))
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return topk_search(rows, F.col("vec_id") % 50 == 0, k=5)
@@ -99,6 +105,7 @@ SELECT u.page_id, host, path, m.rule, coalesce(m.v, CASE WHEN k LIKE '%.cheap-pi
 FROM u LEFT JOIN m USING (page_id)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_topk_search": op2_topk_search,
     "op3_quality_rules": op3_quality_rules,
     "op4_chat_format": op4_chat_format,
