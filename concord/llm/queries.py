@@ -11,6 +11,7 @@ from .html import extract_text
 from .minhash import Similarity, near_duplicates
 from .quality import quality_report
 from .sentencepiece import Model, decode_column, encode_column, ids_digest
+from .suffix import suffix_dedup
 from .topk import topk_search
 from .urls import PATTERNS, host_rules, pattern_rules, url_filter
 
@@ -62,6 +63,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), ids_digest(F.col("ids")).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = suffix_dedup(docs, length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 _BLANK = r"[\x20\x09-\x0D]"
 _OP2 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_html_extract": op6_html_extract,
     "op7_sentencepiece": op7_sentencepiece,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE: dict[str, str] = {
     "op2_topk_search": _OP2,
