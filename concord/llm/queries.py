@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import chat_windows, read_windows
 from .html import extract_text
+from .linededup import line_dedup
 from .minhash import Similarity, near_duplicates
 from .quality import quality_report
 from .sentencepiece import Model, decode_column, encode_column, ids_digest
@@ -63,6 +64,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), ids_digest(F.col("ids")).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = line_dedup(docs, removed="n_removed")
+    return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = suffix_dedup(docs, length=400)
@@ -119,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_html_extract": op6_html_extract,
     "op7_sentencepiece": op7_sentencepiece,
+    "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE: dict[str, str] = {
