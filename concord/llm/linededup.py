@@ -75,9 +75,10 @@ def letter_counts(line: Column) -> Column:
 
 def counts_allow(a: Column, b: Column, k: int) -> Column:
     """Whether packed counts differ by 2k at most; each count only modulo 16, so no true pair fails."""
+    nibble = lambda x, i: F.shiftrightunsigned(x, 4 * i).bitwiseAND(F.lit(15).cast("long"))
     total = F.lit(0).cast("long")
     for i in range(len(LETTERS)):
-        d = (F.shiftrightunsigned(a, 4 * i) - F.shiftrightunsigned(b, 4 * i)).bitwiseAND(F.lit(15).cast("long"))
+        d = (nibble(a, i) - nibble(b, i)).bitwiseAND(F.lit(15).cast("long"))
         total = total + F.least(d, F.lit(16).cast("long") - d)
     return total <= 2 * k
 

@@ -10,8 +10,9 @@ from .chat import chat_windows, read_windows
 from .html import extract_text
 from .linededup import line_dedup
 from .minhash import Similarity, near_duplicates
+from .mixing import Mix, label_domains, mix_rates
 from .quality import quality_report
-from .sentencepiece import Model, decode_column, encode_column, ids_digest
+from .sentencepiece import Model, encode_column, ids_digest
 from .suffix import suffix_dedup
 from .topk import topk_search
 from .urls import PATTERNS, host_rules, pattern_rules, url_filter
@@ -60,10 +61,19 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = Model.load(PIECES)
-    out = decode_column(encode_column(docs, model), model, out="decoded")
+    out = encode_column(docs, model, decoded="decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), ids_digest(F.col("ids")).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labelled = label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    mix = Mix()
+    out = mix_rates(docs, labelled, mix, keep=False)
+    shares = [(F.get("mix_cell", F.lit(i)) / 32).alias(f"p_{d}") for i, d in enumerate(mix.names)]
+    return out.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *shares, F.round("mix_rate", 6).alias("rate"), F.col("mix_copies").alias("n_copies"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = line_dedup(docs, removed="n_removed")
@@ -126,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_html_extract": op6_html_extract,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

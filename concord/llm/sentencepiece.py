@@ -9,7 +9,8 @@ set without that property is solved over whole texts.
 Ties of the score go to the path whose last piece is longer. Nothing is trained: the pieces and scores come from a file.
 
 Defined cases: a null text encodes as null, an empty one as no pieces; texts of any length are whole; repeated rows get
-a row each; other columns pass through.
+a row each; other columns pass through. A marker in the text itself
+decodes to a space; every other text decodes to itself.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 MARK = "▁"
 #: Stretches that a worker remembers.
 CACHE = 400_000
 #: Stretches longer than this (code points) are solved anew, so the cache is bounded in bytes too.
 CACHE_CHARS = 64
+#: Rows at a time in a worker.
+ROWS = 128
 #: A model of more pieces than this is refused: its trie goes to every executor.
 MAX_PIECES = 1_000_000
 
@@ -189,47 +192,65 @@ class Encoder:
         return out
 
 
-def decode(model: Model, ids: list[int]) -> str:
-    """The text of ids: bytes joined and read as UTF-8, markers back to spaces, without the leading one."""
-    byte = {i: b for b, i in enumerate(model.byte_ids)}
-    raw = b"".join(bytes([byte[i]]) if i in byte else model.pieces[i].encode() if model.matched[i] else b"" for i in ids)
-    text = raw.decode("utf-8", "replace").replace(MARK, " ")
-    return text[1:] if text.startswith(" ") else text
+class Decoder:
+    """The text of ids: pieces and bytes joined and read as UTF-8, markers back to spaces, without the leading one."""
+
+    def __init__(self, model: Model):
+        self.parts = {i: p.encode() if ok else b"" for i, (p, ok) in enumerate(zip(model.pieces, model.matched, strict=True))}
+        self.parts |= {i: bytes([b]) for b, i in enumerate(model.byte_ids)}
+
+    def decode(self, ids) -> str:
+        text = b"".join(map(self.parts.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        return text[1:] if text.startswith(" ") else text
 
 
 def _shared(df: DataFrame, model: Model):
     return df.sparkSession.sparkContext.broadcast(model)
 
 
-def encode_column(df: DataFrame, model: Model, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with the ids of a text column."""
-    sent = _shared(df, model)
+def _with_columns(df: DataFrame, make, names: list[str], kinds: list) -> DataFrame:
+    """``df`` with more columns, which ``make()`` computes from a slice of rows; few rows at a time bound the memory."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, *of(part)], names=[*part.schema.names, *names])
+
+    return df.mapInArrow(run, schema)
+
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def encode_column(df: DataFrame, model: Model, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``df`` with the ids of a text column and, if ``decoded`` names a column, the text that they decode to."""
+    sent, at = _shared(df, model), df.columns.index(text)
+
+    def make():
         enc = Encoder(sent.value)
-        for s in batches:
-            yield pd.Series([None if x is None else enc.encode(x) for x in s])
+        dec = Decoder(sent.value)
 
-    return df.withColumn(out, F.pandas_udf(run, "array<int>")(F.col(text)))
+        def of(part: pa.RecordBatch) -> list[pa.Array]:
+            ids = [None if x is None else enc.encode(x) for x in part.column(at).to_pylist()]
+            cols = [pa.array([None if x is None else np.array(x, dtype=np.int32) for x in ids], type=pa.list_(pa.int32()))]
+            if decoded:
+                cols.append(pa.array([None if x is None else dec.decode(x) for x in ids], type=pa.string()))
+            return cols
 
+        return of
 
-def decode_column(df: DataFrame, model: Model, ids: str = "ids", out: str = "text") -> DataFrame:
-    """``df`` with the text of a column of ids."""
-    sent = _shared(df, model)
+    return _with_columns(df, make, [out, *[decoded] * bool(decoded)], [T.ArrayType(T.IntegerType()), *[T.StringType()] * bool(decoded)])
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = sent.value
-        parts: dict[int, bytes] = {i: p.encode() if ok else b"" for i, (p, ok) in enumerate(zip(m.pieces, m.matched, strict=True))}
-        parts |= {i: bytes([b]) for b, i in enumerate(m.byte_ids)}
 
-        def one(x) -> str:
-            text = b"".join(map(parts.__getitem__, x.tolist() if hasattr(x, "tolist") else x)).decode("utf-8", "replace").replace(MARK, " ")
-            return text[1:] if text.startswith(" ") else text
+def decode_column(df: DataFrame, model: Model, ids: str = "ids", out: str = "text") -> DataFrame:
+    """``df`` with the text of a column of ids."""
+    sent, at = _shared(df, model), df.columns.index(ids)
 
-        for s in batches:
-            yield pd.Series([None if x is None else one(x) for x in s])
+    def make():
+        dec = Decoder(sent.value)
+        return lambda part: [pa.array([None if x is None else dec.decode(x) for x in part.column(at).to_pylist()], type=pa.string())]
 
-    return df.withColumn(out, F.pandas_udf(run, "string")(F.col(ids)))
+    return _with_columns(df, make, [out], [T.StringType()])
 
 
 def ids_digest(ids: Column) -> Column:
