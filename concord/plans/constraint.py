@@ -110,6 +110,9 @@ class Constraint:
             own = [rest_ & a & b for a in self.arms for b in (other.arms or (replace(other, arms=()),))] if other.arms else [a & rest_ & other for a in self.arms]
             live = _distinct(a for a in own if not a.is_empty())
             return live[0] if len(live) == 1 else Constraint(arms=tuple(live)) if live else NOTHING
+        bounds = [b[0] for b in (self.lo, self.hi, other.lo, other.hi) if b]
+        if any(not _comparable(bounds[0], b) for b in bounds[1:]):
+            return NOTHING
         kinds = self.kinds if other.kinds is None else other.kinds if self.kinds is None else self.kinds & other.kinds
         if self.value and other.value and not same(self.value[0], other.value[0]):
             return NOTHING
@@ -403,7 +406,7 @@ def _tighter(a: tuple | None, b: tuple | None, low: bool) -> tuple | None:
     if a is None or b is None:
         return a or b
     if not _comparable(a[0], b[0]):
-        return a
+        return None
     if _exact(a[0]) == _exact(b[0]):
         # One point: an open bound is tighter; the spelling of the lowest leaf stays.
         v = min(a[0], b[0], key=lambda x: arith.LEAVES.index(kind_of(x)) if kind_of(x) in NUMBERS else 0)
