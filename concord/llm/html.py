@@ -54,6 +54,8 @@ STOPS = frozenset("ul ol dl table td th body html article section div".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Za-z0-9]+")
+#: Elements that may be the one that holds the main text.
+CONTAINERS = frozenset(("", "html", "body", "div", "section", "td", "center"))
 #: Wrappers in all that may be broadcast, in bytes; beyond it they are joined by a shuffle.
 BROADCAST_BYTES = 4 << 20
 
@@ -245,7 +247,8 @@ def main_root(w: Wrapper) -> list[tuple[str, ...]]:
                 if mine and not inside:
                     roots.append((*path, k.key))
                 plain += walk(k, (*path, k.key), inside or mine)
-        best.append((plain, len(path), path))
+        if not path or path[-1].partition(".")[0] in CONTAINERS:
+            best.append((plain, len(path), path))
         return plain
 
     whole = walk(w, (), False)
