@@ -109,9 +109,11 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, rank) by Larsson and Sadakane's refinement, to the end: Kasai's walk needs the full order."""
     n = len(data)
     key = packed(data)
-    sa = np.argsort(key, kind="stable")
+    # The zeros beyond the end are no bytes: of equal numbers, the shorter suffix comes first and stands alone.
+    size = np.minimum(n - np.arange(n), 8) if n and not data[-1] else None
+    sa = np.argsort(key, kind="stable") if size is None else np.lexsort((size, key))
     sorted_ = key[sa]
-    head = np.r_[True, sorted_[1:] != sorted_[:-1]]
+    head = np.r_[True, (sorted_[1:] != sorted_[:-1]) | (False if size is None else size[sa][1:] != size[sa][:-1])]
     rank = np.empty(n + 1, dtype=np.int64)
     rank[n] = -1
     start = np.maximum.accumulate(np.where(head, np.arange(n), 0))
