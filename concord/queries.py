@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import arith, text
+from .functions import arith, grammar, text
 from .operators import collections as co, folds, graph, merge, verbs, vet
 from .plans import Schema, above, below, contains, enum, kind, len_, max_, min_, mulof, must, neq, nof, pattern, rest, unique, when
 from .plans.schema import Field, Link, breaking, subsumes
@@ -321,6 +321,23 @@ def nom_styles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.nom(t, "snake").alias("snake"), text.nom(t, "pascal").alias("pascal"), text.nom(t, "constant").alias("upper_"))
 
 
+@query("SELECT c_custkey, string_split(c_name, '#')[2] AS digits, regexp_matches(c_name, '^Customer#[0-9]*5$') AS five FROM customer")
+def parse_grammar(spark: SparkSession, d: str) -> DataFrame:
+    name = 'name = %s"Customer#" digits\ndigits = 1*d\nd = %x30-39\n'
+    five = 'name = %s"Customer#" *d %x35\nd = %x30-39\n'
+    tree = grammar.parse(name, F.col("c_name"))
+    return table(spark, d, "customer").select("c_custkey", F.variant_get(tree, "$.kids[0].src", "string").alias("digits"), grammar.parses(five, F.col("c_name")).alias("five"))
+
+
+@query("SELECT n_nationkey AS key, CASE WHEN n_nationkey % 5 = 3 THEN 'x' WHEN n_nationkey % 5 IN (1, 2) THEN 'seen' END AS mark, n_nationkey % 5 = 2 AS clash FROM nation WHERE n_nationkey % 5 <> 2 UNION ALL SELECT n_nationkey, NULL, true FROM nation WHERE n_nationkey % 5 = 2")
+def link_flow(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    own = n.select(F.col("n_nationkey").alias("key"), F.when(F.col("n_nationkey") % 5 >= 2, F.when(F.col("n_nationkey") % 5 <= 3, F.lit("x"))).alias("mark"))
+    links = n.where("n_nationkey % 5 in (1, 2)").select(F.col("n_nationkey").alias("dst"), F.lit("seen").alias("mark"))
+    out = graph.link_flow(links, own, "dst", "key", "mark")
+    return out.select("key", "mark", (F.size("conflict") > 0).alias("clash"))
+
+
 # ---- meets, defaults, differences
 
 
