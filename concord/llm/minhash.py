@@ -8,10 +8,10 @@ Banding. Documents that agree on all bins of a band share a bucket. At the thres
 probability (1 - 0.8^5)^32, 3e-6; at 0.85 it is 7e-9.
 
 Linking. Documents with equal sets are one class from the start. In every bucket each class is first held against the
-bucket's smallest one, its full set against the other's. Then, as long as a bucket has classes of several components,
-the classes outside its largest component are held against further members, 16, then 64, 256 and so on, until they have
-joined it or have met every member: no link is lost, no bucket is capped, and a large group of copies is not expanded
-into its pairs. Only pairs whose sizes allow the similarity are compared.
+bucket's smallest one, its full set against the other's. The classes of buckets that still hold several components are
+then joined on the rarest tokens of their full sets, which similar sets must share (prefix and position filters), and
+the pairs that come of it are held against each other. No link of a bucket is lost, no bucket is capped, and a large
+group of copies is not expanded into its pairs. Only pairs whose sizes allow the similarity are compared.
 
 Defined cases: a document without words, with null text, or of a null id is linked with nothing and kept; the same id
 twice is one node with both sets; other columns pass through; an empty table gives none.
@@ -31,9 +31,8 @@ from .scratch import Scratch
 from .shingles import shingle_sets
 
 BANDS, ROWS = 32, 5
-#: Members of a slot: what a class meets of a bucket at a time.
-SLOT = 16
-GROWTH = 4
+#: Counters of the order of tokens; a power of two. As int32 they are what a worker holds.
+COUNTERS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -171,32 +170,63 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), doc_id: str
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, pos, token): the tokens of each set that a similar set must share one of, in one global order.
+
+    The order is by how often a token's counter was hit, then by the token: rare ones come first. There are COUNTERS
+    counters, whatever the input; tokens that share one only blur the order, and any order finds all pairs.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(COUNTERS, dtype=np.int64)
+        for b in batches:
+            for s in b["shingles"]:
+                np.add.at(seen, s & (COUNTERS - 1), 1)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"at": at, "hits": seen[at]})
+
+    got = sets.mapInPandas(count, "at long, hits long").groupBy("at").agg(F.sum("hits").alias("hits")).where("hits > 1").toPandas()
+    hits = np.ones(COUNTERS, dtype=np.int32)
+    hits[got["at"].to_numpy()] = np.minimum(got["hits"].to_numpy(), 2**31 - 1)
+    sent = sets.sparkSession.sparkContext.broadcast(hits)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hits = sent.value
+        for b in batches:
+            out = []
+            for rep, s in zip(b["rep"], b["shingles"], strict=True):
+                n = len(s)
+                k = n - -(-percent * n // 100) + 1
+                own = s[np.lexsort((s, hits[s & (COUNTERS - 1)]))[:k]]
+                out.append((np.full(len(own), rep), np.full(len(own), n), np.arange(len(own)), own))
+            if out:
+                yield pd.DataFrame(dict(zip(("rep", "n", "pos", "token"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return sets.mapInPandas(cut, "rep long, n long, pos long, token long")
+
+
 def _rest(member: DataFrame, sets: DataFrame, comp: DataFrame, sim: Similarity, work: Scratch) -> DataFrame:
-    """Components after the buckets' other pairs: rounds of slots until every bucket is one component or all is met."""
-    first, width = 0, 1
-    while True:
-        named = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-        per = named.groupBy("key", "c").agg(F.count("*").alias("m"))
-        head = per.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("giant"), F.count("*").alias("comps"), F.sum("m").alias("all"))
-        # Buckets of several components, with as many slots as hold SLOT members each.
-        open_ = head.where("comps > 1").withColumn("slots", F.ceil(F.col("all") / SLOT).cast("long")).where(F.col("slots") > first)
-        rows = named.join(open_, "key").withColumn("slot", F.pmod(F.xxhash64("rep", "key"), F.col("slots")))
-        rows = work.cut(rows.select("key", "rep", "n", "hub", "c", "giant", "slot", "slots"))
-        if not rows.limit(1).count():
-            work.drop(rows)
-            return comp
-        # Those outside the bucket's largest component meet the next slots, counted from their own.
-        seek = rows.where("c <> giant").withColumn("step", F.explode(F.sequence(F.lit(first), F.least(F.lit(first + width), F.col("slots")) - 1)))
-        seek = seek.select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"), F.pmod(F.col("slot") + F.col("step"), F.col("slots")).alias("slot"))
-        met = rows.select("key", "slot", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"), "hub")
-        fits = (F.col("x") != F.col("y")) & (F.col("xc") != F.col("yc")) & _sizes_allow(F.col("xn"), F.col("yn"), sim.percent) & (F.col("y") != F.col("hub")) & (F.col("x") != F.col("hub"))
-        pairs = seek.join(met, ["key", "slot"]).where(fits).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        found = work.cut(_verified(pairs, sets, sim.percent))
-        named_ = comp.select(F.col("node"), "component")
-        ends = found.join(named_.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(named_.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        joined = work.cut(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), work))
-        old = comp.unionByName(joined.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-        nxt = work.cut(old.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-        work.drop(rows, found, joined)
-        comp = nxt
-        first, width = first + width, width * GROWTH
+    """Components after the other pairs of the buckets that still hold several.
+
+    Sets that are similar enough share a token of their prefixes, and the first one they share leaves room after it,
+    in both, for the common tokens that are still missing. Sets outside their bucket's largest component are joined on
+    that; a set whose rare tokens are its own meets nobody, however large its bucket is.
+    """
+    named = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    per = named.groupBy("key", "c").agg(F.count("*").alias("m"))
+    head = per.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("giant"), F.count("*").alias("comps")).where("comps > 1")
+    rows = named.join(head, "key")
+    both = work.cut(rows.groupBy("rep").agg(F.first("c").alias("c"), F.max((F.col("c") != F.col("giant")).cast("int")).alias("seeks")))
+    pre = work.cut(_prefixes(sets.join(both.select("rep"), "rep", "left_semi"), sim.percent).join(both, "rep"))
+    x, y = pre.where("seeks = 1").alias("x"), pre.alias("y")
+    need = F.lit(sim.percent) * (F.col("x.n") + F.col("y.n"))
+    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    fits = (F.col("x.c") != F.col("y.c")) & _sizes_allow(F.col("x.n"), F.col("y.n"), sim.percent) & ((100 + sim.percent) * room >= need)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+    found = work.cut(_verified(pairs, sets, sim.percent))
+    ends = found.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    joined = work.cut(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), work))
+    old = comp.unionByName(joined.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    out = work.cut(old.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+    work.drop(both, pre, found, joined)
+    return out
