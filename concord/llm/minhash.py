@@ -32,7 +32,11 @@ from .shingles import shingle_sets
 
 BANDS, ROWS = 32, 5
 #: Counters of the order of tokens; a power of two. As int32 they are what a worker holds.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
+
+
+#: Ids of documents with a bucket in common that may be broadcast, in bytes; beyond it they are shuffled.
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -140,7 +144,8 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), doc_id: str
     rows = reps.select("rep", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
     member = work.cut(rows.join(shared, "key"))
-    near = member.select(F.col("rep").alias("doc_id")).distinct()
+    near = work.cut(member.select(F.col("rep").alias("doc_id")).distinct())
+    near = F.broadcast(near) if 16 * near.count() <= BROADCAST_BYTES else near
     # A repeated id may have several sets; each stays a set of its own under that id.
     sets = work.cut(_full_sets(src.join(near, "doc_id"), sim).select(F.col("doc_id").alias("rep"), "shingles").distinct())
     hub_n = member.where("rep = hub").select("hub", F.col("n").alias("hub_n")).distinct()
