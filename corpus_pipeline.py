@@ -31,9 +31,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id. Repeated ids leave one row."""
-    lost = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    first = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return first.join(lost, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    work = Scratch(spark, "near")
+    lost = work.cut(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
+    twice = work.cut(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    kept = docs.join(_small(lost), "doc_id", "left_anti")
+    once = kept.join(_small(twice), "doc_id", "left_anti")
+    again = kept.join(_small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(again).select(*docs.columns)
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Ids to broadcast where they are few: a bound of 8 MB."""
+    return F.broadcast(ids) if 16 * ids.count() <= 8 << 20 else ids
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
