@@ -6,7 +6,7 @@ and read again, so plans stay flat, and what is already known is never joined ag
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -109,3 +109,20 @@ def link_flow(links: DataFrame, targets: DataFrame, dst: str, key: str, *fields:
     )
     met = meet(targets, sent.drop("_sent"), [key])
     return met.join(sent.select(key, "_sent"), key, "left").withColumn("conflict", F.array_union("conflict", F.coalesce("_sent", F.array().cast("array<string>")))).drop("_sent")
+
+
+def relation_check(e: DataFrame, acyclic: Sequence[str] = (), inverse: Mapping[str, str] | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(at, code, detail): nodes on cycles of relations that must have none, edges without their inverse, dangling edges."""
+    parts = [cycle_nodes(e, r).select(F.col("node").alias("at"), F.lit("relation_cycle").alias("code"), F.lit(r).alias("detail")) for r in acyclic]
+    for r, back in (inverse or {}).items():
+        parts.append(inverse_missing(e, r, back).select(F.col("src").alias("at"), F.lit("relation_inverse_missing").alias("code"), F.concat_ws(" ", F.lit(back), "dst").alias("detail")))
+    if nodes is not None:
+        parts.append(dangling(e, nodes).select(F.col("src").alias("at"), F.lit("rel_unresolved").alias("code"), F.concat_ws(" ", "rel", "dst").alias("detail")))
+    if not parts:
+        return e.sparkSession.createDataFrame([], "at string, code string, detail string")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def closure(e: DataFrame) -> DataFrame:
+    """(source, node, steps) for every pair with a way from one to the other, by the shortest."""
+    return reaches(e, e.select("src").distinct()).where("steps > 0")

@@ -191,3 +191,28 @@ def lift(v: Any) -> Constraint:
 
 def rename(schema: Schema, names: dict[str, str]) -> Schema:
     return replace(schema, fields=tuple(sorted((names.get(k, k), f) for k, f in schema.fields)))
+
+
+def close(schema: Schema) -> Schema:
+    """No other fields than its own."""
+    return replace(schema, closed=True)
+
+
+def open_(schema: Schema) -> Schema:
+    """Other fields are allowed again."""
+    return replace(schema, closed=False)
+
+
+def hide(schema: Schema, *names: str) -> Schema:
+    """Fields that are checked but not written."""
+    return replace(schema, fields=tuple((k, replace(f, hidden=f.hidden or k in names)) for k, f in schema.fields))
+
+
+def prefer(schema: Schema, rank: int = 0, **values: Any) -> Schema:
+    """Defaults for fields, at a rank."""
+    return replace(schema, fields=tuple((k, replace(f, defaults=(*f.defaults, (rank, values[k]))) if k in values else f) for k, f in schema.fields))
+
+
+def copy(schema: Schema, *names: str) -> Schema:
+    """Some of the fields, or all."""
+    return replace(schema, fields=tuple((k, f) for k, f in schema.fields if not names or k in names))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import arith, grammar, text
+from .functions import arith, grammar, output, text
 from .operators import collections as co, folds, graph, merge, verbs, vet
 from .plans import Schema, above, below, contains, enum, kind, len_, max_, min_, mulof, must, neq, nof, pattern, rest, unique, when
 from .plans.schema import Field, Link, breaking, subsumes
@@ -274,6 +274,12 @@ def rounding(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", arith.upper(x, "float").alias("up"), arith.lower(x, "float").alias("down"), arith.places(x.cast("decimal(18,4)"), 1).cast("double").alias("out"))
 
 
+@query("SELECT s_suppkey, upper(s_name) AS s_name, CAST(round_even(CAST(s_acctbal AS DECIMAL(18,4)), 0) AS BIGINT)::VARCHAR AS s_acctbal FROM supplier")
+def output_records(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("decimal(18,4)").alias("s_acctbal"))
+    return output.write_out(df, s_name=output.Output(case="upper"), s_acctbal=output.Output(places=0, kind="string"))
+
+
 # ---- text
 
 
@@ -482,6 +488,21 @@ def set_intersections(spark: SparkSession, d: str) -> DataFrame:
     return graph.set_intersections(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag")
 
 
+@query("SELECT CAST(x AS VARCHAR) AS \"at\", 'relation_cycle' AS code, 'next' AS detail FROM range(0, 3) t(x) UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'relation_inverse_missing', 'prev ' || (n_nationkey + 1) % 3 FROM nation WHERE n_nationkey < 2 UNION ALL SELECT '2', 'rel_unresolved', 'next 0'")
+def relation_check(spark: SparkSession, d: str) -> DataFrame:
+    ring = table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").cast("string").alias("src"), F.lit("next").alias("rel"), ((F.col("n_nationkey") + 1) % 3).cast("string").alias("dst"))
+    back = ring.where("src = '2'").select(F.col("dst").alias("src"), F.lit("prev").alias("rel"), F.col("src").alias("dst"))
+    nodes = table(spark, d, "nation").where("n_nationkey > 0").select(F.col("n_nationkey").cast("string").alias("node"))
+    return graph.relation_check(graph.union_edges(ring, back), ["next"], {"next": "prev"}, nodes)
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT src, dst FROM {_E} WHERE src LIKE 'n%' OR src LIKE 's%'), r AS (SELECT src AS source, dst AS node, 1 AS steps FROM e UNION ALL SELECT source, dst, steps + 1 FROM r JOIN e ON node = src) SELECT source, node, CAST(min(steps) AS INTEGER) AS steps FROM r GROUP BY 1, 2"
+)
+def closure(spark: SparkSession, d: str) -> DataFrame:
+    return graph.closure(_edges(spark, d).where("src like 'n%' or src like 's%'"))
+
+
 # ---- verbs
 
 

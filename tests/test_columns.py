@@ -159,3 +159,26 @@ def test_hash_ignores_order(spark):
     df = spark.range(50).withColumn("t", F.col("id").cast("string"))
     assert verbs.table_hash(df).first() == verbs.table_hash(df.orderBy(F.desc("id"))).first() != verbs.table_hash(df.limit(49)).first()
     assert Constraint().canon() == "any"
+
+
+def test_output(spark):
+    from concord.functions.output import Output
+
+    assert one(spark, Output(places=1).write(F.lit(0.25))) == 0.2 and one(spark, Output(significant=2).write(F.lit(1250.0))) == 1200.0
+    assert one(spark, Output(kind="string").write(F.lit(3.0))) == "3" and one(spark, Output(drop_empty=True).write(F.lit(""))) is None
+    with pytest.raises(ValueError):
+        Output(places=1, significant=1)
+
+
+def test_schema_wrappers(spark):
+    from concord.plans import schema as sc
+
+    s = sc.prefer(sc.hide(sc.close(Schema.of(a=kind("integer"), b=Field(kind("string"), optional=True))), "a"), b="x")
+    df = spark.createDataFrame([(1, None, True)], "a long, b string, c boolean")
+    assert [r["path"] for r in vet.findings(df, s, []).collect()] == ["c"]
+    assert s.fill(df).first()["b"] == "x" and s.visible(df).columns == ["b", "c"]
+    assert not vet.findings(df, sc.open_(s), []).count() and [k for k, _ in sc.copy(s, "b").fields] == ["b"]
+    assert sc.infer(df).get("a").constraint == kind("integer") and sc.lift({"k": 1}).admits({"k": 2})
+    met = merge.meet(df.drop("c"), df.drop("c"), ["a"]).first()
+    assert met["conflict"] == [] and contains(enum(1)).admits([1]) and unique().admits([1]) and rest(max_(1)).admits({}) and not when(min_(0), neq(1)).admits(1)
+    assert len_(1).admits("a") and mulof(2).admits(4) and nof(0, pattern("^a")).admits("b")
