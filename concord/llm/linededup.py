@@ -4,7 +4,7 @@ Two lines are near duplicates if at most ``max_edits`` (k) insertions, deletions
 one into the other, and both have ``min_chars`` code points at least. A line of length l is cut into k + 1 even
 segments; if a line is within k edits of it, one segment occurs in that line, at a place that the lengths and the
 segment's number narrow down to a few. Each line lists the hashes of those substrings for every length from l - k to l
-(its own segments among them); lines that share one are candidates, if 16 letters' counts differ by no more than 2k in
+(its own segments among them); lines that share one are candidates, if twelve letters' counts differ by no more than 2k in
 sum. Candidates are verified on their text by a banded bit-parallel automaton: one word for each number of errors, one
 bit for each of the 2k + 1 diagonals.
 
@@ -21,13 +21,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .graph import components
 from .scratch import Scratch
 
 #: Letters whose counts are compared before lines are.
-LETTERS = "etaoinsrhldcumg "
+LETTERS = "etaoinsrhld "
 #: Ids of candidate lines, or positions of removed lines, that may be broadcast, in bytes; beyond it they are shuffled.
 BROADCAST_BYTES = 8 << 20
 
@@ -37,49 +37,53 @@ class Near:
     max_edits: int = 2
     min_chars: int = 24
 
+    def __post_init__(self) -> None:
+        if self.min_chars < (self.max_edits + 1) ** 2:
+            raise ValueError("min_chars must be the square of max_edits + 1 at least")
 
-def segments(length: Column, k: int) -> list[tuple[Column, Column]]:
-    """(start, length) of each of the k + 1 segments of a line, the longer ones last."""
-    q, r = F.floor(length / (k + 1)).cast("int"), F.pmod(length, F.lit(k + 1))
-    out = []
-    for i in range(k + 1):
-        extra = F.greatest(F.lit(0), r - F.lit(k + 1 - i))  # longer segments before this one
-        out.append((q * i + extra, q + F.when(r > F.lit(k - i), 1).otherwise(0)))
-    return out
+
+def shifts(k: int) -> list[tuple[int, int, int]]:
+    """(segment number i, difference d, shift s): where segment i of a line d shorter may lie in a line.
+
+    A shift s is possible only if at most i edits lie before the segment and at most k - i after it:
+    -i <= s <= i and d - (k - i) <= s <= d + (k - i).
+    """
+    return [(i, d, s) for d in range(k + 1) for i in range(k + 1) for s in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)]
 
 
-def substring_keys(line: Column, k: int) -> Column:
+def substring_keys(line: Column, n: Column, k: int) -> Column:
     """Hashes of (segment number, substring) for the segments of every line that may be up to k shorter.
 
-    For a line d shorter and segment i from 0, a shift s of the segment is possible only if at most i edits lie before
-    it and at most k - i after it: -i <= s <= i and d - (k - i) <= s <= d + (k - i).
+    A line of length l has segments of l div (k + 1) code points, the last l mod (k + 1) of them one longer. One lambda
+    over the shifts keeps the generated code small.
     """
-    n = F.length(line)
-    keys = []
-    for d in range(k + 1):
-        for i, (start, size) in enumerate(segments(n - d, k)):
-            for s in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1):
-                at = start + s
-                keys.append(F.when((at >= 0) & (at + size <= n), F.xxhash64(F.lit(i), size, F.substring(line, at + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    specs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d"), F.lit(s).alias("s")) for i, d, s in shifts(k)])
+
+    def key(p: Column) -> Column:
+        q, r = F.call_function("div", n - p["d"], F.lit(k + 1)).cast("int"), (n - p["d"]) % (k + 1)
+        start = q * p["i"] + F.greatest(F.lit(0), r - (k + 1) + p["i"]) + p["s"]
+        size = q + (r > F.lit(k) - p["i"]).cast("int")
+        return F.xxhash64(p["i"], F.substring(line, start + 1, size))
+
+    return F.array_distinct(F.transform(specs, key))
 
 
 def letter_counts(line: Column) -> Column:
-    """Sixteen letters' counts modulo 16 in one long."""
+    """Twelve letters' counts modulo 32 in one long."""
     out = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
-        n = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
-        out = out.bitwiseXOR(F.shiftleft(n.bitwiseAND(F.lit(15).cast("long")), 4 * i))
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(31).cast("long")), 5 * i))
     return out
 
 
 def counts_allow(a: Column, b: Column, k: int) -> Column:
-    """Whether packed counts differ by 2k at most; each count only modulo 16, so no true pair fails."""
-    nibble = lambda x, i: F.shiftrightunsigned(x, 4 * i).bitwiseAND(F.lit(15).cast("long"))
+    """Whether packed counts differ by 2k at most; each count only modulo 32, so no true pair fails."""
+    count = lambda x, i: F.shiftrightunsigned(x, 5 * i).bitwiseAND(F.lit(31).cast("long"))
     total = F.lit(0).cast("long")
     for i in range(len(LETTERS)):
-        d = (nibble(a, i) - nibble(b, i)).bitwiseAND(F.lit(15).cast("long"))
-        total = total + F.least(d, F.lit(16).cast("long") - d)
+        d = (count(a, i) - count(b, i)).bitwiseAND(F.lit(31).cast("long"))
+        total = total + F.least(d, F.lit(32).cast("long") - d)
     return total <= 2 * k
 
 
@@ -121,9 +125,13 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str, near: Near) -> DataFra
 def near_lines(occ: DataFrame, near: Near, work: Scratch) -> DataFrame:
     """(node, component): near-duplicate lines by h1; lines without near duplicates are missing."""
     k = near.max_edits
-    distinct = occ.select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
-    keyed = distinct.select("h1", letter_counts(F.col("line")).alias("f"), F.explode(substring_keys(F.col("line"), k)).alias("key")).repartition("key")
-    a, b = keyed.alias("a"), keyed.alias("b")
+    distinct = occ.select("h1", "h2", "line").dropDuplicates(["h1", "h2"]).withColumn("n", F.length("line"))
+    keyed = distinct.select("h1", letter_counts(F.col("line")).alias("f"), F.explode(substring_keys(F.col("line"), F.col("n"), k)).alias("key")).repartition("key")
+    # Keys of one line only go before the join; what is left is small enough to write once and read twice.
+    w = Window.partitionBy("key")
+    shared = keyed.withColumn("lo", F.min("h1").over(w)).withColumn("hi", F.max("h1").over(w)).where("lo <> hi")
+    shared = work.cut(shared.select("h1", "f", "key"))
+    a, b = shared.alias("a"), shared.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") < F.col("b.h1")) & counts_allow(F.col("a.f"), F.col("b.f"), k))
     pairs = work.cut(met.select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b")).distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
@@ -133,7 +141,7 @@ def near_lines(occ: DataFrame, near: Near, work: Scratch) -> DataFrame:
     one, two = texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), texts.select(F.col("h1").alias("b"), F.col("line").alias("y"))
     links = work.cut(pairs.join(one, "a").join(two, "b").where(within_edits(F.col("x"), F.col("y"), k)).select("a", "b"))
     out = work.cut(components(links, work))
-    work.drop(pairs, texts, links)
+    work.drop(shared, pairs, texts, links)
     return out
 
 
