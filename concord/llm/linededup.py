@@ -5,7 +5,7 @@ one into the other, and both have ``min_chars`` code points at least. A line of
 segments; if a line is within k edits of it, one segment occurs in that line, at a place that the lengths and the
 segment's number narrow down to a few. Each line lists the hashes of those substrings for every length from l - k to l
 (its own segments among them); lines that share one are candidates, if twelve letters' counts differ by no more than 2k in
-sum. Candidates are verified on their text by a banded bit-parallel automaton: one word for each number of errors, one
+sum, and if all but k of sixteen parts of one lie in the other near their places. What is left is verified on their text by a banded bit-parallel automaton: one word for each number of errors, one
 bit for each of the 2k + 1 diagonals.
 
 Equal lines are one node. A class is a connected component of near duplicates; its first occurrence, by (doc_id, text
@@ -87,6 +87,20 @@ def counts_allow(a: Column, b: Column, k: int) -> Column:
     return total <= 2 * k
 
 
+def segments_found(a: Column, b: Column, k: int, parts: int = 16) -> Column:
+    """Whether all but k of the parts of ``a`` occur in ``b`` up to k places from their own; each edit spoils one part."""
+    n = F.length(a)
+
+    def found(i: Column) -> Column:
+        start = F.call_function("div", n * i, F.lit(parts)).cast("int")
+        size = F.call_function("div", n * (i + 1), F.lit(parts)).cast("int") - start
+        low = F.greatest(start - k, F.lit(0))
+        return F.when(F.substring(b, low + 1, start + size + k - low).contains(F.substring(a, start + 1, size)), 1).otherwise(0)
+
+    hits = F.aggregate(F.sequence(F.lit(0), F.lit(parts - 1)), F.lit(0), lambda s, i: s + found(i))
+    return hits >= parts - k
+
+
 def within_edits(a: Column, b: Column, k: int) -> Column:
     """Whether two texts are within k edits: an automaton over the diagonals, advanced by one character of ``b`` a step.
 
@@ -125,8 +139,10 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str, near: Near) -> DataFra
 def near_lines(occ: DataFrame, near: Near, work: Scratch) -> DataFrame:
     """(node, component): near-duplicate lines by h1; lines without near duplicates are missing."""
     k = near.max_edits
-    distinct = occ.select("h1", "h2", "line").dropDuplicates(["h1", "h2"]).withColumn("n", F.length("line"))
-    keyed = distinct.select("h1", letter_counts(F.col("line")).alias("f"), F.explode(substring_keys(F.col("line"), F.col("n"), k)).alias("key")).repartition("key")
+    distinct = occ.select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
+    # Counts and keys below the explode, once a line.
+    ready = distinct.withColumn("n", F.length("line")).select("h1", letter_counts(F.col("line")).alias("f"), substring_keys(F.col("line"), F.col("n"), k).alias("keys"))
+    keyed = ready.select("h1", "f", F.explode("keys").alias("key")).repartition("key")
     # Keys of one line only go before the join; what is left is small enough to write once and read twice.
     w = Window.partitionBy("key")
     shared = keyed.withColumn("lo", F.min("h1").over(w)).withColumn("hi", F.max("h1").over(w)).where("lo <> hi")
@@ -139,7 +155,9 @@ def near_lines(occ: DataFrame, near: Near, work: Scratch) -> DataFrame:
     ids = F.broadcast(ids) if 16 * ids.count() <= BROADCAST_BYTES else ids
     texts = work.cut(occ.select("h1", "line").join(ids, "h1", "left_semi").distinct())
     one, two = texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), texts.select(F.col("h1").alias("b"), F.col("line").alias("y"))
-    links = work.cut(pairs.join(one, "a").join(two, "b").where(within_edits(F.col("x"), F.col("y"), k)).select("a", "b"))
+    # Few bytes, but much work for each: dealt anew, so that no task gets them all.
+    met = pairs.join(one, "a").join(two, "b").repartition(int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    links = work.cut(met.where(segments_found(F.col("x"), F.col("y"), k)).where(within_edits(F.col("x"), F.col("y"), k)).select("a", "b"))
     out = work.cut(components(links, work))
     work.drop(shared, pairs, texts, links)
     return out
