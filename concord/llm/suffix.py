@@ -111,7 +111,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = packed(data)
     # The zeros beyond the end are no bytes: of equal numbers, the shorter suffix comes first and stands alone.
     size = np.minimum(n - np.arange(n), 8) if n and not data[-1] else None
-    sa = np.argsort(key, kind="stable") if size is None else np.lexsort((size, key))
+    sa = np.argsort(key) if size is None else np.lexsort((size, key))
     sorted_ = key[sa]
     head = np.r_[True, (sorted_[1:] != sorted_[:-1]) | (False if size is None else size[sa][1:] != size[sa][:-1])]
     rank = np.empty(n + 1, dtype=np.int64)
@@ -125,11 +125,11 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(todo):
             break
         i = sa[todo]
-        own, nxt = rank[i], rank[np.minimum(i + h, n)]
-        order = np.lexsort((nxt, own))
-        i, own, nxt = i[order], own[order], nxt[order]
+        pair = rank[i] * (n + 1) + (rank[np.minimum(i + h, n)] + 1)  # shards are far below 2^31 bytes
+        order = np.argsort(pair)
+        i, pair = i[order], pair[order]
         sa[todo] = i
-        new = np.r_[True, (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])]
+        new = np.r_[True, pair[1:] != pair[:-1]]
         head[todo] = new
         rank[i] = np.maximum.accumulate(np.where(new, todo, 0))
         h *= 2
