@@ -4,7 +4,7 @@ Two lines are near duplicates if at most ``max_edits`` (k) insertions, deletions
 one into the other, and both have ``min_chars`` code points at least. A line of length l is cut into k + 1 even
 segments; if a line is within k edits of it, one segment occurs in that line, at a place that the lengths and the
 segment's number narrow down to a few. Each line lists the hashes of those substrings for every length from l - k to l
-(its own segments among them); lines that share one are candidates, if twelve letters' counts differ by no more than 2k in
+(its own segments among them); lines that share one are candidates, if 24 letters' counts differ by no more than 2k in
 sum, and if all but k of sixteen parts of one lie in the other near their places. What is left is verified on their text by a banded bit-parallel automaton: one word for each number of errors, one
 bit for each of the 2k + 1 diagonals.
 
@@ -20,6 +20,7 @@ by \\n again, so a document that loses nothing keeps its text byte by byte.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,9 +28,9 @@ from .graph import components
 from .scratch import Scratch
 
 #: Letters whose counts are compared before lines are.
-LETTERS = "etaoinsrhld "
+LETTERS = "etaoinsrhld cumfpgwybvk."
 #: Ids of candidate lines, or positions of removed lines, that may be broadcast, in bytes; beyond it they are shuffled.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 24 << 20
 
 
 @dataclass(frozen=True)
@@ -68,37 +69,47 @@ def substring_keys(line: Column, n: Column, k: int) -> Column:
     return F.array_distinct(F.transform(specs, key))
 
 
-def letter_counts(line: Column) -> Column:
-    """Twelve letters' counts modulo 32 in one long."""
-    out = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
-        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
-        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(31).cast("long")), 5 * i))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, even where a lambda in it names the value for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def letter_counts(line: Column) -> list[Column]:
+    """24 letters' counts modulo 32, twelve to a long."""
+    out = []
+    for part in range(0, len(LETTERS), 12):
+        x = F.lit(0).cast("long")
+        for i, c in enumerate(LETTERS[part : part + 12]):
+            n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
+            x = x.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(31).cast("long")), 5 * i))
+        out.append(x)
     return out
 
 
-def counts_allow(a: Column, b: Column, k: int) -> Column:
+def counts_allow(a: list[Column], b: list[Column], k: int) -> Column:
     """Whether packed counts differ by 2k at most; each count only modulo 32, so no true pair fails."""
     count = lambda x, i: F.shiftrightunsigned(x, 5 * i).bitwiseAND(F.lit(31).cast("long"))
     total = F.lit(0).cast("long")
-    for i in range(len(LETTERS)):
-        d = (count(a, i) - count(b, i)).bitwiseAND(F.lit(31).cast("long"))
-        total = total + F.least(d, F.lit(32).cast("long") - d)
+    for x, y in zip(a, b, strict=True):
+        for i in range(12):
+            d = (count(x, i) - count(y, i)).bitwiseAND(F.lit(31).cast("long"))
+            total = total + F.least(d, F.lit(32).cast("long") - d)
     return total <= 2 * k
 
 
 def segments_found(a: Column, b: Column, k: int, parts: int = 16) -> Column:
     """Whether all but k of the parts of ``a`` occur in ``b`` up to k places from their own; each edit spoils one part."""
-    n = F.length(a)
 
-    def found(i: Column) -> Column:
-        start = F.call_function("div", n * i, F.lit(parts)).cast("int")
-        size = F.call_function("div", n * (i + 1), F.lit(parts)).cast("int") - start
-        low = F.greatest(start - k, F.lit(0))
-        return F.when(F.substring(b, low + 1, start + size + k - low).contains(F.substring(a, start + 1, size)), 1).otherwise(0)
+    def hits(n: Column) -> Column:
+        def found(i: Column) -> Column:
+            start = F.call_function("div", n * i, F.lit(parts)).cast("int")
+            size = F.call_function("div", n * (i + 1), F.lit(parts)).cast("int") - start
+            low = F.greatest(start - k, F.lit(0))
+            return F.when(F.substring(b, low + 1, start + size + k - low).contains(F.substring(a, start + 1, size)), 1).otherwise(0)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(parts - 1)), F.lit(0), lambda s, i: s + found(i))
 
-    hits = F.aggregate(F.sequence(F.lit(0), F.lit(parts - 1)), F.lit(0), lambda s, i: s + found(i))
-    return hits >= parts - k
+    return _let(F.length(a), hits) >= parts - k
 
 
 def within_edits(a: Column, b: Column, k: int) -> Column:
@@ -107,10 +118,7 @@ def within_edits(a: Column, b: Column, k: int) -> Column:
     Bit j + k of word e says that e errors reach the cell on diagonal j. A match keeps the diagonal; a substitution
     keeps it for one more error; an insertion comes from the diagonal above, a deletion from the one below.
     """
-    ca, cb = F.split(a, ""), F.split(b, "")
-    n, m = F.length(b), F.length(a)
     width = (1 << (2 * k + 1)) - 1
-    matches = F.transform(cb, lambda c, j: sum((F.when(F.coalesce(F.when(j + d >= 0, F.get(ca, F.greatest(j + d, F.lit(0)))) == c, F.lit(False)), 1 << (d + k)).otherwise(0) for d in range(-k + 1, k + 1)), F.when(F.coalesce(F.when(j - k >= 0, F.get(ca, F.greatest(j - k, F.lit(0)))) == c, F.lit(False)), 1).otherwise(0)))
     names = [f"r{e}" for e in range(k + 1)]
     start = F.struct(*[F.lit(((1 << (e + 1)) - 1) << k & width).alias(x) for e, x in enumerate(names)])
 
@@ -122,9 +130,15 @@ def within_edits(a: Column, b: Column, k: int) -> Column:
             new.append(state[f"r{e}"].bitwiseAND(match).bitwiseOR(moved).bitwiseAND(F.lit(width)))
         return F.struct(*[x.alias(name) for x, name in zip(new, names, strict=True)])
 
-    end = F.aggregate(matches, start, step)[names[-1]]
-    at = m - n + k
-    return F.when(F.abs(m - n) <= k, F.get(F.reverse(F.split(F.lpad(F.bin(end), 2 * k + 1, "0"), "")), F.greatest(at, F.lit(0))) == "1").otherwise(F.lit(False))
+    def judge(v: Column) -> Column:
+        ca, cb = v["a"], v["b"]
+        bit = lambda c, j, d: F.when(F.coalesce((j + d >= 0) & (F.get(ca, j + d) == c), F.lit(False)), 1 << (d + k)).otherwise(0)
+        matches = F.transform(cb, lambda c, j: reduce(lambda p, q: p + q, [bit(c, j, d) for d in range(-k, k + 1)]))
+        end = F.aggregate(matches, start, step)[names[-1]]
+        at = F.size(ca) - F.size(cb) + k
+        return F.when((at >= 0) & (at <= 2 * k), F.get(F.reverse(F.split(F.lpad(F.bin(end), 2 * k + 1, "0"), "")), at) == "1").otherwise(F.lit(False))
+
+    return _let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), judge)
 
 
 def _occurrences(docs: DataFrame, doc_id: str, text: str, near: Near) -> DataFrame:
@@ -140,26 +154,27 @@ def near_lines(occ: DataFrame, near: Near, work: Scratch) -> DataFrame:
     """(node, component): near-duplicate lines by h1; lines without near duplicates are missing."""
     k = near.max_edits
     distinct = occ.select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
-    # Counts and keys below the explode, once a line.
-    ready = distinct.withColumn("n", F.length("line")).select("h1", letter_counts(F.col("line")).alias("f"), substring_keys(F.col("line"), F.col("n"), k).alias("keys"))
-    keyed = ready.select("h1", "f", F.explode("keys").alias("key")).repartition("key")
+    ready = distinct.withColumn("n", F.length("line")).select("h1", substring_keys(F.col("line"), F.col("n"), k).alias("keys"))
+    keyed = ready.select("h1", F.explode("keys").alias("key")).repartition("key")
     # Keys of one line only go before the join; what is left is small enough to write once and read twice.
     w = Window.partitionBy("key")
     shared = keyed.withColumn("lo", F.min("h1").over(w)).withColumn("hi", F.max("h1").over(w)).where("lo <> hi")
-    shared = work.cut(shared.select("h1", "f", "key"))
-    a, b = shared.alias("a"), shared.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") < F.col("b.h1")) & counts_allow(F.col("a.f"), F.col("b.f"), k))
-    pairs = work.cut(met.select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b")).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    ids = work.cut(ids)
+    shared = work.cut(shared.select("h1", "key"))
+    ids = work.cut(shared.select("h1").distinct())
     ids = F.broadcast(ids) if 16 * ids.count() <= BROADCAST_BYTES else ids
     texts = work.cut(occ.select("h1", "line").join(ids, "h1", "left_semi").distinct())
+    counted = shared.join(texts.select("h1", *[f.alias(f"f{i}") for i, f in enumerate(letter_counts(F.col("line")))]), "h1")
+    counted = work.cut(counted)
+    a, b = counted.alias("a"), counted.alias("b")
+    fits = counts_allow([F.col("a.f0"), F.col("a.f1")], [F.col("b.f0"), F.col("b.f1")], k)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") < F.col("b.h1")) & fits)
+    pairs = work.cut(met.select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b")).distinct())
     one, two = texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), texts.select(F.col("h1").alias("b"), F.col("line").alias("y"))
     # Few bytes, but much work for each: dealt anew, so that no task gets them all.
-    met = pairs.join(one, "a").join(two, "b").repartition(int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    links = work.cut(met.where(segments_found(F.col("x"), F.col("y"), k)).where(within_edits(F.col("x"), F.col("y"), k)).select("a", "b"))
+    met = work.cut(pairs.join(one, "a").join(two, "b")).repartition(int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    links = work.cut(met.where(segments_found(F.col("x"), F.col("y"), k) & within_edits(F.col("x"), F.col("y"), k)).select("a", "b"))
     out = work.cut(components(links, work))
-    work.drop(shared, pairs, texts, links)
+    work.drop(shared, counted, pairs, texts, links)
     return out
 
 
