@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     master = spark.sparkContext.master
@@ -22,6 +22,6 @@ def _folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a written table."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/step-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

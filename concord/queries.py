@@ -580,7 +580,7 @@ def json_schema(spark: SparkSession, d: str) -> DataFrame:
 def stream_vet(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
-    from .lineage import _folder
+    from .lineage import shared_dir
     from .streaming import violations_by_window
 
     batch = table(spark, d, "events").select("event_id", "ts", "value")
@@ -588,7 +588,7 @@ def stream_vet(spark: SparkSession, d: str) -> DataFrame:
     s = Schema.of(value=kind("float") & min_(10.0) & max_(90.0))
     name = f"vet_{uuid.uuid4().hex}"
     out = violations_by_window(stream, s, "ts")
-    run = out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{_folder(spark)}/{name}").trigger(availableNow=True).start()
+    run = out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
