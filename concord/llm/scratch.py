@@ -6,22 +6,11 @@ temporary folder of its own. A lost executor costs a re-read of these files, nev
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    return _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="concord-"))
+from ..lineage import shared_dir
 
 
 class Scratch:
