@@ -144,7 +144,7 @@ def within_edits(a: Column, b: Column, k: int) -> Column:
 def _occurrences(docs: DataFrame, doc_id: str, text: str, near: Near) -> DataFrame:
     """(d, t, pos, h1, h2, line) of every line that is long enough."""
     x = F.col(text)
-    rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(x).alias("t"), F.posexplode(F.split(x, "\n")).alias("pos", "line"))
+    rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(x).alias("t"), F.posexplode_outer(F.split(x, "\n")).alias("pos", "line"))
     line = F.col("line")
     rows = rows.where(F.length(line) >= near.min_chars)
     return rows.select("d", "t", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line, F.lit(7)).alias("h2"), "line")
@@ -155,7 +155,8 @@ def near_lines(occ: DataFrame, near: Near, work: Scratch) -> DataFrame:
     k = near.max_edits
     distinct = occ.select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
     ready = distinct.withColumn("n", F.length("line")).select("h1", substring_keys(F.col("line"), F.col("n"), k).alias("keys"))
-    keyed = ready.select("h1", F.explode("keys").alias("key")).repartition("key")
+    # An outer explode: the filter on the array's size that an inner one infers would compute the keys again.
+    keyed = ready.select("h1", F.explode_outer("keys").alias("key")).repartition("key")
     # Keys of one line only go before the join; what is left is small enough to write once and read twice.
     w = Window.partitionBy("key")
     shared = keyed.withColumn("lo", F.min("h1").over(w)).withColumn("hi", F.max("h1").over(w)).where("lo <> hi")
@@ -184,7 +185,8 @@ def repeated_lines(docs: DataFrame, near: Near, doc_id: str, text: str, work: Sc
     comp = near_lines(occ, near, work)
     at = F.struct("d", "t", "pos")
     lines = occ.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    classed = lines.join(comp.withColumnRenamed("node", "h1"), "h1", "left")
+    classed = lines.join(comp.withColumnRenamed("node", "h1"), "h1", "left").where("n > 1 or component is not null")
+    classed = work.cut(classed)
     alone = classed.where("component is null and n > 1").select("h1", "h2", "first")
     many = classed.where("component is not null")
     tops = many.groupBy("component").agg(F.min("first").alias("top"))
