@@ -1,16 +1,17 @@
 """Line dedup: a segment-partition edit join over distinct lines, in DataFrame functions only.
 
 Two lines are near duplicates if at most ``max_edits`` (k) insertions, deletions and substitutions of code points turn
-one into the other, and both have ``min_chars`` code points at least. A line of length l is cut into k + 1 even
+one into the other, and both have ``near_chars`` code points at least. A line of length l is cut into k + 1 even
 segments; if a line is within k edits of it, one segment occurs in that line, at a place that the lengths and the
 segment's number narrow down to a few. Each line lists the hashes of those substrings for every length from l - k to l
 (its own segments among them); lines that share one are candidates, if 24 letters' counts differ by no more than 2k in
 sum, and if all but k of sixteen parts of one lie in the other near their places. What is left is verified on their text by a banded bit-parallel automaton: one word for each number of errors, one
 bit for each of the 2k + 1 diagonals.
 
-Equal lines are one node. A class is a connected component of near duplicates; its first occurrence, by (doc_id, text
-hash, line number), stays, the others go. Lines shorter than ``min_chars`` stay as they are. Classes carry 64 bits of
-their smallest line's hash.
+Equal lines are one node, whatever their length. A class is a connected component of near duplicates; its first
+occurrence, by (doc_id, text hash, line number), stays, the others go. ``near_chars`` is the square of k + 1, which the
+segments need, or ``min_chars`` if that is more. Lines shorter than ``min_chars`` stay as they are, and so do lines
+without a word that are shorter than ``near_chars``: they are layout. Classes carry 64 bits of their smallest line's hash.
 
 Defined cases: null text has no lines and stays null; rows of one id and one text are one document, and lose the same
 lines; null ids come first in the order; an empty table gives none; other columns pass through. Kept lines are joined
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .graph import components
 from .scratch import Scratch
+from .text import BLANKS
 
 #: Letters whose counts are compared before lines are.
 LETTERS = "etaoinsrhld cumfpgwybvk."
@@ -36,11 +38,12 @@ BROADCAST_BYTES = 24 << 20
 @dataclass(frozen=True)
 class Near:
     max_edits: int = 2
-    min_chars: int = 24
+    min_chars: int = 1
 
-    def __post_init__(self) -> None:
-        if self.min_chars < (self.max_edits + 1) ** 2:
-            raise ValueError("min_chars must be the square of max_edits + 1 at least")
+    @property
+    def near_chars(self) -> int:
+        """Code points from which lines are compared by edits; shorter ones are compared for equality."""
+        return max(self.min_chars, (self.max_edits + 1) ** 2)
 
 
 def shifts(k: int) -> list[tuple[int, int, int]]:
@@ -142,11 +145,12 @@ def within_edits(a: Column, b: Column, k: int) -> Column:
 
 
 def _occurrences(docs: DataFrame, doc_id: str, text: str, near: Near) -> DataFrame:
-    """(d, t, pos, h1, h2, line) of every line that is long enough."""
+    """(d, t, pos, h1, h2, line) of every line that takes part."""
     x = F.col(text)
     rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(x).alias("t"), F.posexplode_outer(F.split(x, "\n")).alias("pos", "line"))
     line = F.col("line")
-    rows = rows.where(F.length(line) >= near.min_chars)
+    worded = F.length(F.trim(line, F.lit(BLANKS))) > 0
+    rows = rows.where((F.length(line) >= near.near_chars) | (F.length(line) >= near.min_chars) & worded)
     return rows.select("d", "t", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line, F.lit(7)).alias("h2"), "line")
 
 
@@ -182,7 +186,7 @@ def near_lines(occ: DataFrame, near: Near, work: Scratch) -> DataFrame:
 def repeated_lines(docs: DataFrame, near: Near, doc_id: str, text: str, work: Scratch) -> DataFrame:
     """(d, t, gone): per document the positions of lines that repeat an earlier one."""
     occ = _occurrences(docs, doc_id, text, near)
-    comp = near_lines(occ, near, work)
+    comp = near_lines(occ.where(F.length("line") >= near.near_chars), near, work)
     at = F.struct("d", "t", "pos")
     lines = occ.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     classed = lines.join(comp.withColumnRenamed("node", "h1"), "h1", "left").where("n > 1 or component is not null")

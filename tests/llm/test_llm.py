@@ -397,6 +397,12 @@ def test_line_dedup_is_that_of_brute_force(spark, k):
     assert linededup.line_dedup(df, near).columns == df.columns and linededup.line_dedup(df.limit(0), near).count() == 0
 
 
+def test_equal_lines_of_every_length_are_removed(spark):
+    texts = ["All rights reserved.\n\nend\n \nshort one 1", "é\nAll rights reserved.\n\nend\n \nshort one 22", "é\nAll rights reserve\nends\nend", None]
+    got = [r["text"] for r in linededup.line_dedup(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [texts[0], "é\n\n ", "ends", None]
+
+
 def test_automaton_is_the_edit_distance(spark):
     rng = random.Random(12)
     rows = []
