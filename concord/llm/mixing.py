@@ -5,10 +5,12 @@ fitted on ``train_rows`` labelled rows at most (a hash order of the ids picks th
 with the highest information about the domain are used, so the model is a few thousand numbers.
 
 Rates. Posteriors are rounded to whole ``GRID``-ths, so documents fall into a bounded number of cells, whatever their
-number, and only the cells' token sums are needed from then on. Projected gradient steps minimize the squared
-difference between the expected domain totals and the targets, relative to the present totals, plus ``ridge`` times the squared distance of the rates
-from one; rates stay nonnegative. Every step is one aggregation over the cells; a cell's rate is a fold over the steps'
-residuals, so no state is kept between jobs. A document's rate is its cell's.
+number. A cell has the sums of its documents' tokens and of tokens times posteriors, not rounded; only these are needed
+from then on. The rates minimize the squared difference between the expected domain totals and the targets, relative to
+the present totals, plus ``ridge`` times the squared distance of the rates from one, and are nonnegative. The solution
+is max(0, 1 - p.y) for a cell of mean posteriors p, with one number of y for each domain, which Newton steps find. Every
+step is one aggregation over the cells; it ends when no domain is off the solution by more than ``tolerance`` times its
+target. A document's rate is its cell's.
 
 A rate r gives floor(r + u) copies, u in [0, 1) from the id's hash: the same in every run.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import Scratch
@@ -38,9 +41,9 @@ class Mix:
     train_rows: int = 20_000
     max_tokens: int = 128
     temperature: float = 2.0
-    ridge: float = 0.02
-    steps: int = 30
-    tolerance: float = 1e-4
+    ridge: float = 1e-7
+    steps: int = 100
+    tolerance: float = 1e-6
 
     @property
     def names(self) -> list[str]:
@@ -83,8 +86,8 @@ class Posterior:
     base: list[float]
     temperature: float
 
-    def cell(self, tokens: Column) -> Column:
-        """Whole GRID-ths for each domain; they sum to GRID."""
+    def share(self, tokens: Column) -> Column:
+        """The posterior of each domain."""
         if self.tokens:
             index = F.create_map(*[x for i, t in enumerate(self.tokens) for x in (F.lit(t), F.lit(i))])
             known = F.array(*map(F.lit, self.tokens))
@@ -96,10 +99,13 @@ class Posterior:
         step = lambda s, i: F.struct(*[(s[f"s{d}"] + F.get(w, i)).alias(f"s{d}") for d, w in enumerate(rows)])
         logs = F.aggregate(at, zero, step, lambda s: F.array(*[s[f"s{d}"] / self.temperature for d in range(len(rows))]))
         exps = F.transform(F.array(logs), lambda a: F.transform(a, lambda v: F.exp(v - F.array_max(a))))[0]
-        share = F.transform(F.array(exps), lambda a: F.transform(a, lambda v: v / F.aggregate(a, F.lit(0.0), lambda p, q: p + q)))[0]
-        # Cumulated shares are rounded, so the parts sum to GRID.
-        cum = lambda a, i: F.round(F.aggregate(F.slice(a, 1, i), F.lit(0.0), lambda p, q: p + q) * GRID).cast("int")
-        return F.transform(F.array(share), lambda a: F.transform(a, lambda v, i: cum(a, i + 1) - cum(a, i)))[0]
+        return F.transform(F.array(exps), lambda a: F.transform(a, lambda v: v / F.aggregate(a, F.lit(0.0), lambda p, q: p + q)))[0]
+
+
+def cell_of(share: Column) -> Column:
+    """Whole GRID-ths for each domain; they sum to GRID, as cumulated shares are rounded."""
+    cum = lambda a, i: F.round(F.aggregate(F.slice(a, 1, i), F.lit(0.0), lambda p, q: p + q) * GRID).cast("int")
+    return F.transform(F.array(share), lambda a: F.transform(a, lambda v, i: cum(a, i + 1) - cum(a, i)))[0]
 
 
 def fit_posterior(docs: DataFrame, labelled: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text") -> Posterior:
@@ -128,54 +134,84 @@ def fit_posterior(docs: DataFrame, labelled: DataFrame, mix: Mix, doc_id: str =
     return Posterior(mix.names, [r["token"] for r in best], weight, base, mix.temperature)
 
 
-def _rate(cell: Column, history: list[list[float]], mix: Mix) -> Column:
-    """The rate after the steps whose residuals are given: one projected step for each."""
-    eta = 1.0 / (1.0 + mix.ridge)
-    x = F.lit(1.0)
-    if not history:
-        return x
-    dot = lambda r: F.aggregate(F.zip_with(cell, r, lambda c, v: c * v / GRID), F.lit(0.0), lambda p, q: p + q)
-    steps = F.array(*[F.array(*map(F.lit, r)) for r in history])
-    return F.aggregate(steps, x, lambda x, r: F.greatest(F.lit(0.0), x - eta * (dot(r) + mix.ridge * (x - 1.0))))
+def _rate(mean: Column, y: list[float]) -> Column:
+    """The rate of a cell of these mean posteriors."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.get(mean, F.lit(i)) * F.lit(float(v)) for i, v in enumerate(y)), F.lit(0.0)))
 
 
-def solve_rates(cells: DataFrame, mix: Mix) -> list[list[float]]:
-    """Residuals of the projected gradient steps over (cell, tokens); a few numbers a step come to the driver.
+def solve_rates(cells: DataFrame, mix: Mix) -> list[float]:
+    """The number of each domain that the rates follow from; ``cells`` has tokens and mean.
 
-    A domain's residual counts relative to its share at rate one, so small domains converge as fast as large ones.
+    Minimizes the dual, which is convex and quadratic in pieces: sum of n x^2 / 2, plus y.target, plus ridge / 2 times
+    the sum of first y^2. A step that does not lower it enough is halved. A few numbers a step come to the driver.
     """
-    names, history = mix.names, []
+    d = len(mix.names)
+    y = np.zeros(d)
     whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     goal = sum(mix.targets.values())
-    first: list[float] = []
     if not whole or not goal:
-        return history
+        return list(y)
+    target = np.array([mix.targets[name] / goal for name in mix.names])
+    p = [F.get("mean", F.lit(i)) for i in range(d)]
+    n = F.col("tokens") / F.lit(whole)
+    x = F.col("x")
+    live = F.when(x > 0, n).otherwise(0.0)
+    sums = [F.sum(n * x * x / 2), *[F.sum(n * x * v) for v in p], *[F.sum(live * p[i] * p[j]) for i in range(d) for j in range(d)]]
+    first = None
+
+    def at(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        nonlocal first
+        got = np.array([float(v) for v in cells.withColumn("x", _rate(F.col("mean"), list(y))).agg(*sums).first()])
+        share = got[1 : d + 1]
+        first = np.maximum(share, 1e-6) if first is None else first
+        pull = mix.ridge * first
+        return got[0] + y @ target + pull @ (y * y) / 2, target + pull * y - share, got[d + 1 :].reshape(d, d) + np.diag(pull)
+
+    value, slope, bend = at(y)
+    size = 1.0
+    step = None
     for _ in range(mix.steps):
-        rate = _rate(F.col("cell"), history, mix)
-        got = cells.withColumn("x", rate).agg(*[F.sum(F.col("x") * F.col("tokens") * F.get("cell", F.lit(i)) / GRID) for i in range(len(names))]).first()
-        share = [float(v) / whole for v in got]
-        first = first or [max(v, 1e-6) for v in share]
-        r = [(v - mix.targets[d] / goal) / f for v, f, d in zip(share, first, names, strict=True)]
-        if history and max(abs(a - b) for a, b in zip(r, history[-1], strict=True)) < mix.tolerance:
+        if np.max(np.abs(slope) / np.maximum(target, 1e-6)) <= mix.tolerance:
             break
-        history.append(r)
-    return history
+        step = -np.linalg.solve(bend, slope) if step is None else step
+        new = at(y + size * step)
+        if new[0] <= value + 1e-4 * size * (slope @ step) + 1e-14 * abs(value):
+            y, (value, slope, bend), size, step = y + size * step, new, 1.0, None
+        else:
+            size /= 2
+    return [float(v) for v in y]
+
+
+def mixed_shares(rated: DataFrame, mix: Mix = Mix()) -> dict[str, float]:
+    """Each domain's expected share of the tokens at the rates that ``mix_rates`` gave; to be held against the targets."""
+    w = F.col("mix_tokens") * F.col("mix_rate")
+    got = rated.agg(*[F.sum(w * F.get("mix_share", F.lit(i))) for i in range(len(mix.names))]).first()
+    whole = sum(v or 0.0 for v in got)
+    return {name: (v or 0.0) / whole if whole else 0.0 for name, v in zip(mix.names, got, strict=True)}
 
 
 def mix_rates(docs: DataFrame, labelled: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
-    """``docs`` with ``mix_tokens``, ``mix_cell``, ``mix_rate`` and ``mix_copies``; the text column only if ``keep``."""
+    """``docs`` with ``mix_tokens``, ``mix_share``, ``mix_cell``, ``mix_rate`` and ``mix_copies``; the text column only if ``keep``.
+
+    ``mix_share`` has a document's posteriors, ``mix_cell`` its cell's mean posteriors in GRID-ths.
+    """
     work = Scratch(docs.sparkSession, "mixing")
     model = fit_posterior(docs, labelled, mix, doc_id, text)
     ws = words(F.col(text))
-    cell = model.cell(tokens_of(F.col(text), F.col("_mix_words")))
-    scored = docs.withColumn("_mix_words", ws).withColumn("mix_tokens", F.size("_mix_words").cast("long")).withColumn("mix_cell", cell).drop("_mix_words", *[text] * (not keep))
+    share = model.share(tokens_of(F.col(text), F.col("_mix_words")))
+    scored = docs.withColumn("_mix_words", ws).withColumn("mix_tokens", F.size("_mix_words").cast("long")).withColumn("mix_share", share).drop("_mix_words", *[text] * (not keep))
     if not keep:
         scored = work.cut(scored)
-    cells = work.cut(scored.groupBy(F.col("mix_cell").alias("cell")).agg(F.sum("mix_tokens").alias("tokens")))
-    history = solve_rates(cells, mix)
+    scored = scored.withColumn("_mix_key", cell_of(F.col("mix_share")))
+    n = F.sum("mix_tokens")
+    parts = [F.sum(F.col("mix_tokens") * F.get("mix_share", F.lit(i))) for i in range(len(mix.names))]
+    mean = F.when(n > 0, F.array(*[v / n for v in parts])).otherwise(F.transform("_mix_key", lambda c: c / F.lit(GRID)))
+    cells = work.cut(scored.groupBy("_mix_key").agg(n.alias("tokens"), mean.alias("mean")))
+    y = solve_rates(cells, mix)
     # At most one row for each way to split GRID: a size that does not depend on the documents.
-    rates = work.cut(cells.select(F.col("cell").alias("mix_cell"), _rate(F.col("cell"), history, mix).alias("mix_rate")))
-    out = scored.join(F.broadcast(rates), "mix_cell")
+    center = F.transform("mean", lambda v: v * F.lit(GRID)).alias("mix_cell")
+    rates = work.cut(cells.select("_mix_key", center, _rate(F.col("mean"), y).alias("mix_rate")))
+    out = scored.join(F.broadcast(rates), "_mix_key").drop("_mix_key")
     u = F.pmod(F.xxhash64(F.lit("mix"), F.col(doc_id)), F.lit(1 << 20)) / float(1 << 20)
     return out.withColumn("mix_copies", F.floor(F.col("mix_rate") + u).cast("long"))
 

@@ -70,7 +70,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     mix = Mix()
     out = mix_rates(docs, labelled, mix, keep=False)
-    shares = [(F.get("mix_cell", F.lit(i)) / 32).alias(f"p_{d}") for i, d in enumerate(mix.names)]
+    shares = [F.round(F.get("mix_share", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(mix.names)]
     return out.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *shares, F.round("mix_rate", 6).alias("rate"), F.col("mix_copies").alias("n_copies"))
 
 

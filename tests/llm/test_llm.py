@@ -344,6 +344,18 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix_rates(df.limit(9), mixing.label_domains(lab).limit(0), mix).count() == 9
 
 
+def test_default_mix_meets_its_targets_by_true_posteriors(spark):
+    rng = random.Random(14)
+    kinds = ["clean"] * 12 + ["junk"] * 6 + ["toxic"] * 2
+    rows = [(i, prose(rng, 40, 60) + {"clean": "", "junk": " ### |" * 12, "toxic": " scum pathetic"}[kinds[i % 20]]) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(kinds[i % 20] != "junk"), int(kinds[i % 20] == "toxic")) for i in range(600)], "doc_id long, quality int, toxic int")
+    mix = mixing.Mix()
+    shares = mixing.mixed_shares(mixing.mix_rates(df, mixing.label_domains(lab), mix), mix)
+    for d, t in mix.targets.items():
+        assert abs(shares[d] - t) < 0.01 * t, shares
+
+
 # ---- 9 lines
 
 
