@@ -52,6 +52,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 STOPS = frozenset("ul ol dl table td th body html article section div".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+#: What ends a raw element: nothing inside it is a tag.
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in RAW}
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Za-z0-9]+")
 #: Elements that may be the one that holds the main text.
@@ -83,15 +85,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
         path = path[:i]
         in_link = 0
 
-    raw_until = None
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if raw_until is not None:
-            if m[1] != "/" or not m[2] or m[2].lower() != raw_until:
-                continue
-            raw_until, at = None, m.end()
-            continue
+    while m := _TAG.search(page, at):
         if m.start() > at:
             piece = entities.unescape(page[at : m.start()])
             text.append(piece)
@@ -122,7 +116,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
             elif stack[i][0] in STOPS:
                 break
         if tag in RAW:
-            raw_until = tag
+            over = _RAW_END[tag].search(page, at)
+            at = over.end() if over else len(page)
             continue
         if tag in VOID or m[3].endswith("/") and tag in ("p", "div"):
             continue
@@ -130,7 +125,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
         key = f"{tag}.{'.'.join(names)}" if names else tag
         stack.append((tag, key))
         path = (*path, key)
-    if raw_until is None and at < len(page):
+    if at < len(page):
         piece = entities.unescape(page[at:])
         text.append(piece)
         links += len(piece) if in_link else 0

@@ -237,6 +237,13 @@ def test_html_main_text(spark):
     assert html.extract_text(df.limit(0)).count() == 0
 
 
+def test_raw_elements_end_at_their_end_tag():
+    for raw in ("<script>for(i=0;i<n;i++){f(i)}</script>", "<STYLE>a<b{}</Style >", "<script>'</scripts>' <!-- x</script>", "<title>a <b c='</title>"):
+        found = list(html.blocks(f"{raw}<article>one<p>it's two</p></article>"))
+        assert [(p, t) for p, t, _ in found] == [(("article",), "one"), (("article", "p"), "it's two")], raw
+    assert [t for _, t, _ in html.blocks("<p>a</p><script>never < closed")] == ["a"]
+
+
 def test_wrappers_merge_to_one_expression():
     w = html.Wrapper.of_page(list(html.blocks("<div><h1>t</h1><p>a</p><p>b</p></div>")))
     assert w.expression() == "<div><h1>#</>(<p>#</>)+</>"
