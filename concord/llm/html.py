@@ -8,8 +8,9 @@ in each slot. Partial wrappers are built where the pages lie and merged by host
 sends a small row for each task.
 
 A wrapper's slots are main text if no tag on their path is boilerplate by its name, class, id or role, and they lie in
-an ``article`` or ``main`` element; where the host has none, in the block element with the most text outside links. A
-page on which these slots hold nothing is judged by its own wrapper.
+an ``article`` or ``main`` element; where the host has none, anywhere. ``html``, ``body``, ``main`` and ``article``, and
+elements that hold more than half of the host's text outside links, are not boilerplate by a word of class, id or role.
+A page on which these slots hold nothing is judged by the roots of its own wrapper.
 
 Text of main slots: references are decoded, white space inside a block becomes one space, ends are trimmed, and blocks
 join in page order by one newline. Nothing else is dropped.
@@ -56,8 +57,8 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in RAW}
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Za-z0-9]+")
-#: Elements that may be the one that holds the main text.
-CONTAINERS = frozenset(("", "html", "body", "div", "section", "td", "center"))
+#: Elements that are not boilerplate by a word of class, id or role.
+NEVER_BOILER = frozenset(("html", "body", "main", "article"))
 #: Wrappers in all that may be broadcast, in bytes; beyond it they are joined by a shuffle.
 BROADCAST_BYTES = 4 << 20
 
@@ -225,39 +226,50 @@ class Wrapper:
 
 def boilerplate(key: str) -> bool:
     tag, _, names = key.partition(".")
-    return tag in BOILER_TAGS or bool(names) and not BOILER_WORDS.isdisjoint(names.split("."))
+    return tag in BOILER_TAGS or bool(names) and tag not in NEVER_BOILER and not BOILER_WORDS.isdisjoint(names.split("."))
 
 
-def main_root(w: Wrapper) -> list[tuple[str, ...]]:
-    """Paths of the elements whose slots, outside boilerplate, are the main text; sorted."""
-    roots: list[tuple[str, ...]] = []
-    best: list[tuple[int, int, tuple[str, ...]]] = []
+#: Paths of the elements whose slots, outside boilerplate, are the main text, and of those that no word makes boilerplate.
+Roots = tuple[list[tuple[str, ...]], list[tuple[str, ...]]]
 
-    def walk(node: Wrapper, path: tuple[str, ...], inside: bool) -> int:
-        """Characters outside links and boilerplate below a node."""
-        plain = max(0, node.chars - node.links)
+
+def main_root(w: Wrapper) -> Roots:
+    """The roots of a wrapper, sorted."""
+    roots: set[tuple[str, ...]] = set()
+    plain: dict[tuple[str, ...], int] = {}
+
+    def count(node: Wrapper, path: tuple[str, ...]) -> int:
+        """Characters outside links and boilerplate tags at or below a node."""
+        n = max(0, node.chars - node.links)
         for k in node.kids:
-            if not boilerplate(k.key):
-                mine = k.key.partition(".")[0] in MAIN_TAGS or "main" in k.key.split(".")[1:]
-                if mine and not inside:
-                    roots.append((*path, k.key))
-                plain += walk(k, (*path, k.key), inside or mine)
-        if not path or path[-1].partition(".")[0] in CONTAINERS:
-            best.append((plain, len(path), path))
-        return plain
+            if k.key.partition(".")[0] not in BOILER_TAGS:
+                n += count(k, (*path, k.key))
+        plain[path] = plain.get(path, 0) + n
+        return n
+
+    whole = count(w, ())
+    large = {p for p, n in plain.items() if p and 2 * n > whole and boilerplate(p[-1])}
+
+    def walk(node: Wrapper, path: tuple[str, ...]) -> None:
+        for k in node.kids:
+            at = (*path, k.key)
+            if boilerplate(k.key) and at not in large:
+                continue
+            if k.key.partition(".")[0] in MAIN_TAGS or "main" in k.key.split(".")[1:]:
+                roots.add(at)
+            else:
+                walk(k, at)
 
-    whole = walk(w, (), False)
-    if roots:
-        return sorted(set(roots))
-    # The innermost element that holds nearly all of the text.
-    return [max((b for b in best if 10 * b[0] >= 9 * whole), key=lambda b: (b[1], b[2]), default=(0, 0, ()))[2]]
+    walk(w, ())
+    return sorted(roots) or [()], sorted(large)
 
 
-def is_main(path: tuple[str, ...], roots: list[tuple[str, ...]]) -> bool:
-    return any(path[: len(r)] == r for r in roots) and not any(map(boilerplate, path))
+def is_main(path: tuple[str, ...], roots: Roots) -> bool:
+    inside, large = roots
+    return any(path[: len(r)] == r for r in inside) and not any(boilerplate(k) and path[: i + 1] not in large for i, k in enumerate(path))
 
 
-def text_of(found: list[tuple[tuple[str, ...], str, int]], roots: list[tuple[str, ...]]) -> str:
+def text_of(found: list[tuple[tuple[str, ...], str, int]], roots: Roots) -> str:
     return "\n".join(t for p, t, _ in found if is_main(p, roots))
 
 
@@ -308,7 +320,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", out: st
     joined = keyed.join(F.broadcast(roots) if size <= BROADCAST_BYTES else roots, host, "left")
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, list[tuple[str, ...]]] = {}
+        known: dict[str, Roots] = {}
         for pages_, roots_ in batches:
             got = []
             for x, r in zip(pages_, roots_, strict=True):
@@ -316,9 +328,10 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", out: st
                 if r is not None and r not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[r] = [tuple(p) for p in json.loads(r)]
-                text = text_of(found, known[r]) if r is not None else ""
-                got.append(text or text_of(found, main_root(Wrapper.of_page(found))))
+                    inside, large = json.loads(r)
+                    known[r] = [tuple(p) for p in inside], [tuple(p) for p in large]
+                host_roots = known[r] if r is not None else ([], [])
+                got.append(text_of(found, host_roots) or text_of(found, (main_root(Wrapper.of_page(found))[0], host_roots[1])))
             yield pd.Series(got)
 
     return joined.withColumn(out, F.pandas_udf(cut, "string")(html, "_html_roots")).drop(host, "_html_roots")

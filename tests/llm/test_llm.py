@@ -244,6 +244,20 @@ def test_raw_elements_end_at_their_end_tag():
     assert [t for _, t, _ in html.blocks("<p>a</p><script>never < closed")] == ["a"]
 
 
+def test_main_text_outside_common_containers_and_under_words_of_class(spark):
+    long = "<div class='content'><p>" + "common text " * 200 + "</p></div>"
+    pages = [
+        (0, "a", f"<body>{long}</body>"), (1, "a", "<body><div class='content'><p>blurb</p></div><div class='recipe'>own text</div></body>"),
+        (2, "b", "<body class='has-sidebar'><div class='sidebar'>no</div><p>all of it</p></body>"),
+        (3, "c", "<article class='post has-comments'><p>the post</p><div class='comments'>no</div></article>"),
+        (4, "d", f"<div class='page with-sidebar'><article>{long}</article><div class='sidebar'>no</div></div>"),
+    ]
+    df = spark.createDataFrame([(i, f"http://{h}.org/", x) for i, h, x in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract_text(df).collect()}
+    text = ("common text " * 200).strip()
+    assert got == {0: text, 1: "blurb\nown text", 2: "all of it", 3: "the post", 4: text}
+
+
 def test_wrappers_merge_to_one_expression():
     w = html.Wrapper.of_page(list(html.blocks("<div><h1>t</h1><p>a</p><p>b</p></div>")))
     assert w.expression() == "<div><h1>#</>(<p>#</>)+</>"
