@@ -82,8 +82,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = suffix_dedup(docs, length=400)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+    out = suffix_dedup(docs, length=400, kept="kept")
+    # A run may begin or end inside a character; what is left of it reads as U+FFFD. The digest is of the bytes.
+    rest = F.make_valid_utf8(F.col("kept").cast("string"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256", rest.alias("kept_text"))
 
 
 _BLANK = r"[\x20\x09-\x0D]"

@@ -7,6 +7,7 @@ temporary folder of its own. A lost executor costs a re-read of these files, nev
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,10 @@ class Scratch:
                 jvm = self.spark._jvm
                 at = jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def refuse_clash(df: DataFrame, added: Iterable[str]) -> None:
+    """The rule of all operators for names: a column that would be added must not be there yet, whatever its case."""
+    have = {c.lower() for c in df.columns}
+    if clash := sorted(x for x in set(added) if x.lower() in have):
+        raise ValueError(f"columns {', '.join(clash)} are there already; rename them, or name the outputs otherwise")

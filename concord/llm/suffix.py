@@ -16,8 +16,8 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
 Contexts and texts are known by 128-bit hashes; windows within shards are compared byte by byte.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all bytes; repeated rows are copies of each other
-and lose everything that is long enough; ids may repeat or be null; other columns pass through; an empty table gives
-none. A text of any length is read in pieces of four megabytes of windows.
+and lose everything that is long enough; ids may repeat or be null; other columns pass through, and an output name that
+is among them is refused (``names`` and ``kept`` name the outputs); an empty table gives none. A text of any length is read in pieces of four megabytes of windows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, refuse_clash
 
 GRAM = 48
 PIECE = 1 << 22
@@ -141,8 +141,9 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def common_prefixes(data: np.ndarray, key: np.ndarray, sa: np.ndarray, place: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int) -> np.ndarray:
     """lcp[r]: bytes that suffixes sa[r - 1] and sa[r] share, ``cap`` at most.
 
-    Kasai's walk, in all texts of the shard at once: from one place to the next the shared prefix shrinks by one byte
-    at most, so each text's walk takes steps in proportion to its length.
+    Kasai's walk, in all stretches of the shard at once: from one place to the next the shared prefix shrinks by one
+    byte at most, so each stretch's walk takes steps in proportion to its length. ``starts`` and ``sizes`` must cover
+    every place, separators too: their suffixes may lie between those of equal windows.
     """
     n = len(data)
     lcp = np.zeros(n, dtype=np.int64)
@@ -181,12 +182,14 @@ class Shard:
         self.data = np.frombuffer(b"\0".join(parts), dtype=np.uint8)
         self.key = packed(self.data)
         self.sa, self.place = suffix_array(self.data)
-        lcp = common_prefixes(self.data, self.key, self.sa, self.place, self.starts, self.sizes, length)
+        walked = self.sizes + 1  # a separator belongs to the part before it; the last part has none
+        walked[-1:] -= 1
+        lcp = common_prefixes(self.data, self.key, self.sa, self.place, self.starts, walked, length)
         self.owner = np.repeat(np.arange(len(parts)), self.sizes + 1)[: len(self.data)]
         offset = np.arange(len(self.data)) - self.starts[self.owner]
         self.window = offset + length <= self.sizes[self.owner]  # starts of whole windows
         own = np.flatnonzero(self.window[self.sa])
-        # Between two windows that follow one another, the least common prefix decides; other suffixes lie between.
+        # Between two windows that follow one another, the least common prefix decides; other suffixes may lie between.
         cls = np.cumsum(lcp < length)
         self.places = own
         self.cls = cls[own]
@@ -282,7 +285,8 @@ def repeated_spans(docs: DataFrame, text: str, length: int, work: Scratch) -> Da
     ctx = work.cut(ctx.join(per, "anchor").select(*own, "m", "at.*", "kinds", "least"))
     open_ = ctx.where("kinds > 1 and least = 1")
     # The bytes of the open contexts, each from one place.
-    need = open_.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "c1", "c2", "m", "s", "n", "kinds")).alias("need"))
+    # Written, so that the join can split the texts of a key that very many copies share.
+    need = work.cut(open_.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "c1", "c2", "m", "s", "n", "kinds")).alias("need")))
     texts = src.join(need, ["t1", "t2"]).select("text", "need")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -322,7 +326,7 @@ def repeated_spans(docs: DataFrame, text: str, length: int, work: Scratch) -> Da
     runs = work.cut(whole.unionByName(hits))
     placed = rows.join(runs, own).select("t1", "t2", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") - 1 + length).alias("b")).alias("span"))
     spans = work.cut(placed.groupBy("t1", "t2").agg(F.collect_set("span").alias("spans")))
-    work.drop(rows, ctx, loaded, runs)
+    work.drop(rows, ctx, need, loaded, runs)
     return spans
 
 
@@ -337,28 +341,35 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def suffix_dedup(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, removed (maximal runs of removed bytes) and kept_sha256 (of what is left)."""
+def suffix_dedup(docs: DataFrame, text: str = "text", length: int = 400, names: tuple[str, str, str, str] = ("n_bytes", "n_removed", "removed", "kept_sha256"), kept: str | None = None) -> DataFrame:
+    """``docs`` with four more columns: bytes, removed bytes, maximal runs of them, and the digest of what is left.
+
+    ``names`` names them; ``kept`` names a column for the bytes that are left, if they are wanted.
+    """
+    added = [*names, *[kept] * (kept is not None)]
+    refuse_clash(docs, added)
     work = Scratch(docs.sparkSession, "suffix")
     spans = repeated_spans(docs, text, length, work)
-    t1, t2 = _keys(F.coalesce(F.col(text), F.lit("")))
-    joined = docs.withColumn("_suffix_1", t1).withColumn("_suffix_2", t2)
-    spans = spans.select(F.col("t1").alias("_suffix_1"), F.col("t2").alias("_suffix_2"), F.col("spans").alias("_suffix_spans"))
-    joined = joined.join(spans, ["_suffix_1", "_suffix_2"], "left")
+    t1, t2 = _keys(F.col(text))
+    # Only texts long enough can have spans; the others are dealt out evenly under keys that match nothing.
+    long_ = F.coalesce(F.octet_length(text) >= length, F.lit(False))
+    joined = docs.withColumn("_suffix_1", F.when(long_, t1).otherwise(F.monotonically_increasing_id())).withColumn("_suffix_2", F.when(long_, t2)).withColumn("_suffix_long", long_)
+    spans = spans.select(F.col("t1").alias("_suffix_1"), F.col("t2").alias("_suffix_2"), F.lit(True).alias("_suffix_long"), F.col("spans").alias("_suffix_spans"))
+    joined = joined.join(spans, ["_suffix_1", "_suffix_2", "_suffix_long"], "left")
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, spans in batches:
             out = []
             for x, s in zip(texts, spans, strict=True):
                 raw = (x or "").encode()
-                runs, at, kept = merged(s), 0, hashlib.sha256()
+                runs, at, left = merged(s), 0, []
                 for a, b in runs:
-                    kept.update(raw[at:a])
+                    left.append(raw[at:a])
                     at = b
-                kept.update(raw[at:])
-                out.append((len(raw), sum(b - a for a, b in runs), runs, kept.hexdigest()))
-            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "removed", "kept_sha256"])
+                rest = b"".join((*left, raw[at:])) if runs else raw
+                out.append((len(raw), len(raw) - len(rest), runs, hashlib.sha256(rest).hexdigest(), *[rest] * (kept is not None)))
+            yield pd.DataFrame(out, columns=["n", "gone", "runs", "sha", *["rest"] * (kept is not None)])
 
-    kind = "n_bytes long, n_removed long, removed array<struct<a:long,b:long>>, kept_sha256 string"
+    kind = "n long, gone long, runs array<struct<a:long,b:long>>, sha string" + ", rest binary" * (kept is not None)
     done = joined.withColumn("_suffix_cut", F.pandas_udf(cut, kind)(text, "_suffix_spans"))
-    return done.select(*docs.columns, "_suffix_cut.*")
+    return done.select(*docs.columns, *[F.col(f"_suffix_cut.{x}").alias(name) for x, name in zip(("n", "gone", "runs", "sha", "rest"), added, strict=False)])

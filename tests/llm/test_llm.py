@@ -480,7 +480,7 @@ def test_suffix_dedup_is_that_of_brute_force(spark, monkeypatch, part, shard):
         texts.append(prose(rng, rng.randrange(10), 50) + "é " + p[i : i + rng.randrange(80, 200)] + prose(rng, rng.randrange(10), 50))
     texts += [None, "", "aa" * 300, "a" * 450, texts[35], "ab" * 60 + prose(rng, 30) + "ab" * 60, passages[0] + " - " + passages[0]]
     n = 80
-    df = docs_of(spark, texts).withColumn("removed_", F.lit(1))
+    df = docs_of(spark, texts)
     got = {r["doc_id"]: r for r in suffix.suffix_dedup(df, length=n).collect()}
     raw = [(t or "").encode() for t in texts]
     for i, (t, gone) in enumerate(zip(raw, brute_removed(raw, n), strict=True)):
@@ -505,3 +505,46 @@ def test_suffix_array_and_prefixes():
             same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
             # Beyond the end there are zeros, which only longer prefixes than asked for can reach.
             assert lcp[r] == min(same, 40) or lcp[r] > same and same == min(len(a), len(b))
+
+
+@pytest.mark.parametrize("alphabet", [b"\0", b"a\0", b"ab\0", b"abc"])
+def test_shards_of_texts_with_nul_bytes(alphabet):
+    rng = random.Random(15)
+    for _ in range(60):
+        n = rng.randrange(2, 9)
+        parts = [bytes(rng.choice(alphabet) for _ in range(rng.randrange(n, 4 * n))) for _ in range(rng.randrange(1, 7))]
+        shard = suffix.Shard(parts, np.ones(len(parts)), n)
+        got = [np.zeros(len(p), dtype=bool) for p in parts]
+        for p, a, b in shard.spans():
+            got[p][a : b - 1 + n] = True
+        for x, y, p in zip(got, brute_removed(parts, n), parts, strict=True):
+            assert (x == y).all(), (parts, p, n)
+
+
+def test_suffix_dedup_at_400_with_nul_null_and_very_long_texts(spark):
+    rng = random.Random(16)
+    passage = "".join(rng.choice("ab\0é") for _ in range(300))
+    texts = [None, "", "\0" * 399, "\0" * 400, "\0" * 900, "x" + "\0" * 500, passage, "p" + passage + "q", passage[:250] + "z", "\0" * 500 + passage[40:], "a\0" * 300]
+    df = docs_of(spark, texts)
+    raw = [(t or "").encode() for t in texts]
+    got = {r["doc_id"]: r for r in suffix.suffix_dedup(df, kept="left").collect()}
+    for i, (t, gone) in enumerate(zip(raw, brute_removed(raw, 400), strict=True)):
+        assert bytes(got[i]["left"]) == bytes(b for b, g in zip(t, gone, strict=True) if not g), i
+        assert got[i]["n_removed"] == int(gone.sum())
+    # Ten megabytes at random repeat nothing but what is planted.
+    chars = np.random.default_rng(17).integers(97, 123, 10_000_000, dtype=np.uint8)
+    chars[7_000_000:7_001_000] = chars[1000:2000]
+    chars[5_000_000:5_000_399] = chars[9_000_000:9_000_399]  # too short
+    long_ = chars.tobytes().decode()
+    texts = [long_, "-" + long_[3_000_000:3_000_450] + "-", None]
+    got = {r["doc_id"]: r for r in suffix.suffix_dedup(docs_of(spark, texts), kept="left").collect()}
+    assert [(x["a"], x["b"]) for x in got[0]["removed"]] == [(1000, 2000), (3_000_000, 3_000_450), (7_000_000, 7_001_000)]
+    assert bytes(got[1]["left"]) == b"--" and got[2]["n_bytes"] == 0
+
+
+def test_suffix_dedup_refuses_names_that_are_there(spark):
+    df = docs_of(spark, ["a"]).withColumn("Removed", F.lit(1))
+    with pytest.raises(ValueError, match="removed"):
+        suffix.suffix_dedup(df)
+    out = suffix.suffix_dedup(df, names=("b", "r", "spans", "sha"))
+    assert out.columns == [*df.columns, "b", "r", "spans", "sha"] and out.first()["Removed"] == 1
