@@ -5,16 +5,23 @@ one into the other, and both have ``near_chars`` code points at least. A line of
 segments; if a line is within k edits of it, one segment occurs in that line, at a place that the lengths and the
 segment's number narrow down to a few. Each line lists the hashes of those substrings for every length from l - k to l
 (its own segments among them); lines that share one are candidates, if 24 letters' counts differ by no more than 2k in
-sum, and if all but k of sixteen parts of one lie in the other near their places. What is left is verified on their text by a banded bit-parallel automaton: one word for each number of errors, one
-bit for each of the 2k + 1 diagonals.
+sum, and if all but k of sixteen parts of one lie in the other near their places. What is left is verified on their text
+by a banded bit-parallel automaton: one word for each number of errors, one bit for each of the 2k + 1 diagonals.
+
+A bucket of lines with a common key is not expanded into its pairs. Its lines are first held against its smallest one.
+Only buckets that then hold several components go on: small ones pair by pair, across components; the lines of large
+ones are dealt anew on keys of two out of k + 2 segments, which lines within k edits share too, held against a few hubs
+in turn, and compared pair by pair only across the components that are left. So a family around one line costs time in
+proportion to its lines, and no pair is lost.
 
 Equal lines are one node, whatever their length. A class is a connected component of near duplicates; its first
 occurrence, by (doc_id, text hash, line number), stays, the others go. ``near_chars`` is the square of k + 1, which the
 segments need, or ``min_chars`` if that is more. Lines shorter than ``min_chars`` stay as they are, and so do lines
-without a word that are shorter than ``near_chars``: they are layout. Classes carry 64 bits of their smallest line's hash.
+without a word that are shorter than ``near_chars``: they are layout. Lines are known by 128 bits of hashes.
 
 Defined cases: null text has no lines and stays null; rows of one id and one text are one document, and lose the same
-lines; null ids come first in the order; an empty table gives none; other columns pass through. Kept lines are joined
+lines; null ids come first in the order; an empty table gives none; other columns pass through, and ``removed`` must not
+name one of them; a text of any length is split whole. Kept lines are joined
 by \\n again, so a document that loses nothing keeps its text byte by byte.
 """
 
@@ -26,13 +33,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .graph import components
-from .scratch import Scratch
+from .scratch import Scratch, refuse_clash
 from .text import BLANKS
 
 #: Letters whose counts are compared before lines are.
 LETTERS = "etaoinsrhld cumfpgwybvk."
 #: Ids of candidate lines, or positions of removed lines, that may be broadcast, in bytes; beyond it they are shuffled.
 BROADCAST_BYTES = 24 << 20
+#: Lines of a bucket that are compared one by one; larger buckets are dealt anew on two segments.
+SMALL = 16
+#: Hubs that a bucket on two segments gets, one after the other, while they find links.
+ROUNDS = 4
 
 
 @dataclass(frozen=True)
@@ -72,6 +83,29 @@ def substring_keys(line: Column, n: Column, k: int) -> Column:
     return F.array_distinct(F.transform(specs, key))
 
 
+def pair_shifts(k: int) -> list[tuple[int, int, int, int, int]]:
+    """(i, j, d, s, t): two of k + 2 segments of a line d shorter, and the places where they may lie in a line.
+
+    k edits leave two of the segments whole. At least |s| edits lie before the first, |t - s| between them and |d - t|
+    after the second.
+    """
+    near = range(-k, k + 1)
+    return [(i, j, d, s, t) for j in range(k + 2) for i in range(j) for d in range(k + 1) for s in near for t in near if abs(s) + abs(t - s) + abs(d - t) <= k]
+
+
+def pair_keys(line: Column, n: Column, k: int) -> Column:
+    """Hashes of two segments each, for the segments of every line that may be up to k shorter."""
+    specs = F.array(*[F.struct(*[F.lit(v).alias(name) for name, v in zip("ijdst", x, strict=True)]) for x in pair_shifts(k)])
+
+    def part(p: Column, i: str, s: str) -> Column:
+        q, r = F.call_function("div", n - p["d"], F.lit(k + 2)).cast("int"), (n - p["d"]) % (k + 2)
+        start = q * p[i] + F.greatest(F.lit(0), r - (k + 2) + p[i]) + p[s]
+        # A place before the line's begin holds nothing.
+        return F.when(start >= 0, F.substring(line, start + 1, q + (r > F.lit(k + 1) - p[i]).cast("int")))
+
+    return F.array_distinct(F.transform(specs, lambda p: F.xxhash64(p["i"], p["j"], part(p, "i", "s"), part(p, "j", "t"))))
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, even where a lambda in it names the value for every element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -155,31 +189,90 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str, near: Near) -> DataFra
 
 
 def near_lines(occ: DataFrame, near: Near, work: Scratch) -> DataFrame:
-    """(node, component): near-duplicate lines by h1; lines without near duplicates are missing."""
+    """(h1, h2, component): near-duplicate lines; lines without near duplicates are missing."""
     k = near.max_edits
     distinct = occ.select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
     ready = distinct.withColumn("n", F.length("line")).select("h1", substring_keys(F.col("line"), F.col("n"), k).alias("keys"))
     # An outer explode: the filter on the array's size that an inner one infers would compute the keys again.
-    keyed = ready.select("h1", F.explode_outer("keys").alias("key")).repartition("key")
-    # Keys of one line only go before the join; what is left is small enough to write once and read twice.
-    w = Window.partitionBy("key")
-    shared = keyed.withColumn("lo", F.min("h1").over(w)).withColumn("hi", F.max("h1").over(w)).where("lo <> hi")
-    shared = work.cut(shared.select("h1", "key"))
+    keyed = ready.select("h1", F.explode_outer("keys").alias("key"))
+    shared = _shared(keyed, work)
     ids = work.cut(shared.select("h1").distinct())
     ids = F.broadcast(ids) if 16 * ids.count() <= BROADCAST_BYTES else ids
-    texts = work.cut(occ.select("h1", "line").join(ids, "h1", "left_semi").distinct())
-    counted = shared.join(texts.select("h1", *[f.alias(f"f{i}") for i, f in enumerate(letter_counts(F.col("line")))]), "h1")
-    counted = work.cut(counted)
-    a, b = counted.alias("a"), counted.alias("b")
+    texts = work.cut(occ.select("h1", "h2", "line").join(ids, "h1", "left_semi").distinct().select("*", *[f.alias(f"f{i}") for i, f in enumerate(letter_counts(F.col("line")))]))
+    comp = work.cut(components(_links(_stars(shared), texts, k, work), work))
+    open_ = _unresolved(shared, comp, work)
+    work.drop(shared)
+    comp = _joined(comp, _links(_across(open_.where(F.col("size") <= SMALL), texts, k), texts, k, work), work)
+    # Lines of large buckets that are not one component: their few neighbours share two of k + 2 segments.
+    again = open_.where(F.col("size") > SMALL).select("h1").distinct()
+    ready = texts.join(again, "h1", "left_semi").withColumn("n", F.length("line")).select("h1", pair_keys(F.col("line"), F.col("n"), k).alias("keys"))
+    shared = _shared(ready.select("h1", F.explode_outer("keys").alias("key")), work)
+    work.drop(open_)
+    for r in range(1, ROUNDS + 1):
+        open_ = _unresolved(shared, comp, work)
+        found = _links(_hubs(open_, r), texts, k, work)
+        comp, more = _joined(comp, found, work), found.limit(1).count()
+        work.drop(open_, found)
+        if not more:
+            break
+    open_ = _unresolved(shared, comp, work)
+    comp = _joined(comp, _links(_across(open_, texts, k), texts, k, work), work)
+    out = work.cut(comp.select(F.col("node").alias("h1"), "component").join(texts.select("h1", "h2"), "h1"))
+    work.drop(shared, open_, comp, texts)
+    return out
+
+
+def _shared(keyed: DataFrame, work: Scratch) -> DataFrame:
+    """(h1, key, hub): the keys that several lines have, and each one's smallest line."""
+    w = Window.partitionBy("key")
+    rows = keyed.repartition("key").withColumn("hub", F.min("h1").over(w)).withColumn("hi", F.max("h1").over(w)).where("hub <> hi")
+    return work.cut(rows.select("h1", "key", "hub"))
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    return shared.where("h1 <> hub").select(F.col("hub").alias("a"), F.col("h1").alias("b")).distinct()
+
+
+def _unresolved(shared: DataFrame, comp: DataFrame, work: Scratch) -> DataFrame:
+    """(h1, key, c, size) of the buckets that hold several components; c is the line's."""
+    named = shared.select("h1", "key").join(comp.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "key", F.coalesce("component", "h1").alias("c"))
+    per = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+    return work.cut(named.join(per, "key").select("h1", "key", "c", "size"))
+
+
+def _hubs(open_: DataFrame, r: int) -> DataFrame:
+    """Pairs of each bucket's hub, another one each round, with the members that are not of its component."""
+    rank = F.struct(F.xxhash64(F.lit(r), "h1"), "h1", "c")
+    hub = open_.groupBy("key").agg(F.min(rank).alias("hub")).select("key", F.col("hub.h1").alias("a"), F.col("hub.c").alias("ca"))
+    return open_.join(hub, "key").where("c <> ca").select(F.least("a", "h1").alias("a"), F.greatest("a", "h1").alias("b")).distinct()
+
+
+def _across(open_: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Pairs of lines of one bucket and different components, as far as their letters allow."""
+    rows = open_.select("h1", "key", "c").join(texts.select("h1", "f0", "f1"), "h1")
+    a, b = rows.alias("a"), rows.alias("b")
     fits = counts_allow([F.col("a.f0"), F.col("a.f1")], [F.col("b.f0"), F.col("b.f1")], k)
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") < F.col("b.h1")) & fits)
-    pairs = work.cut(met.select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b")).distinct())
-    one, two = texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), texts.select(F.col("h1").alias("b"), F.col("line").alias("y"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") < F.col("b.h1")) & (F.col("a.c") != F.col("b.c")) & fits)
+    return met.select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b")).distinct()
+
+
+def _links(pairs: DataFrame, texts: DataFrame, k: int, work: Scratch) -> DataFrame:
+    """The pairs (a, b) that are within k edits."""
+    one = texts.select(F.col("h1").alias("a"), F.col("line").alias("x"), F.col("f0").alias("x0"), F.col("f1").alias("x1"))
+    two = texts.select(F.col("h1").alias("b"), F.col("line").alias("y"), F.col("f0").alias("y0"), F.col("f1").alias("y1"))
+    fits = counts_allow([F.col("x0"), F.col("x1")], [F.col("y0"), F.col("y1")], k) & (F.abs(F.length("x") - F.length("y")) <= k)
+    met = work.cut(pairs.join(one, "a").join(two, "b").where(fits).select("a", "b", "x", "y"))
     # Few bytes, but much work for each: dealt anew, so that no task gets them all.
-    met = work.cut(pairs.join(one, "a").join(two, "b")).repartition(int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    links = work.cut(met.where(segments_found(F.col("x"), F.col("y"), k) & within_edits(F.col("x"), F.col("y"), k)).select("a", "b"))
-    out = work.cut(components(links, work))
-    work.drop(shared, counted, pairs, texts, links)
+    dealt = met.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    out = work.cut(dealt.where(segments_found(F.col("x"), F.col("y"), k) & within_edits(F.col("x"), F.col("y"), k)).select("a", "b"))
+    work.drop(met)
+    return out
+
+
+def _joined(comp: DataFrame, links: DataFrame, work: Scratch) -> DataFrame:
+    """Components of the old components' stars and more links."""
+    out = work.cut(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), work))
+    work.drop(comp)
     return out
 
 
@@ -189,18 +282,20 @@ def repeated_lines(docs: DataFrame, near: Near, doc_id: str, text: str, work: Sc
     comp = near_lines(occ.where(F.length("line") >= near.near_chars), near, work)
     at = F.struct("d", "t", "pos")
     lines = occ.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    classed = lines.join(comp.withColumnRenamed("node", "h1"), "h1", "left").where("n > 1 or component is not null")
-    classed = work.cut(classed)
+    classed = work.cut(lines.join(comp, ["h1", "h2"], "left").where("n > 1 or component is not null"))
     alone = classed.where("component is null and n > 1").select("h1", "h2", "first")
     many = classed.where("component is not null")
     tops = many.groupBy("component").agg(F.min("first").alias("top"))
     several = work.cut(alone.unionByName(many.join(tops, "component").select("h1", "h2", F.col("top").alias("first"))))
     again = occ.select("d", "t", "pos", "h1", "h2").join(several, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))
-    return work.cut(again.groupBy("d", "t").agg(F.collect_set("pos").alias("gone")))
+    out = work.cut(again.groupBy("d", "t").agg(F.collect_set("pos").alias("gone")))
+    work.drop(comp, classed, several)
+    return out
 
 
 def line_dedup(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
     """``docs`` with repeated lines taken out of the text; ``removed`` names a column for their number."""
+    refuse_clash(docs, [removed] * (removed is not None))
     work = Scratch(docs.sparkSession, "lines")
     gone = repeated_lines(docs, near, doc_id, text, work)
     gone = gone.select(F.col("d").alias("_line_d"), F.col("t").alias("_line_t"), F.col("gone").alias("_line_gone"))
@@ -209,9 +304,9 @@ def line_dedup(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", tex
     x, lost = F.col(text), F.col("_line_gone")
     same = F.col(doc_id).eqNullSafe(F.col("_line_d")) & (F.xxhash64(x) == F.col("_line_t"))
     joined = docs.join(side, same, "left")
-    lines = F.split(x, "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost), lambda i: F.get(lines, i))
-    out = joined.withColumn(text, F.when(lost.isNull(), x).otherwise(F.array_join(left, "\n")))
+    # The lines are split once, not for every line that stays.
+    left = _let(F.split(x, "\n"), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), lost), lambda i: F.get(ls, i)), "\n"))
+    out = joined.withColumn(text, F.when(lost.isNull(), x).otherwise(left))
     if removed:
         out = out.withColumn(removed, F.coalesce(F.size(lost), F.lit(0)).cast("long"))
     return out.drop("_line_d", "_line_t", "_line_gone")
