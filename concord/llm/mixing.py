@@ -1,36 +1,45 @@
 """Mixing to target weights by soft membership, in DataFrame functions only.
 
-Classifier. A naive Bayes model over words and a few binned counts predicts each document's domain posteriors. It is
-fitted on ``train_rows`` labelled rows at most (a hash order of the ids picks them); of their tokens the ``max_tokens``
-with the highest information about the domain are used, so the model is a few thousand numbers.
-
-Rates. Posteriors are rounded to whole ``GRID``-ths, so documents fall into a bounded number of cells, whatever their
-number. A cell has the sums of its documents' tokens and of tokens times posteriors, not rounded; only these are needed
-from then on. The rates minimize the squared difference between the expected domain totals and the targets, relative to
-the present totals, plus ``ridge`` times the squared distance of the rates from one, and are nonnegative. The solution
-is max(0, 1 - p.y) for a cell of mean posteriors p, with one number of y for each domain, which Newton steps find. Every
-step is one aggregation over the cells; it ends when no domain is off the solution by more than ``tolerance`` times its
-target. A document's rate is its cell's.
+Classifier. A naive Bayes model over all words and a few binned counts predicts each document's domain posteriors. It is
+fitted on ``train_rows`` labelled rows at most (a hash order of the ids picks them), whole texts. A token has a weight if
+its presence tells the domains apart beyond chance: ``information`` is half of the likelihood-ratio statistic, 7 is a
+chance of 0.001 with three domains. No other bound picks tokens. Smoothing and temperature are those with the least log
+loss on half of the labelled rows, for a model of the other half; the model is then fitted on all of them. Tokens are
+known by 64-bit hashes; a perfect hash leads from a document's known tokens to their weights.
+
+Rates. The rates of documents minimize the squared difference between the expected domain totals and the targets,
+relative to the present totals, plus ``ridge`` times the squared distance of the rates from one, and are nonnegative. The
+solution is max(0, 1 - p.y) for a document of posteriors p, with one number of y for each domain. Projected steps find
+it: every step takes the projection and the gradient at every document and adds them up, one aggregation, and a few
+numbers go to the driver, which scales the step by Newton's matrix. The first steps run on cells of documents whose
+posteriors agree to ``GRID``-ths, which are few; the last ones on the documents themselves, until no domain is off the
+solution by more than ``tolerance`` times its target.
 
 A rate r gives floor(r + u) copies, u in [0, 1) from the id's hash: the same in every run.
 
 Defined cases: null text has no tokens and the posteriors of a text without words; rows of one id get the same u; a
 null id is hashed as null; labels of unknown documents and null labels are ignored; without labels all domains are
-equally likely; an empty table gives none; other columns pass through.
+equally likely; an empty table gives none; texts of any length are whole; other columns pass through, and an output name
+that is among them is refused.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, refuse_clash
 from .text import words
 
+#: The grain of the cells on which the solver starts.
 GRID = 32
+#: Names of the columns that ``mix_rates`` adds.
+ADDED = ("mix_tokens", "mix_share", "mix_rate", "mix_copies")
 
 
 @dataclass(frozen=True)
@@ -39,8 +48,9 @@ class Mix:
 
     targets: dict[str, float] = field(default_factory=lambda: {"clean": 0.90, "junk": 0.08, "toxic": 0.02})
     train_rows: int = 20_000
-    max_tokens: int = 128
-    temperature: float = 2.0
+    information: float = 7.0
+    smoothing: tuple[float, ...] = (0.1, 0.5, 1.0)
+    temperatures: tuple[float, ...] = (1.0, 2.0, 4.0, 8.0, 16.0)
     ridge: float = 1e-7
     steps: int = 100
     tolerance: float = 1e-6
@@ -76,30 +86,74 @@ def tokens_of(text: Column, ws: Column) -> Column:
     return F.concat(F.array_distinct(ws), F.array(*bins))
 
 
+def token_hashes(text: Column, ws: Column) -> Column:
+    return F.transform(tokens_of(text, ws), lambda t: F.xxhash64(t))
+
+
+def _numbers(values: Sequence, kind: str) -> Column:
+    """An array that the optimizer folds to one constant; one expression for each value would be slow to plan."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>") if len(values) else F.array().cast(f"array<{kind}>")
+
+
+def perfect_hash(keys: Sequence[int]) -> tuple[list[int], int]:
+    """(shifts, size): key k has the slot ((k >>> 33) + shifts[k mod len(shifts)]) mod size, and no two share one."""
+    size = 2 * len(keys) + 1
+    while True:
+        groups: dict[int, list[int]] = defaultdict(list)
+        n = max(1, len(keys) // 3)
+        for k in keys:
+            groups[k % n].append(((k & (1 << 64) - 1) >> 33) % size)
+        shifts, taken = [0] * n, np.zeros(size, dtype=bool)
+        for g, own in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
+            at = (np.array(own)[:, None] + np.arange(size)) % size
+            free = np.flatnonzero(~taken[at].any(axis=0)) if len(set(own)) == len(own) else ()
+            if not len(free):
+                break
+            shifts[g] = int(free[0])
+            taken[at[:, free[0]]] = True
+        else:
+            return shifts, size
+        size += 2
+
+
 @dataclass(frozen=True)
 class Posterior:
-    """Log weights by token and domain; a model of bounded size."""
+    """Log weights by token hash and domain; as large as the labelled rows' telling tokens are many."""
 
     names: list[str]
-    tokens: list[str]
+    tokens: list[int]
     weight: list[list[float]]
     base: list[float]
-    temperature: float
+    temperature: float = 1.0
 
-    def share(self, tokens: Column) -> Column:
-        """The posterior of each domain."""
-        if self.tokens:
-            index = F.create_map(*[x for i, t in enumerate(self.tokens) for x in (F.lit(t), F.lit(i))])
-            known = F.array(*map(F.lit, self.tokens))
-            at = F.transform(F.array_intersect(tokens, known), lambda t: F.element_at(index, t))
-        else:
-            at = F.array().cast("array<int>")
-        rows = [F.array(*map(F.lit, w)) if w else F.array().cast("array<double>") for w in self.weight]
+    def logs(self, hashes: Column) -> Column:
+        """The log of each domain's posterior, but for a common summand."""
         zero = F.struct(*[F.lit(b).alias(f"s{i}") for i, b in enumerate(self.base)])
+        if not self.tokens:
+            return F.array(*[zero[f"s{i}"] for i in range(len(self.base))])
+        shifts, size = perfect_hash(self.tokens)
+        slots = [((t & (1 << 64) - 1) >> 33) % size for t in self.tokens]
+        slots = [(x + shifts[t % len(shifts)]) % size for x, t in zip(slots, self.tokens, strict=True)]
+        rows = []
+        for own in self.weight:
+            w = [0.0] * size
+            for x, v in zip(slots, own, strict=True):
+                w[x] = v
+            rows.append(_numbers(w, "double"))
+        shift = _numbers(shifts, "bigint")
+        slot = lambda h: F.pmod(F.shiftrightunsigned(h, 33) + F.get(shift, F.pmod(h, F.lit(len(shifts))).cast("int")), F.lit(size)).cast("int")
+        at = F.transform(F.array_intersect(hashes, _numbers(self.tokens, "bigint")), slot)
         step = lambda s, i: F.struct(*[(s[f"s{d}"] + F.get(w, i)).alias(f"s{d}") for d, w in enumerate(rows)])
-        logs = F.aggregate(at, zero, step, lambda s: F.array(*[s[f"s{d}"] / self.temperature for d in range(len(rows))]))
-        exps = F.transform(F.array(logs), lambda a: F.transform(a, lambda v: F.exp(v - F.array_max(a))))[0]
-        return F.transform(F.array(exps), lambda a: F.transform(a, lambda v: v / F.aggregate(a, F.lit(0.0), lambda p, q: p + q)))[0]
+        return F.aggregate(at, zero, step, lambda s: F.array(*[s[f"s{d}"] for d in range(len(rows))]))
+
+    def share(self, hashes: Column) -> Column:
+        """The posterior of each domain."""
+        return softmax(self.logs(hashes), self.temperature)
+
+
+def softmax(logs: Column, temperature: float) -> Column:
+    exps = F.transform(F.array(logs), lambda a: F.transform(a, lambda v: F.exp((v - F.array_max(a)) / F.lit(temperature))))[0]
+    return F.transform(F.array(exps), lambda a: F.transform(a, lambda v: v / F.aggregate(a, F.lit(0.0), lambda p, q: p + q)))[0]
 
 
 def cell_of(share: Column) -> Column:
@@ -108,60 +162,84 @@ def cell_of(share: Column) -> Column:
     return F.transform(F.array(share), lambda a: F.transform(a, lambda v, i: cum(a, i + 1) - cum(a, i)))[0]
 
 
-def fit_posterior(docs: DataFrame, labelled: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text") -> Posterior:
+def _information(counts: Sequence[Column], sizes: Sequence[int]) -> Column:
+    """Information of a token's presence about the domain, over rows of which ``sizes`` are of each domain."""
+    total, every = max(1, sum(sizes)), sum(counts[1:], counts[0])
+    info = F.lit(0.0)
+    for n, c in zip(sizes, counts, strict=True):
+        for seen, margin in ((c, every), (F.lit(float(n)) - c, F.lit(float(total)) - every)):
+            info = info + F.when(seen > 0, seen * F.log(seen * F.lit(float(total)) / (margin * F.lit(float(max(1, n)))))).otherwise(0.0)
+    return info
+
+
+def fit_posterior(docs: DataFrame, labelled: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", work: Scratch | None = None) -> Posterior:
     """A naive Bayes model of the presence of tokens; ``labelled`` has doc_id and domain."""
+    work = work or Scratch(docs.sparkSession, "posterior")
     picked = labelled.where(F.col("domain").isin(mix.names)).orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(mix.train_rows)
     x = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("x")).join(F.broadcast(picked), "doc_id")
-    rows = x.select("domain", F.explode(tokens_of(F.col("x"), words(F.col("x")))).alias("token"))
-    size = {r["domain"]: r["n"] for r in x.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    sizes = [size.get(d, 0) for d in mix.names]
-    total = max(1, sum(sizes))
-    per = rows.groupBy("token").agg(*[F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).cast("double").alias(f"c{i}") for i, d in enumerate(mix.names)])
-    # Information of a token's presence about the domain, over the sample.
-    every = sum((F.col(f"c{i}") for i in range(1, len(sizes))), F.col("c0"))
-    info = F.lit(0.0)
-    for i, n in enumerate(sizes):
-        for c, margin in ((F.col(f"c{i}"), every), (F.lit(float(n)) - F.col(f"c{i}"), F.lit(float(total)) - every)):
-            info = info + F.when(c > 0, c * F.log(c * F.lit(float(total)) / (margin * F.lit(float(max(1, n)))))).otherwise(0.0)
-    best = per.where(every >= 5).orderBy(F.desc(info), "token").limit(mix.max_tokens).collect()
-    weight: list[list[float]] = [[] for _ in sizes]
-    base = [math.log((n + 1) / (total + len(sizes))) for n in sizes]
-    for r in best:
-        for i, n in enumerate(sizes):
-            p = (r[f"c{i}"] + 1) / (n + 2)
-            weight[i].append(math.log(p / (1 - p)))
-            base[i] += math.log(1 - p)
-    return Posterior(mix.names, [r["token"] for r in best], weight, base, mix.temperature)
-
-
-def _rate(mean: Column, y: list[float]) -> Column:
-    """The rate of a cell of these mean posteriors."""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.get(mean, F.lit(i)) * F.lit(float(v)) for i, v in enumerate(y)), F.lit(0.0)))
-
-
-def solve_rates(cells: DataFrame, mix: Mix) -> list[float]:
-    """The number of each domain that the rates follow from; ``cells`` has tokens and mean.
-
-    Minimizes the dual, which is convex and quadratic in pieces: sum of n x^2 / 2, plus y.target, plus ridge / 2 times
-    the sum of first y^2. A step that does not lower it enough is halved. A few numbers a step come to the driver.
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
+    rows = work.cut(x.select("domain", half.alias("half"), token_hashes(F.col("x"), words(F.col("x"))).alias("tokens")))
+    many = {(r["domain"], r["half"]): r["n"] for r in rows.groupBy("domain", "half").agg(F.count("*").alias("n")).collect()}
+    # The first model, of half the rows, tells how much to smooth; the second is of all.
+    sizes = [[many.get((d, 0), 0) for d in mix.names], [many.get((d, 0), 0) + many.get((d, 1), 0) for d in mix.names]]
+    place = F.array_position(F.array(*map(F.lit, mix.names)), F.col("domain")).cast("int") - 1
+    one = lambda i, h: F.sum(((place == i) & (F.col("half") <= h)).cast("int")).cast("double").alias(f"c{h}{i}")
+    per = rows.select("domain", "half", F.explode("tokens").alias("token")).groupBy("token").agg(*[one(i, h) for h in (0, 1) for i in range(len(mix.names))])
+    info = [_information([F.col(f"c{h}{i}") for i in range(len(mix.names))], sizes[h]) for h in (0, 1)]
+    telling = per.withColumn("told0", info[0] >= mix.information).withColumn("told1", info[1] >= mix.information).where("told0 or told1").orderBy("token").collect()
+
+    def model(h: int, a: float) -> Posterior:
+        total, own = sum(sizes[h]), [r for r in telling if r[f"told{h}"]]
+        weight: list[list[float]] = [[] for _ in mix.names]
+        base = [math.log((n + 1) / (total + len(mix.names))) for n in sizes[h]]
+        for i, n in enumerate(sizes[h]):
+            for r in own:
+                p = (r[f"c{h}{i}"] + a) / (n + 2 * a)
+                weight[i].append(math.log(p / (1 - p)))
+                base[i] += math.log(1 - p)
+        return Posterior(mix.names, [r["token"] for r in own], weight, base)
+
+    held = rows.where("half = 1")
+    for i, a in enumerate(mix.smoothing):
+        held = held.withColumn(f"l{i}", model(0, a).logs(F.col("tokens")))
+    loss = lambda i, t: -F.log(F.greatest(F.get(softmax(F.col(f"l{i}"), t), place), F.lit(1e-12)))
+    choices = [(i, a, t) for i, a in enumerate(mix.smoothing) for t in mix.temperatures]
+    got = held.agg(*[F.avg(loss(i, t)) for i, _, t in choices]).first()
+    best = min(range(len(choices)), key=lambda j: (got[j] if got[j] is not None else 0.0, j))
+    work.drop(rows)
+    found = model(1, choices[best][1])
+    return Posterior(found.names, found.tokens, found.weight, found.base, choices[best][2])
+
+
+def _rate(p: Column, y: Sequence[float]) -> Column:
+    """The rate of a document of these posteriors."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.get(p, F.lit(i)) * F.lit(float(v)) for i, v in enumerate(y)), F.lit(0.0)))
+
+
+def solve_rates(rows: DataFrame, mix: Mix, start: Sequence[float] | None = None, first: Sequence[float] | None = None) -> tuple[list[float], list[float]]:
+    """(y, first): the number of each domain that the rates follow from, and the domains' present shares.
+
+    ``rows`` has tokens and p, of documents or of cells. The steps lower the dual, which is convex and quadratic in
+    pieces: sum of n x^2 / 2, plus y.target, plus ridge / 2 times the sum of first y^2, for x = max(0, 1 - p.y). A step
+    that does not lower it enough is halved.
     """
     d = len(mix.names)
-    y = np.zeros(d)
-    whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    y = np.zeros(d) if start is None else np.array(start, dtype=float)
+    whole = float(rows.agg(F.sum("tokens")).first()[0] or 0)
     goal = sum(mix.targets.values())
     if not whole or not goal:
-        return list(y)
+        return list(y), [0.0] * d
     target = np.array([mix.targets[name] / goal for name in mix.names])
-    p = [F.get("mean", F.lit(i)) for i in range(d)]
+    p = [F.get("p", F.lit(i)) for i in range(d)]
     n = F.col("tokens") / F.lit(whole)
     x = F.col("x")
     live = F.when(x > 0, n).otherwise(0.0)
     sums = [F.sum(n * x * x / 2), *[F.sum(n * x * v) for v in p], *[F.sum(live * p[i] * p[j]) for i in range(d) for j in range(d)]]
-    first = None
+    first = None if first is None else np.array(first)
 
     def at(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         nonlocal first
-        got = np.array([float(v) for v in cells.withColumn("x", _rate(F.col("mean"), list(y))).agg(*sums).first()])
+        got = np.array([float(v) for v in rows.withColumn("x", _rate(F.col("p"), list(y))).agg(*sums).first()])
         share = got[1 : d + 1]
         first = np.maximum(share, 1e-6) if first is None else first
         pull = mix.ridge * first
@@ -177,9 +255,11 @@ def solve_rates(cells: DataFrame, mix: Mix) -> list[float]:
         new = at(y + size * step)
         if new[0] <= value + 1e-4 * size * (slope @ step) + 1e-14 * abs(value):
             y, (value, slope, bend), size, step = y + size * step, new, 1.0, None
+        elif size < 1e-12:
+            break
         else:
             size /= 2
-    return [float(v) for v in y]
+    return [float(v) for v in y], [float(v) for v in first]
 
 
 def mixed_shares(rated: DataFrame, mix: Mix = Mix()) -> dict[str, float]:
@@ -190,33 +270,33 @@ def mixed_shares(rated: DataFrame, mix: Mix = Mix()) -> dict[str, float]:
     return {name: (v or 0.0) / whole if whole else 0.0 for name, v in zip(mix.names, got, strict=True)}
 
 
-def mix_rates(docs: DataFrame, labelled: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
-    """``docs`` with ``mix_tokens``, ``mix_share``, ``mix_cell``, ``mix_rate`` and ``mix_copies``; the text column only if ``keep``.
-
-    ``mix_share`` has a document's posteriors, ``mix_cell`` its cell's mean posteriors in GRID-ths.
-    """
+def _rated(docs: DataFrame, labelled: DataFrame, mix: Mix, doc_id: str, text: str, keep: bool, names: Sequence[str]) -> DataFrame:
     work = Scratch(docs.sparkSession, "mixing")
-    model = fit_posterior(docs, labelled, mix, doc_id, text)
-    ws = words(F.col(text))
-    share = model.share(tokens_of(F.col(text), F.col("_mix_words")))
-    scored = docs.withColumn("_mix_words", ws).withColumn("mix_tokens", F.size("_mix_words").cast("long")).withColumn("mix_share", share).drop("_mix_words", *[text] * (not keep))
+    model = fit_posterior(docs, labelled, mix, doc_id, text, work)
+    share = model.share(token_hashes(F.col(text), F.col("_mix_words")))
+    scored = docs.withColumn("_mix_words", words(F.col(text))).withColumn(names[0], F.size("_mix_words").cast("long")).withColumn(names[1], share).drop("_mix_words", *[text] * (not keep))
     if not keep:
         scored = work.cut(scored)
-    scored = scored.withColumn("_mix_key", cell_of(F.col("mix_share")))
-    n = F.sum("mix_tokens")
-    parts = [F.sum(F.col("mix_tokens") * F.get("mix_share", F.lit(i))) for i in range(len(mix.names))]
-    mean = F.when(n > 0, F.array(*[v / n for v in parts])).otherwise(F.transform("_mix_key", lambda c: c / F.lit(GRID)))
-    cells = work.cut(scored.groupBy("_mix_key").agg(n.alias("tokens"), mean.alias("mean")))
-    y = solve_rates(cells, mix)
-    # At most one row for each way to split GRID: a size that does not depend on the documents.
-    center = F.transform("mean", lambda v: v * F.lit(GRID)).alias("mix_cell")
-    rates = work.cut(cells.select("_mix_key", center, _rate(F.col("mean"), y).alias("mix_rate")))
-    out = scored.join(F.broadcast(rates), "_mix_key").drop("_mix_key")
+    few = scored.select(F.col(names[0]).alias("tokens"), F.col(names[1]).alias("p")).where("tokens > 0")
+    few = work.cut(few) if keep else few
+    n = F.sum("tokens")
+    mean = F.array(*[F.sum(F.col("tokens") * F.get("p", F.lit(i))) / n for i in range(len(mix.names))])
+    cells = work.cut(few.groupBy(cell_of(F.col("p")).alias("cell")).agg(n.alias("tokens"), mean.alias("p")))
+    y, first = solve_rates(cells, mix)
+    y, _ = solve_rates(few, mix, y, first)
+    work.drop(cells, *[few] * keep)
     u = F.pmod(F.xxhash64(F.lit("mix"), F.col(doc_id)), F.lit(1 << 20)) / float(1 << 20)
-    return out.withColumn("mix_copies", F.floor(F.col("mix_rate") + u).cast("long"))
+    return scored.withColumn(names[2], _rate(F.col(names[1]), y)).withColumn(names[3], F.floor(F.col(names[2]) + u).cast("long"))
+
+
+def mix_rates(docs: DataFrame, labelled: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
+    """``docs`` with ``mix_tokens``, ``mix_share`` (posteriors), ``mix_rate`` and ``mix_copies``; the text column only if ``keep``."""
+    refuse_clash(docs, ADDED)
+    return _rated(docs, labelled, mix, doc_id, text, keep, ADDED)
 
 
 def mix_documents(docs: DataFrame, labelled: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document as many times as its rate says, with its own columns only."""
-    out = mix_rates(docs, labelled, mix, doc_id, text).where("mix_copies > 0")
-    return out.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    names = [f"_{x}" for x in ADDED]
+    out = _rated(docs, labelled, mix, doc_id, text, True, names).where(F.col(names[3]) > 0)
+    return out.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col(names[3]).cast("int")))).select(*docs.columns)

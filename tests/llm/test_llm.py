@@ -348,12 +348,12 @@ def test_mixing_meets_its_targets(spark):
     out = mixing.mix_rates(df, mixing.label_domains(lab), mix).collect()
     whole = sum(r["mix_tokens"] for r in out)
     for i, d in enumerate(mix.names):
-        share = sum(r["mix_rate"] * r["mix_tokens"] * r["mix_cell"][i] / 32 for r in out) / whole
+        share = sum(r["mix_rate"] * r["mix_tokens"] * r["mix_share"][i] for r in out) / whole
         assert abs(share - mix.targets[d]) < 0.01, d
     # Held-out documents are told apart, and the rates are the solution of the bounded least squares in numpy.
-    right = [max(range(3), key=lambda k, r=r: r["mix_cell"][k]) == mix.names.index(kinds[r["doc_id"] % 9]) for r in out if r["doc_id"] is not None and r["doc_id"] >= 600]
+    right = [max(range(3), key=lambda k, r=r: r["mix_share"][k]) == mix.names.index(kinds[r["doc_id"] % 9]) for r in out if r["doc_id"] is not None and r["doc_id"] >= 600]
     assert sum(right) / len(right) > 0.95
-    p, n = np.array([r["mix_cell"] for r in out]) / 32, np.array([r["mix_tokens"] for r in out]) / whole
+    p, n = np.array([r["mix_share"] for r in out]), np.array([r["mix_tokens"] for r in out]) / whole
     first, t, x = n @ p, np.array([mix.targets[d] for d in mix.names]), np.ones(len(out))
     for _ in range(5000):
         x = np.maximum(0, x - 0.5 * (p @ (((n * x) @ p - t) / first) + mix.ridge * (x - 1)))
@@ -374,7 +374,48 @@ def test_default_mix_meets_its_targets_by_true_posteriors(spark):
     mix = mixing.Mix()
     shares = mixing.mixed_shares(mixing.mix_rates(df, mixing.label_domains(lab), mix), mix)
     for d, t in mix.targets.items():
-        assert abs(shares[d] - t) < 0.01 * t, shares
+        assert abs(shares[d] - t) < 0.001 * t, shares
+
+
+def test_perfect_hash_has_a_slot_for_each_key():
+    rng = random.Random(18)
+    for n in (1, 2, 7, 500, 3000):
+        keys = [rng.randrange(-(2**63), 2**63) for _ in range(n)]
+        shifts, size = mixing.perfect_hash(keys)
+        assert len({(((k & 2**64 - 1) >> 33) + shifts[k % len(shifts)]) % size for k in keys}) == n <= size
+
+
+def test_classifier_weighs_every_telling_token(spark):
+    """Held against naive Bayes in plain Python, on the model's own choice of smoothing and temperature."""
+    rng = random.Random(19)
+    marks = {"clean": [f"good{i}" for i in range(200)], "junk": [f"bad{i}" for i in range(200)], "toxic": [f"vile{i}" for i in range(200)]}
+    kinds = [rng.choice(["clean", "clean", "junk", "toxic"]) for _ in range(700)]
+    texts = [prose(rng, 30, 300) + " " + " ".join(rng.sample(marks[d], 12)) for d in kinds]
+    df = docs_of(spark, texts)
+    lab = spark.createDataFrame([(i, d) for i, d in enumerate(kinds[:500])], "doc_id long, domain string")
+    mix = mixing.Mix()
+    model = mixing.fit_posterior(df, lab, mix)
+    # Far more tokens tell than any short list would hold.
+    assert len(model.tokens) > 300 and model.temperature in mix.temperatures
+    hashes = mixing.token_hashes(F.col("text"), mixing.words(F.col("text")))
+    got = [r["p"] for r in df.select("doc_id", model.share(hashes).alias("p")).orderBy("doc_id").collect()]
+    rows = [r["h"] for r in df.select("doc_id", hashes.alias("h")).orderBy("doc_id").collect()]
+    at = {t: i for i, t in enumerate(model.tokens)}
+    for h, p in zip(rows, got, strict=True):
+        logs = np.array([b + sum(w[at[t]] for t in set(h) if t in at) for b, w in zip(model.base, model.weight, strict=True)]) / model.temperature
+        want = np.exp(logs - logs.max())
+        assert np.allclose(p, want / want.sum(), atol=1e-9)
+    names = mix.names
+    right = [names[int(np.argmax(p))] == d for p, d in zip(got[500:], kinds[500:], strict=True)]
+    assert sum(right) / len(right) > 0.95
+
+
+def test_mixing_refuses_names_that_are_there(spark):
+    df = docs_of(spark, ["a b"]).withColumn("mix_rate", F.lit(1))
+    lab = spark.createDataFrame([(0, "clean")], "doc_id long, domain string")
+    with pytest.raises(ValueError, match="mix_rate"):
+        mixing.mix_rates(df, lab)
+    assert mixing.mix_documents(df, lab).columns == df.columns
 
 
 # ---- 9 lines
@@ -389,8 +430,11 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("k", [1, 2])
-def test_line_dedup_is_that_of_brute_force(spark, k):
+@pytest.mark.parametrize("k,small,gate", [(2, 16, 24 << 20), (1, 2, 0), (2, 2, 0)])
+def test_line_dedup_is_that_of_brute_force(spark, monkeypatch, k, small, gate):
+    """Also with every bucket dealt anew on two segments, and with shuffles in place of broadcasts."""
+    monkeypatch.setattr(linededup, "SMALL", small)
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", gate)
     rng = random.Random(11 + k)
     bases = ["".join(rng.choice("abcdefé ") for _ in range(rng.randrange(20, 40))) for _ in range(8)]
 
@@ -430,6 +474,24 @@ def test_line_dedup_is_that_of_brute_force(spark, k):
     assert linededup.line_dedup(df, near).columns == df.columns and linededup.line_dedup(df.limit(0), near).count() == 0
 
 
+def test_a_family_of_lines_is_not_expanded_into_its_pairs(spark, monkeypatch):
+    rng = random.Random(20)
+    base = "".join(rng.choice("abcdef ") for _ in range(60))
+    family = {base} | {base[:i] + c + base[i + 1 :] for i in range(60) for c in "ghijklmnopqrstuvwxyz"}
+    compared = []
+    real = linededup._links
+    monkeypatch.setattr(linededup, "_links", lambda pairs, *a: (compared.append(pairs.count()), real(pairs, *a))[1])
+    texts = sorted(family)
+    got = linededup.line_dedup(docs_of(spark, texts), removed="gone").agg(F.sum("gone")).first()[0]
+    assert got == len(texts) - 1 and sum(compared) < 15 * len(texts), (len(texts), compared)
+
+
+def test_a_very_long_text_of_lines(spark):
+    text = "\n".join(f"line {i % 50_000} {i % 50_000 * 7919 % 100_003:x} {i % 50_000 * 104_729 % 1_000_003:x}" for i in range(100_000))
+    got = linededup.line_dedup(docs_of(spark, [text, "x" * 1_000_000, "x" * 999_999]), linededup.Near(max_edits=0), removed="gone").orderBy("doc_id").collect()
+    assert [r["gone"] for r in got] == [50_000, 0, 0]
+
+
 def test_equal_lines_of_every_length_are_removed(spark):
     texts = ["All rights reserved.\n\nend\n \nshort one 1", "é\nAll rights reserved.\n\nend\n \nshort one 22", "é\nAll rights reserve\nends\nend", None]
     got = [r["text"] for r in linededup.line_dedup(docs_of(spark, texts)).orderBy("doc_id").collect()]
