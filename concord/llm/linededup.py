@@ -8,11 +8,12 @@ segment's number narrow down to a few. Each line lists the hashes of those subst
 sum, and if all but k of sixteen parts of one lie in the other near their places. What is left is verified on their text
 by a banded bit-parallel automaton: one word for each number of errors, one bit for each of the 2k + 1 diagonals.
 
-A bucket of lines with a common key is not expanded into its pairs. Its lines are first held against its smallest one.
-Only buckets that then hold several components go on: small ones pair by pair, across components; the lines of large
-ones are dealt anew on keys of two out of k + 2 segments, which lines within k edits share too, held against a few hubs
-in turn, and compared pair by pair only across the components that are left. So a family around one line costs time in
-proportion to its lines, and no pair is lost.
+A bucket of lines with a common key is not expanded into its pairs. Its lines are first held against its hub, the line
+that meets the most others. Only buckets that then hold several components go on: small ones pair by pair, across
+components; the lines of large ones are dealt anew on keys of the whole line but k of k + 4 segments, which lines within k
+edits share too, and compared pair by pair across the components that are left there. So a family around one line costs
+time in proportion to its lines, and no pair is lost. A family without such a line, many of whose lines differ in the
+same two segments only, still costs the square of that number.
 
 Equal lines are one node, whatever their length. A class is a connected component of near duplicates; its first
 occurrence, by (doc_id, text hash, line number), stays, the others go. ``near_chars`` is the square of k + 1, which the
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -40,10 +42,8 @@ from .text import BLANKS
 LETTERS = "etaoinsrhld cumfpgwybvk."
 #: Ids of candidate lines, or positions of removed lines, that may be broadcast, in bytes; beyond it they are shuffled.
 BROADCAST_BYTES = 24 << 20
-#: Lines of a bucket that are compared one by one; larger buckets are dealt anew on two segments.
+#: Lines of a bucket that are compared one by one; larger buckets are dealt anew.
 SMALL = 16
-#: Hubs that a bucket on two segments gets, one after the other, while they find links.
-ROUNDS = 4
 
 
 @dataclass(frozen=True)
@@ -69,41 +69,47 @@ def shifts(k: int) -> list[tuple[int, int, int]]:
 def substring_keys(line: Column, n: Column, k: int) -> Column:
     """Hashes of (segment number, substring) for the segments of every line that may be up to k shorter.
 
-    A line of length l has segments of l div (k + 1) code points, the last l mod (k + 1) of them one longer. One lambda
-    over the shifts keeps the generated code small.
+    A line of length l has segments of l div (k + 1) code points, the last l mod (k + 1) of them one longer.
     """
-    specs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d"), F.lit(s).alias("s")) for i, d, s in shifts(k)])
 
-    def key(p: Column) -> Column:
-        q, r = F.call_function("div", n - p["d"], F.lit(k + 1)).cast("int"), (n - p["d"]) % (k + 1)
-        start = q * p["i"] + F.greatest(F.lit(0), r - (k + 1) + p["i"]) + p["s"]
-        size = q + (r > F.lit(k) - p["i"]).cast("int")
-        return F.xxhash64(p["i"], F.substring(line, start + 1, size))
+    def key(i: int, d: int, s: int) -> Column:
+        start, size = _segment(n - d, k + 1, F.lit(i))
+        return F.xxhash64(F.lit(i), F.substring(line, start + s + 1, size))
+
+    return F.array_distinct(F.array(*[key(*x) for x in shifts(k)]))
 
-    return F.array_distinct(F.transform(specs, key))
 
+def _segment(n: Column, parts: int, i: Column) -> tuple[Column, Column]:
+    """Begin and size of segment i of a line of n code points."""
+    q, r = F.call_function("div", n, F.lit(parts)).cast("int"), n % parts
+    return q * i + F.greatest(F.lit(0), r - parts + i), q + (r > F.lit(parts - 1) - i).cast("int")
 
-def pair_shifts(k: int) -> list[tuple[int, int, int, int, int]]:
-    """(i, j, d, s, t): two of k + 2 segments of a line d shorter, and the places where they may lie in a line.
 
-    k edits leave two of the segments whole. At least |s| edits lie before the first, |t - s| between them and |d - t|
-    after the second.
+def rest_shifts(k: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """(segments left out, shifts of the stretches after each of them): k of k + 4 segments hold all edits.
+
+    What lies before the first of them is in place; the last shift is the difference of the lengths. From one stretch to
+    the next the shift changes by one for each edit between them at least.
     """
-    near = range(-k, k + 1)
-    return [(i, j, d, s, t) for j in range(k + 2) for i in range(j) for d in range(k + 1) for s in near for t in near if abs(s) + abs(t - s) + abs(d - t) <= k]
+    moves = [x for x in product(range(-k, k + 1), repeat=k) if 0 <= x[-1] and sum(abs(b - a) for a, b in zip((0, *x), x, strict=False)) <= k]
+    return [(out, x) for out in combinations(range(k + 4), k) for x in moves]
 
 
-def pair_keys(line: Column, n: Column, k: int) -> Column:
-    """Hashes of two segments each, for the segments of every line that may be up to k shorter."""
-    specs = F.array(*[F.struct(*[F.lit(v).alias(name) for name, v in zip("ijdst", x, strict=True)]) for x in pair_shifts(k)])
+def rest_keys(line: Column, n: Column, k: int) -> Column:
+    """Hashes of what is left of a line, or of one up to k shorter in its place, without k of k + 4 segments."""
+    specs = F.array(*[F.struct(F.array(*map(F.lit, out)).alias("out"), F.array(*map(F.lit, x)).alias("to")) for out, x in rest_shifts(k)])
 
-    def part(p: Column, i: str, s: str) -> Column:
-        q, r = F.call_function("div", n - p["d"], F.lit(k + 2)).cast("int"), (n - p["d"]) % (k + 2)
-        start = q * p[i] + F.greatest(F.lit(0), r - (k + 2) + p[i]) + p[s]
-        # A place before the line's begin holds nothing.
-        return F.when(start >= 0, F.substring(line, start + 1, q + (r > F.lit(k + 1) - p[i]).cast("int")))
+    def key(p: Column) -> Column:
+        size = n - p["to"][k - 1]
+        at, parts = F.lit(0), []
+        for j in range(k):
+            begin, long_ = _segment(size, k + 4, p["out"][j])
+            shift = p["to"][j - 1] if j else F.lit(0)
+            parts.append(F.substring(line, at + 1, F.greatest(begin + shift - at, F.lit(0))))
+            at = F.greatest(begin + long_ + p["to"][j], F.lit(0))
+        return F.xxhash64(p["out"], *parts, F.substring(line, at + 1, n))
 
-    return F.array_distinct(F.transform(specs, lambda p: F.xxhash64(p["i"], p["j"], part(p, "i", "s"), part(p, "j", "t"))))
+    return F.array_distinct(F.transform(specs, key))
 
 
 def _let(value: Column, body) -> Column:
@@ -188,63 +194,47 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str, near: Near) -> DataFra
     return rows.select("d", "t", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line, F.lit(7)).alias("h2"), "line")
 
 
-def near_lines(occ: DataFrame, near: Near, work: Scratch) -> DataFrame:
-    """(h1, h2, component): near-duplicate lines; lines without near duplicates are missing."""
+def near_lines(keyed: DataFrame, occ: DataFrame, near: Near, work: Scratch) -> DataFrame:
+    """(h1, h2, component): near-duplicate lines; lines without near duplicates are missing. ``keyed`` has h1 and keys."""
     k = near.max_edits
-    distinct = occ.select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
-    ready = distinct.withColumn("n", F.length("line")).select("h1", substring_keys(F.col("line"), F.col("n"), k).alias("keys"))
     # An outer explode: the filter on the array's size that an inner one infers would compute the keys again.
-    keyed = ready.select("h1", F.explode_outer("keys").alias("key"))
-    shared = _shared(keyed, work)
+    shared = _shared(keyed.select("h1", F.explode_outer("keys").alias("key")), work)
     ids = work.cut(shared.select("h1").distinct())
     ids = F.broadcast(ids) if 16 * ids.count() <= BROADCAST_BYTES else ids
     texts = work.cut(occ.select("h1", "h2", "line").join(ids, "h1", "left_semi").distinct().select("*", *[f.alias(f"f{i}") for i, f in enumerate(letter_counts(F.col("line")))]))
-    comp = work.cut(components(_links(_stars(shared), texts, k, work), work))
+    comp = work.cut(components(_links(_stars(shared, work), texts, k, work), work))
     open_ = _unresolved(shared, comp, work)
-    work.drop(shared)
-    comp = _joined(comp, _links(_across(open_.where(F.col("size") <= SMALL), texts, k), texts, k, work), work)
-    # Lines of large buckets that are not one component: their few neighbours share two of k + 2 segments.
-    again = open_.where(F.col("size") > SMALL).select("h1").distinct()
-    ready = texts.join(again, "h1", "left_semi").withColumn("n", F.length("line")).select("h1", pair_keys(F.col("line"), F.col("n"), k).alias("keys"))
-    shared = _shared(ready.select("h1", F.explode_outer("keys").alias("key")), work)
-    work.drop(open_)
-    for r in range(1, ROUNDS + 1):
-        open_ = _unresolved(shared, comp, work)
-        found = _links(_hubs(open_, r), texts, k, work)
-        comp, more = _joined(comp, found, work), found.limit(1).count()
-        work.drop(open_, found)
-        if not more:
-            break
-    open_ = _unresolved(shared, comp, work)
-    comp = _joined(comp, _links(_across(open_, texts, k), texts, k, work), work)
+    pairs = _across(open_.where(F.col("size") <= SMALL), texts, k)
+    # The lines of large buckets meet again only where all but k of k + 4 segments are the same.
+    again = texts.join(open_.where(F.col("size") > SMALL).select("h1").distinct(), "h1", "left_semi")
+    rest = _shared(again.select("h1", F.explode_outer(rest_keys(F.col("line"), F.length("line"), k)).alias("key")), work)
+    dense = _unresolved(rest, comp, work)
+    links = _links(pairs.unionByName(_across(dense, texts, k)).distinct(), texts, k, work)
+    comp = work.cut(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), work))
     out = work.cut(comp.select(F.col("node").alias("h1"), "component").join(texts.select("h1", "h2"), "h1"))
-    work.drop(shared, open_, comp, texts)
+    work.drop(shared, open_, rest, dense, links, comp, texts)
     return out
 
 
 def _shared(keyed: DataFrame, work: Scratch) -> DataFrame:
-    """(h1, key, hub): the keys that several lines have, and each one's smallest line."""
+    """(h1, key, size): the keys that several lines have, and of how many lines."""
     w = Window.partitionBy("key")
-    rows = keyed.repartition("key").withColumn("hub", F.min("h1").over(w)).withColumn("hi", F.max("h1").over(w)).where("hub <> hi")
-    return work.cut(rows.select("h1", "key", "hub"))
+    rows = keyed.where(F.col("key").isNotNull()).repartition("key").withColumn("lo", F.min("h1").over(w)).withColumn("hi", F.max("h1").over(w))
+    return work.cut(rows.withColumn("size", F.count("*").over(w)).where("lo <> hi").select("h1", "key", "size"))
 
 
-def _stars(shared: DataFrame) -> DataFrame:
-    return shared.where("h1 <> hub").select(F.col("hub").alias("a"), F.col("h1").alias("b")).distinct()
+def _stars(shared: DataFrame, work: Scratch) -> DataFrame:
+    """Pairs of the lines of a bucket with its hub: the line that meets the most others, in all its buckets."""
+    weight = shared.groupBy("h1").agg(F.struct(F.sum("size").alias("w"), "h1").alias("w"))
+    hub = work.cut(shared.join(weight, "h1").groupBy("key").agg(F.max("w").alias("hub")).select("key", F.col("hub.h1").alias("hub")))
+    return shared.join(hub, "key").where("h1 <> hub").select(F.least("h1", "hub").alias("a"), F.greatest("h1", "hub").alias("b")).distinct()
 
 
 def _unresolved(shared: DataFrame, comp: DataFrame, work: Scratch) -> DataFrame:
     """(h1, key, c, size) of the buckets that hold several components; c is the line's."""
-    named = shared.select("h1", "key").join(comp.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "key", F.coalesce("component", "h1").alias("c"))
-    per = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-    return work.cut(named.join(per, "key").select("h1", "key", "c", "size"))
-
-
-def _hubs(open_: DataFrame, r: int) -> DataFrame:
-    """Pairs of each bucket's hub, another one each round, with the members that are not of its component."""
-    rank = F.struct(F.xxhash64(F.lit(r), "h1"), "h1", "c")
-    hub = open_.groupBy("key").agg(F.min(rank).alias("hub")).select("key", F.col("hub.h1").alias("a"), F.col("hub.c").alias("ca"))
-    return open_.join(hub, "key").where("c <> ca").select(F.least("a", "h1").alias("a"), F.greatest("a", "h1").alias("b")).distinct()
+    named = shared.join(comp.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "key", F.coalesce("component", "h1").alias("c"), "size")
+    per = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return work.cut(named.join(per, "key", "left_semi"))
 
 
 def _across(open_: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -269,20 +259,17 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, work: Scratch) -> DataFra
     return out
 
 
-def _joined(comp: DataFrame, links: DataFrame, work: Scratch) -> DataFrame:
-    """Components of the old components' stars and more links."""
-    out = work.cut(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), work))
-    work.drop(comp)
-    return out
-
-
 def repeated_lines(docs: DataFrame, near: Near, doc_id: str, text: str, work: Scratch) -> DataFrame:
     """(d, t, gone): per document the positions of lines that repeat an earlier one."""
     occ = _occurrences(docs, doc_id, text, near)
-    comp = near_lines(occ.where(F.length("line") >= near.near_chars), near, work)
     at = F.struct("d", "t", "pos")
-    lines = occ.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    classed = work.cut(lines.join(comp, ["h1", "h2"], "left").where("n > 1 or component is not null"))
+    lines = occ.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(at).alias("first"), F.count("*").alias("n"))
+    size = F.length("line")
+    keys = F.when(size >= near.near_chars, substring_keys(F.col("line"), size, near.max_edits))
+    lines = work.cut(lines.select("h1", "h2", "first", "n", keys.alias("keys")))
+    comp = near_lines(lines, occ.where(F.length("line") >= near.near_chars), near, work)
+    classed = work.cut(lines.join(comp, ["h1", "h2"], "left").where("n > 1 or component is not null").drop("keys"))
+    work.drop(lines)
     alone = classed.where("component is null and n > 1").select("h1", "h2", "first")
     many = classed.where("component is not null")
     tops = many.groupBy("component").agg(F.min("first").alias("top"))
