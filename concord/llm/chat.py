@@ -12,7 +12,7 @@ conversation.
 
 Defined cases: a null text or role counts as empty; rows of one conversation and turn go by role, then text; a null turn
 comes first; a null conversation is a conversation of its own; a repeated row is a turn of its own; other columns are
-ignored; an empty table gives no windows.
+ignored, whatever their names; a text of any length is whole; an empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -102,10 +102,7 @@ class _Windows:
 
 
 def chat_windows(turns: DataFrame, budget: int = 2048, count: Callable[[str], int] = count_tokens) -> DataFrame:
-    """conv_id, window, text, n_tokens, n_history (turns repeated), loss (code point spans of the targets).
-
-    The windows of a conversation follow one another within one partition.
-    """
+    """conv_id, window, text, n_tokens, n_history (turns repeated), loss (code point spans of the targets)."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -136,7 +133,10 @@ def chat_windows(turns: DataFrame, budget: int = 2048, count: Callable[[str], in
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
-    """One row per conversation, read back from its windows as they come: digests of its turns and of its targets."""
+    """One row per conversation, read back from its windows: digests of its turns and of its targets.
+
+    The windows may come in any order and from anywhere, a table that was written and read again included.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
@@ -168,4 +168,5 @@ def read_windows(windows: DataFrame) -> DataFrame:
         if now is not None:
             yield pd.DataFrame([done()], columns=names).astype({"conv_id": "Int64"})
 
-    return windows.mapInPandas(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    rows = windows.select("conv_id", "window", "text", "n_history", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return rows.mapInPandas(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")

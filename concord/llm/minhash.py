@@ -14,7 +14,8 @@ the pairs that come of it are held against each other. No link of a bucket is lo
 group of copies is not expanded into its pairs. Only pairs whose sizes allow the similarity are compared.
 
 Defined cases: a document without words, with null text, or of a null id is linked with nothing and kept; the same id
-twice is one node with both sets; other columns pass through; an empty table gives none.
+twice is one node with both sets; texts of any length are whole; only the four output columns come back, whatever else
+the table has; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .shingles import shingle_sets
 BANDS, ROWS = 32, 5
 #: Counters of the order of tokens; a power of two. As int32 they are what a worker holds.
 COUNTERS = 1 << 18
-
-
+#: Pairs that one copy of a set serves.
+SALT = 256
 #: Ids of documents with a bucket in common that may be broadcast, in bytes; beyond it they are shuffled.
 BROADCAST_BYTES = 8 << 20
 
@@ -121,12 +122,20 @@ def _full_sets(docs: DataFrame, sim: Similarity) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough.
+
+    A set that many pairs name as their ``b`` is copied, once for each ``SALT`` of them, so that no task gets them all.
+    """
+    pairs = work.cut(pairs.select("a", "b"))
+    parts = pairs.groupBy("b").agg((1 + F.floor(F.count("*") / SALT)).alias("parts")).where("parts > 1")
+    parts = work.cut(parts)
+    salted = pairs.join(parts, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).alias("salt"))
     one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")).join(parts, "b", "left")
+    two = two.select("b", "sb", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return pairs.select("a", "b").join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return salted.join(one, "a").join(two, ["b", "salt"]).where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def _sizes_allow(x: Column, y: Column, percent: int) -> Column:
@@ -143,6 +152,8 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), doc_id: str
     reps = sk.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     rows = reps.select("rep", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
+    # Written, so that the join can split the rows of a key that very many classes share.
+    shared = work.cut(shared)
     member = work.cut(rows.join(shared, "key"))
     near = work.cut(member.select(F.col("rep").alias("doc_id")).distinct())
     near = F.broadcast(near) if 16 * near.count() <= BROADCAST_BYTES else near
@@ -152,7 +163,7 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), doc_id: str
     stars = member.where("rep <> hub").select("rep", "n", "hub").distinct().join(hub_n, "hub").where(_sizes_allow(F.col("n"), F.col("hub_n"), sim.percent))
     # Equal sets under several ids are links to the smallest.
     same = sk.join(reps.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = work.cut(_verified(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")), sets, sim.percent))
+    links = work.cut(_verified(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")), sets, sim.percent, work))
     comp = work.cut(components(links, work))
     comp = _rest(member, sets, comp, sim, work)
     # Classes, then their members.
@@ -220,7 +231,7 @@ def _rest(member: DataFrame, sets: DataFrame, comp: DataFrame, sim: Similarity,
     named = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     per = named.groupBy("key", "c").agg(F.count("*").alias("m"))
     head = per.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("giant"), F.count("*").alias("comps")).where("comps > 1")
-    rows = named.join(head, "key")
+    rows = named.join(work.cut(head), "key")
     both = work.cut(rows.groupBy("rep").agg(F.first("c").alias("c"), F.max((F.col("c") != F.col("giant")).cast("int")).alias("seeks")))
     pre = work.cut(_prefixes(sets.join(both.select("rep"), "rep", "left_semi"), sim.percent).join(both, "rep"))
     x, y = pre.where("seeks = 1").alias("x"), pre.alias("y")
@@ -228,7 +239,7 @@ def _rest(member: DataFrame, sets: DataFrame, comp: DataFrame, sim: Similarity,
     room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     fits = (F.col("x.c") != F.col("y.c")) & _sizes_allow(F.col("x.n"), F.col("y.n"), sim.percent) & ((100 + sim.percent) * room >= need)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
-    found = work.cut(_verified(pairs, sets, sim.percent))
+    found = work.cut(_verified(pairs, sets, sim.percent, work))
     ends = found.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     joined = work.cut(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), work))
     old = comp.unionByName(joined.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

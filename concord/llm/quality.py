@@ -1,22 +1,26 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule reads one counted feature of a text. On a bounded sample every rule is timed and its share of rejections is
-counted; the rules then run in the order of rejections per second, and a feature is computed only for documents that
-all earlier rules let through. The order changes the cost, never the verdict, which is "no rule rejects".
+Each rule reads one counted feature of a text. On a bounded sample, picked by the texts' hashes, the characters, words and
+lines that each feature touches are counted (its cost, in passes over them: ``PASSES``), and which rules reject which
+documents. The rules then run in the order of rejections per cost: the next one is the rule with the most rejections among
+the sample's documents that are left, for the features that no earlier rule has computed. A feature is computed only for
+documents that all earlier rules let through. The order is the same in every run on the same table; it changes the cost,
+never the verdict, which is "no rule rejects". :func:`quality_report` counts the base features of every row, as its
+callers ask, so there the cascade saves only the other rules; :func:`quality_rules` saves all that follow a rejection.
 
 Defined cases: a null text counts as an empty one, which fails the first base rule (fewer than ten words); a repeated
-row gets its own verdict; other columns pass through untouched, and the columns added here are named by the caller's
-``prefix`` so that names do not clash; an empty table gives an empty result.
+row gets its own verdict; texts of any length are whole; other columns pass through untouched, and an output name that is
+among them is refused (``prefix`` changes the names of all outputs); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import refuse_clash
 from .text import BLANKS, lines, words
 
 WINDOW = 5
@@ -45,11 +49,20 @@ DEFAULT = (
 )
 
 
+#: What each feature costs: passes over a text's characters, its words and its lines, and the feature that it starts from.
+PASSES = {
+    "words": (7, 1, 0, None), "lines": (2, 0, 1, None), "n_words": (0, 0, 0, "words"), "n_lines": (0, 0, 0, "lines"),
+    "word_chars": (6, 0, 0, None), "n_symbols": (8, 0, 0, None), "n_marks": (1, 0, 0, None), "n_dup_lines": (1, 0, 4, "lines"), "n_repeat_words": (10, 40, 0, "words"),
+}
+#: Features and other columns while they are computed.
+_OWN = "_quality_"
+
+
 class _Features:
     """Adds features to a frame, each once, guarded by a condition on the rows that still need it."""
 
-    def __init__(self, df: DataFrame, text: str, prefix: str):
-        self.df, self.text, self.p, self.have = df, text, prefix, set()
+    def __init__(self, df: DataFrame, text: str):
+        self.df, self.text, self.p, self.have = df, text, _OWN, set()
 
     def col(self, name: str) -> Column:
         return F.col(self.p + name)
@@ -114,58 +127,83 @@ class _Features:
 
 
 def cascade(docs: DataFrame, rules: Sequence[Rule], text: str = "text", prefix: str = "", always: Sequence[str] = ()) -> DataFrame:
-    """Adds ``kept`` and ``rejected_by``; rules run in the given order, and features after a rejection stay null.
+    """Adds the features, ``rejected_by`` and ``kept``; rules run in the given order, and features after a rejection stay null.
 
     ``always`` names features that every row gets, whatever the verdict.
     """
-    f = _Features(docs, text, prefix)
+    f = _Features(docs, text)
     for name in always:
         f.add(name, F.lit(True))
-    f.df = f.df.withColumn(prefix + "rejected_by", F.lit(None).cast("string"))
-    by = F.col(prefix + "rejected_by")
+    f.df = f.df.withColumn(_OWN + "rejected_by", F.lit(None).cast("string"))
+    by = F.col(_OWN + "rejected_by")
     for r in rules:
         for name in r.features:
             f.add(name, by.isNull())
         fails = r.fails({x: f.col(x) for x in r.features})
-        f.df = f.df.withColumn(prefix + "rejected_by", F.when(by.isNotNull(), by).when(fails, F.lit(r.name)))
+        f.df = f.df.withColumn(_OWN + "rejected_by", F.when(by.isNotNull(), by).when(fails, F.lit(r.name)))
+    added = [*sorted(f.have - {"words", "lines"}), "rejected_by", "kept"]
+    refuse_clash(docs, [*[prefix + x for x in added], *[_OWN + x for x in (*added, "words", "lines")]])
     # A one-element explode: a filter on the verdict stays above it, where it reads one column. Below, the optimizer
     # would put the whole chain of features into the filter's condition, each as often as it is named.
-    done = f.df.withColumn(prefix + "kept", F.explode(F.array(by.isNull())))
-    return done.drop(*[prefix + x for x in ("words", "lines")])
+    done = f.df.withColumn(_OWN + "kept", F.explode(F.array(by.isNull())))
+    return done.select(*docs.columns, *[F.col(_OWN + x).alias(prefix + x) for x in added])
 
 
-def plan_order(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 400) -> list[Rule]:
-    """The rules by rejections per second on ``sample_rows`` rows at most, cheapest rejections first.
+def plan_order(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 400, computed: Sequence[str] = ()) -> list[Rule]:
+    """The rules by rejections per cost on ``sample_rows`` rows at most; ``computed`` names features that cost nothing.
 
-    The sample is only timed and counted: it decides the order, and with it the cost, and no verdict.
+    The sample is only counted: it decides the order, and with it the cost, and no verdict.
     """
-    sample = docs.select(F.col(text).alias("text")).limit(sample_rows).persist()
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).limit(sample_rows).persist()
+    if sample.count() < sample_rows // 4:  # a small table
+        sample.unpersist()
+        sample = rows.limit(sample_rows).persist()
     try:
-        n = max(1, sample.count())
-        scored = []
-        for r in rules:
-            began = time.perf_counter()
-            rejected = cascade(sample, [r]).agg(F.coalesce(F.sum((~F.col("kept")).cast("int")), F.lit(0))).first()[0]
-            scored.append((-(rejected / n) / max(1e-6, time.perf_counter() - began), r.name, r))
+        every = sorted({x for r in rules for x in r.features})
+        judged = cascade(sample, [], always=[*every, "n_words", "n_lines"])
+        bits = sum((F.when(r.fails({x: F.col(x) for x in r.features}), 1 << i).otherwise(0) for i, r in enumerate(rules)), F.lit(0))
+        got = judged.groupBy(bits.alias("bits")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"), F.sum("n_words").alias("w"), F.sum("n_lines").alias("l")).collect()
     finally:
         sample.unpersist()
-    return [r for _, _, r in sorted(scored, key=lambda x: x[:2])]
+    left, have, out, open_ = {r["bits"]: r["n"] for r in got}, set(computed), [], list(range(len(rules)))
+    size = [sum(r[x] or 0 for r in got) for x in "cwl"]
+
+    def needs(name: str) -> set[str]:
+        start = PASSES[name][3]
+        return {name} | (needs(start) if start else set())
 
+    have = set().union(*map(needs, have)) if have else set()
+    while open_:
+        total = max(1, sum(left.values()))
 
-def quality_rules(docs: DataFrame, rules: Sequence[Rule] = DEFAULT, text: str = "text", prefix: str = "") -> DataFrame:
+        def worth(i: int, total: int = total) -> tuple[float, str]:
+            fresh = set().union(*(needs(x) for x in rules[i].features)) - have
+            cost = 1 + sum(p * n for x in fresh for p, n in zip(PASSES[x][:3], size, strict=True))
+            return -sum(n for b, n in left.items() if b >> i & 1) / total / cost, rules[i].name
+
+        best = min(open_, key=worth)
+        open_.remove(best)
+        out.append(rules[best])
+        have |= set().union(*(needs(x) for x in rules[best].features))
+        left = {b: n for b, n in left.items() if not b >> best & 1}
+    return out
+
+
+def quality_rules(docs: DataFrame, rules: Sequence[Rule] = DEFAULT, text: str = "text") -> DataFrame:
     """The rows that base rules and ``rules`` all accept, with their own columns only."""
     order = plan_order(docs, [*BASE, *rules], text)
-    p = prefix or "_quality_"
-    out = cascade(docs, order, text, p)
-    return out.where(F.col(p + "kept")).select(*docs.columns)
+    mark = "_quality_out_"
+    return cascade(docs, order, text, mark).where(F.col(mark + "kept")).select(*docs.columns)
 
 
-def quality_report(docs: DataFrame, rules: Sequence[Rule] = DEFAULT, text: str = "text") -> DataFrame:
-    """Every row with all base features, ``base_failed`` and ``kept``."""
+def quality_report(docs: DataFrame, rules: Sequence[Rule] = DEFAULT, text: str = "text", prefix: str = "") -> DataFrame:
+    """Every row with all base features, ``base_failed``, ``rejected_by`` and ``kept``."""
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    order = plan_order(docs, [*BASE, *rules], text)
-    out = cascade(docs, order, text, always=base)
+    refuse_clash(docs, [prefix + "base_failed"])
+    order = plan_order(docs, [*BASE, *rules], text, computed=base)
+    out = cascade(docs, order, text, prefix, always=base)
     failed = F.lit(False)
     for r in BASE:
-        failed = failed | r.fails({x: F.col(x) for x in r.features})
-    return out.withColumn("base_failed", failed)
+        failed = failed | r.fails({x: F.col(prefix + x) for x in r.features})
+    return out.withColumn(prefix + "base_failed", failed)

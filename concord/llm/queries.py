@@ -45,7 +45,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     forged = spark.createDataFrame([(-1, 0, "user", FORGED), (-1, 1, "assistant", FORGED)], "conv_id long, turn long, role string, text string")
-    return read_windows(chat_windows(turns.unionByName(forged)))
+    # The budget splits more than half of the conversations into several windows.
+    return read_windows(chat_windows(turns.unionByName(forged), budget=512))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +127,8 @@ r(rule, rhost, rpath, v) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org
     ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
 m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM u JOIN r
       ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT u.page_id, host, path, m.rule, coalesce(m.v, CASE WHEN k LIKE '%.cheap-pills.%' OR k LIKE '%.casino.%' OR k LIKE '%.replica-watches.%'
-       OR k LIKE '%/ads/%' OR k LIKE '%/free-download/%' THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN m USING (page_id)"""
+SELECT u.page_id, host, path, m.rule, coalesce(m.v, CASE WHEN @PATTERNS@ THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN m USING (page_id)""".replace("@PATTERNS@", " OR ".join("contains(k, '" + x.strip("*") + "')" for x in PATTERNS))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,

@@ -7,14 +7,17 @@ stretches (markers, then what follows up to the next marker), and equal stretche
 set without that property is solved over whole texts.
 
 Ties of the score go to the path whose last piece is longer. Nothing is trained: the pieces and scores come from a file.
+A file whose scores are the ranks of a merge list (whole numbers, no two alike but the least) holds no log scores; sums of ranks would
+shun every late piece, so a piece then gets the log probability that Zipf's law gives its rank (``zipf_scores``).
 
 Defined cases: a null text encodes as null, an empty one as no pieces; texts of any length are whole; repeated rows get
-a row each; other columns pass through. A marker in the text itself
-decodes to a space; every other text decodes to itself.
+a row each; other columns pass through, and an output name that is among them is refused; an empty table gives none. A
+marker in the text itself decodes to a space; every other text decodes to itself.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .scratch import refuse_clash
+
 MARK = "▁"
 #: Stretches that a worker remembers.
 CACHE = 400_000
@@ -86,6 +91,16 @@ class DoubleArray:
         return at - c0
 
 
+def zipf_scores(ranks: list[float], matched: list[bool]) -> list[float]:
+    """Log probabilities of pieces from ranks, the best of which is the greatest number: -log(place) - log(sum of 1 / place)."""
+    order = sorted((i for i, ok in enumerate(matched) if ok), key=lambda i: -ranks[i])
+    out = [0.0] * len(ranks)
+    whole = math.log(sum(1 / (n + 1) for n in range(len(order))) or 1.0)
+    for n, i in enumerate(order):
+        out[i] = -math.log(n + 1) - whole
+    return out
+
+
 @dataclass
 class Model:
     """Pieces by id, scores, kinds and the trie of the pieces that text can match."""
@@ -119,7 +134,11 @@ class Model:
         of = {p: i for i, p in enumerate(pieces)}
         byte_ids = [of.get(f"<0x{b:02X}>", -1) for b in range(256)]
         matched = [not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i)) for i in n]
-        return cls.of(pieces, [m.get_score(i) for i in n], matched, byte_ids if min(byte_ids) >= 0 else [], m.unk_id())
+        scores = [m.get_score(i) for i in n]
+        own = [x for x, ok in zip(scores, matched, strict=True) if ok]
+        if len(own) > 1 and len(set(own)) + own.count(min(own)) == len(own) + 1 and all(x <= 0 and x == int(x) for x in own):
+            scores = zipf_scores(scores, matched)
+        return cls.of(pieces, scores, matched, byte_ids if min(byte_ids) >= 0 else [], m.unk_id())
 
 
 class Encoder:
@@ -210,6 +229,7 @@ def _shared(df: DataFrame, model: Model):
 
 def _with_columns(df: DataFrame, make, names: list[str], kinds: list) -> DataFrame:
     """``df`` with more columns, which ``make()`` computes from a slice of rows; few rows at a time bound the memory."""
+    refuse_clash(df, names)
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,8 @@ one wins, on equal length the first by code point. Pattern rules have ``*`` for
 host rule fits: block beats allow. Where nothing fits the verdict is allow.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no host rule and is allowed unless
-a pattern fits "."; repeated rows get a row each; other columns pass through; an empty table gives none.
+a pattern fits "."; repeated rows get a row each; urls of any length are whole; other columns pass through, and an output
+name that is among them is refused (``names`` names the outputs); an empty table gives none.
 """
 
 from __future__ import annotations
@@ -22,11 +23,15 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import refuse_clash
 from .text import LOWER, UPPER
 
 TOKEN = "[a-z0-9]+"
-#: Patterns that the default filter blocks: hosts and paths that name what they sell.
-PATTERNS = ("*.cheap-pills.*", "*.casino.*", "*.replica-watches.*", "*/ads/*", "*/free-download/*")
+#: Labels of hosts that name what they sell, and parts of paths that hold no prose: adverts, trackers, traps, pirated files.
+SOLD = "casino cheap-pills replica-watches online-casino sportsbook slots poker-bonus payday-loans cheap-viagra buy-pills replica-bags xxx porn escorts webcam-girls warez keygen crack-download torrents free-ringtones lottery-winner work-from-home get-rich-quick miracle-diet essay-writers buy-followers link-farm parked-domain"
+PARTS = "ads adserver adclick banners doubleclick popunder affiliate tracking.gif pixel.gif free-download serial-keygen cracked warez torrent cgi-bin/redirect wp-login.php xmlrpc.php phpmyadmin .git .env"
+#: Patterns that the default filter blocks.
+PATTERNS = (*(f"*.{x}.*" for x in SOLD.split()), *(f"*/{x}/*" for x in PARTS.split()))
 #: More rules than this are an error: the index goes to every executor, so its size is bounded.
 MAX_RULES = 100_000
 
@@ -90,6 +95,7 @@ def build_index(rules: Sequence[UrlRule], counts: dict[str, int]) -> dict[str, l
 
 def url_filter(pages: DataFrame, rules: Sequence[UrlRule], url: str = "url", names: tuple[str, str, str, str] = ("host", "path", "rule", "verdict")) -> DataFrame:
     """``pages`` with four more columns, named by ``names``; the host rule that decided is in the third."""
+    refuse_clash(pages, names)
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
     host, path = url_parts(F.col(url))

@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import math
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from concord.llm import chat, html, linededup, minhash, mixing, quality, sentencepiece as sp, shingles, suffix, topk, urls
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -130,6 +134,24 @@ def test_topk_in_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_topk_of_large_components_and_repeated_queries(spark, monkeypatch):
+    rng = random.Random(31)
+    rows = [(i, [float(rng.randrange(-1000, 1000)) for _ in range(6)]) for i in range(120)]
+    rows += [(900, [1e6, -1.0, 0.0, 0.0, 0.0, 0.0]), (901, [1e7] * 6), (50, [1.0] * 6), (50, rows[50][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    vs = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = {}
+    for q in (0, 50, 100, 900):
+        own = min(v for i, v in vs if i == q)
+        want[q] = [(i, -s) for s, i in sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in vs if i != q)[:5]]
+    got = collections.defaultdict(list)
+    for r in topk.topk_search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert dict(got) == want
+    with pytest.raises(ValueError, match="2.62"):
+        topk.topk_search(spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e9, 1.0])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+
+
 # ---- 3 quality
 
 
@@ -137,7 +159,13 @@ def test_quality_counts(spark):
     rng = random.Random(4)
     texts = [None, "", "a b c", prose(rng, 80), "x " * 40, "a b c d e f g h i j k l a b c d e q r s", "### !! " * 20, "one line here\n" * 6 + prose(rng, 40)]
     texts += [" ".join(rng.choice("abc") for _ in range(rng.randrange(60))) for _ in range(40)]
-    df = docs_of(spark, texts).withColumn("kept", F.lit("mine")).drop("kept")
+    df = docs_of(spark, texts).withColumn("words", F.lit("mine")).withColumn("lines", F.lit("mine"))
+    assert {(r["words"], r["lines"]) for r in quality.quality_report(df).collect()} == {("mine", "mine")}
+    clash = df.withColumn("Kept", F.lit("mine"))
+    with pytest.raises(ValueError, match="kept"):
+        quality.quality_report(clash)
+    assert {(r["Kept"], r["q_kept"] is None) for r in quality.quality_report(clash, prefix="q_").collect()} == {("mine", False)}
+    assert quality.quality_rules(clash).columns == clash.columns
     got = {r["doc_id"]: r for r in quality.quality_report(df).collect()}
     for i, t in enumerate(texts):
         w = WORD.findall(t or "")
@@ -159,6 +187,15 @@ def test_quality_order_does_not_change_verdicts(spark):
     assert quality.quality_rules(df).columns == df.columns and quality.quality_rules(df.limit(0)).count() == 0
 
 
+def test_quality_order_is_by_rejections_for_cost_and_repeats(spark):
+    rng = random.Random(32)
+    loud = [prose(rng, 30) + " !" * 40 for _ in range(60)]
+    df = docs_of(spark, [*loud, *[prose(rng, 30) for _ in range(60)]])
+    orders = [[r.name for r in quality.plan_order(df.repartition(n), [*quality.BASE, *quality.DEFAULT])] for n in (1, 5)]
+    assert orders[0] == orders[1] and orders[0][0] == "shouting" and sorted(orders[0]) == sorted(r.name for r in [*quality.BASE, *quality.DEFAULT])
+    assert quality.plan_order(df.limit(0), quality.BASE) and quality.quality_report(docs_of(spark, ["word " * 200_000, None])).where("kept").count() == 0
+
+
 # ---- 4 chat
 
 
@@ -172,7 +209,9 @@ def test_chat_reads_back(spark):
     rows += [(99, 0, "user\nx<|\\", "t"), (99, 1, None, "u"), (100, 0, "assistant", "big " * 500), (None, None, "user", "n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(1))
     windows = chat.chat_windows(df.repartition(7), budget=100)
-    got = {r["conv_id"]: r for r in chat.read_windows(windows).collect()}
+    # Also from windows that were written and come back in another order.
+    got = {r["conv_id"]: r for r in chat.read_windows(windows.orderBy("text").repartition(5)).collect()}
+    assert got == {r["conv_id"]: r for r in chat.read_windows(windows).collect()}
     by = collections.defaultdict(list)
     for c, t, r, x in rows:
         by[c].append((t, r or "", x or ""))
@@ -202,6 +241,11 @@ def test_url_rules_are_those_of_brute_force(spark):
     rows = [(None,), ("no scheme",), ("",), ("://",), ("http://a\nb.org/")] + [(f"{s}://{h}{p}",) for s in ("http", "x") for h in hosts for p in paths]
     rng.shuffle(rows)
     df = spark.createDataFrame([(i, r[0], "v") for i, r in enumerate(rows)], "page_id long, url string, other string")
+    with pytest.raises(ValueError, match="host"):
+        urls.url_filter(df.withColumn("Host", F.lit("mine")), rules)
+    assert urls.url_filter(df.withColumn("host", F.lit("mine")), rules, names=("h", "p", "r", "v")).where("host = 'mine'").count() == len(rows)
+    assert urls.url_filter(df.limit(0), rules).count() == 0
+    assert urls.url_filter(spark.createDataFrame([("http://a/" + "x/ads" * 100_000 + "/",)], "url string"), rules).first()["verdict"] == "block"
     for r in urls.url_filter(df, rules).collect():
         rest = (r["url"] or "").partition("://")[2] if "://" in (r["url"] or "") else ""
         host = re.match(r"[^/?#]*", rest)[0]
@@ -239,9 +283,9 @@ def test_html_main_text(spark):
 
 def test_raw_elements_end_at_their_end_tag():
     for raw in ("<script>for(i=0;i<n;i++){f(i)}</script>", "<STYLE>a<b{}</Style >", "<script>'</scripts>' <!-- x</script>", "<title>a <b c='</title>"):
-        found = list(html.blocks(f"{raw}<article>one<p>it's two</p></article>"))
+        found = html.Page(f"{raw}<article>one<p>it's two</p></article>").blocks()
         assert [(p, t) for p, t, _ in found] == [(("article",), "one"), (("article", "p"), "it's two")], raw
-    assert [t for _, t, _ in html.blocks("<p>a</p><script>never < closed")] == ["a"]
+    assert [t for _, t, _ in html.Page("<p>a</p><script>never < closed").blocks()] == ["a"]
 
 
 def test_main_text_outside_common_containers_and_under_words_of_class(spark):
@@ -259,11 +303,86 @@ def test_main_text_outside_common_containers_and_under_words_of_class(spark):
 
 
 def test_wrappers_merge_to_one_expression():
-    w = html.Wrapper.of_page(list(html.blocks("<div><h1>t</h1><p>a</p><p>b</p></div>")))
+    w = html.Wrapper.of_page(html.Page("<div><h1>t</h1><p>a</p><p>b</p></div>"))
     assert w.expression() == "<div><h1>#</>(<p>#</>)+</>"
-    w.merge(html.Wrapper.of_page(list(html.blocks("<div><h1>t</h1><h2>s</h2><p>c</p></div>"))))
+    w.merge(html.Wrapper.of_page(html.Page("<div><h1>t</h1><h2>s</h2><p>c</p></div>")))
     assert w.expression() == "<div><h1>#</>(<h2>#</>)?(<p>#</>)+</>"
     assert html.Wrapper.parse(w.dump()).expression() == w.expression()
+    assert w.kids[0].kids[0].own and w.kids[0].kids[0].seen == 2 and not w.kids[0].kids[2].own
+
+
+@pytest.mark.parametrize("gate", [4 << 20, 0])
+def test_template_text_under_unknown_names(spark, monkeypatch, gate):
+    """Hosts of random layouts, no tag or name of which says what it is; the texts that the pages share are not main."""
+    monkeypatch.setattr(html, "BROADCAST_BYTES", gate)
+    rng = random.Random(21)
+    rows, want = [], {}
+    for host in range(6):
+        name = lambda: "q" + "".join(rng.choice("bcdfgz") for _ in range(6))
+        top, menu, note, main, foot = (name() for _ in range(5))
+        links = [prose(rng, 2) for _ in range(4)]
+        said, last = prose(rng, 12), prose(rng, 6)
+        for page in range(8):
+            own = [prose(rng, rng.randrange(5, 30)) for _ in range(rng.randrange(1, 6))]
+            some = f"<div class={note}><p>{said}</p></div>" if rng.random() < 0.9 else ""
+            body = f"<div class={top}>{said[:20]}</div><ul class={menu}>{''.join(f'<li><a href=/{i}>{x}</a>' for i, x in enumerate(links))}</ul>{some}<div class={main}>{''.join(f'<p>{x}</p>' for x in own)}</div><div class={foot}>{last}</div>"
+            rows.append((100 * host + page, f"http://h{host}.org/{page}", f"<html><body>{body}</body></html>"))
+            want[rows[-1][0]] = "\n".join(own)
+        rows.append((100 * host + 50, f"http://h{host}.org/50", rows[-1][2]))
+        want[rows[-1][0]] = want[100 * host + 7]
+    # Copies of one page, and two pages, are no template.
+    rows += [(900 + i, "http://copies.org/", "<body><div>all of it</div></body>") for i in range(9)] + [(950 + i, "http://two.org/", f"<body><p>same</p><p>own {i}</p></body>") for i in range(2)]
+    want |= {900 + i: "all of it" for i in range(9)} | {950 + i: f"same\nown {i}" for i in range(2)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r["page_id"]: r["text"] for r in html.extract_text(df).collect()} == want
+
+
+def test_articles_keep_what_all_pages_share(spark):
+    rows = [(i, "http://a.org/", f"<div class=zz>shared</div><article><h2>Sources</h2><p>own {i}</p></article>") for i in range(5)]
+    got = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {f"Sources\nown {i}" for i in range(5)}
+
+
+def test_broken_and_deep_pages_take_linear_time(spark):
+    began = time.perf_counter()
+    deep = "<div>" * 100_000 + "low" + "</div>" * 100_000 + "<p>after"
+    pages = {deep: "low\nafter", '<a "' * 100_000: None, '<p>x</p>"' + "<b " * 100_000: None, "<a '" * 50_000 + ">" + "<p>end": None, "</i2>" * 50_000 + "t": "t", "<!-- " * 50_000: "", "<" * 200_000: "<" * 200_000, "<p>a" * 50_000: None}
+    for x, text in pages.items():
+        got = html.main_text(x, None)
+        assert text is None or got == text, x[:20]
+        w = html.Wrapper.of_page(html.Page(x))
+        w.merge(html.Wrapper.parse(html.Wrapper.of_page(html.Page(x)).dump()))
+        html.judge(w, 3)
+    assert time.perf_counter() - began < 60
+    df = spark.createDataFrame([(1, "http://a.org/", deep), (2, "http://a.org/", deep.replace("low", "lower"))], "page_id long, url string, html string")
+    assert [r["text"] for r in html.extract_text(df).orderBy("page_id").collect()] == ["low\nafter", "lower\nafter"]
+    with pytest.raises(ValueError, match="text"):
+        html.extract_text(df.withColumn("Text", F.lit("mine")))
+
+
+def test_tags_are_those_of_a_plain_reader():
+    """Random markup against a quadratic reader of the same rules."""
+    tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+    open_tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+
+    def plain(page):
+        out, at, shown = [], 0, 0
+        while (at := page.find("<", at)) >= 0:
+            m = tag.match(page, at) or open_tag.match(page, at)
+            if not m:
+                at += 1
+                continue
+            if at > shown:
+                out.append(("text", "", page[shown:at]))
+            if m.lastindex:
+                out.append(("end" if m[1] else "start", m[2].lower(), m[3]))
+            at = shown = m.end()
+        return [*out, ("text", "", page[shown:])] if shown < len(page) else out
+
+    rng = random.Random(22)
+    for _ in range(3000):
+        page = "".join(rng.choice(["<", ">", '"', "'", "p", " ", "/", "<b ", "<p>", "</p>", "<!--", "-->", "<!", "x"]) for _ in range(rng.randrange(1, 25)))
+        assert list(html._tokens(page)) == plain(page), page
 
 
 # ---- 7 pieces
@@ -304,6 +423,23 @@ def test_pieces_are_the_best_path():
         assert list(enc.viterbi((" " + text).replace(" ", sp.MARK))) == ids
 
 
+@pytest.mark.skipif(not os.path.exists(PIECES), reason="no piece file")
+def test_real_pieces_are_the_best_path_of_log_scores():
+    m, rng = sp.Model.load(PIECES), random.Random(33)
+    own = [x for x, ok in zip(m.scores, m.matched) if ok]
+    assert abs(sum(map(math.exp, own)) - 1) < 1e-9 and max(own) == m.scores[m.pieces.index("▁t")]
+    enc, dec = sp.Encoder(m), sp.Decoder(m)
+    unk = min(own) - 10
+    alphabet = "etaoin shrdlu,.  éß漢😀\n"
+    texts = ["The quick brown fox jumps over the lazy dog.", "  two  spaces", *["".join(rng.choice(alphabet) for _ in range(30)) for _ in range(60)]]
+    for text in texts:
+        ids = enc.encode(text)
+        assert dec.decode(ids) == text
+        raw = [i for i in ids if m.matched[i]]
+        chars = len(text) + 1 - sum(len(m.pieces[i]) for i in raw)
+        assert abs(sum(m.scores[i] for i in raw) + chars * unk - best_score(m, text)) < 1e-6
+
+
 def test_double_array_holds_exactly_its_keys():
     rng = random.Random(9)
     keys = sorted({bytes(rng.randrange(256) for _ in range(rng.randrange(1, 5))) for _ in range(500)})
@@ -324,7 +460,10 @@ def test_double_array_holds_exactly_its_keys():
 
 def test_piece_columns(spark):
     m = tiny_model()
-    df = docs_of(spark, [None, "", "ab c", "é" * 3000, "ab c"]).withColumn("ids", F.lit(1)).drop("ids")
+    df = docs_of(spark, [None, "", "ab c", "é" * 3000, "ab c", "ab " * 300_000])
+    with pytest.raises(ValueError, match="ids"):
+        sp.encode_column(df.withColumn("IDS", F.lit(1)), m)
+    assert sp.encode_column(df.withColumn("ids", F.lit(1)), m, out="pieces").columns == [*df.columns, "ids", "pieces"]
     got = sp.decode_column(sp.encode_column(df, m), m, out="back").orderBy("doc_id").collect()
     assert [r["back"] for r in got] == [r["text"] for r in got] and got[0]["ids"] is None and got[1]["ids"] == []
     assert sp.encode_column(df.limit(0), m).count() == 0
@@ -333,7 +472,9 @@ def test_piece_columns(spark):
 # ---- 8 mixing
 
 
-def test_mixing_meets_its_targets(spark):
+@pytest.mark.parametrize("gate", [8 << 20, 0])
+def test_mixing_meets_its_targets(spark, monkeypatch, gate):
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", gate)
     rng = random.Random(10)
     kinds = ["clean"] * 6 + ["junk"] * 2 + ["toxic"]
     rows, labels = [], []
@@ -377,14 +518,6 @@ def test_default_mix_meets_its_targets_by_true_posteriors(spark):
         assert abs(shares[d] - t) < 0.001 * t, shares
 
 
-def test_perfect_hash_has_a_slot_for_each_key():
-    rng = random.Random(18)
-    for n in (1, 2, 7, 500, 3000):
-        keys = [rng.randrange(-(2**63), 2**63) for _ in range(n)]
-        shifts, size = mixing.perfect_hash(keys)
-        assert len({(((k & 2**64 - 1) >> 33) + shifts[k % len(shifts)]) % size for k in keys}) == n <= size
-
-
 def test_classifier_weighs_every_telling_token(spark):
     """Held against naive Bayes in plain Python, on the model's own choice of smoothing and temperature."""
     rng = random.Random(19)
@@ -397,14 +530,16 @@ def test_classifier_weighs_every_telling_token(spark):
     model = mixing.fit_posterior(df, lab, mix)
     # Far more tokens tell than any short list would hold.
     assert len(model.tokens) > 300 and model.temperature in mix.temperatures
-    hashes = mixing.token_hashes(F.col("text"), mixing.words(F.col("text")))
-    got = [r["p"] for r in df.select("doc_id", model.share(hashes).alias("p")).orderBy("doc_id").collect()]
-    rows = [r["h"] for r in df.select("doc_id", hashes.alias("h")).orderBy("doc_id").collect()]
+    keyed = df.select("doc_id", "text", *mixing._keys(F.col("text")))
+    rows = keyed.join(mixing.posteriors(df.unionByName(df.limit(9)), model), ["t1", "t2"]).orderBy("doc_id")
+    rows = rows.select("p", "copies", F.transform(mixing.tokens_of(F.col("text"), mixing.words(F.col("text"))), lambda t: F.xxhash64(t)).alias("h")).collect()
+    assert sum(r["copies"] for r in rows) == 709
+    got = [r["p"] for r in rows]
     at = {t: i for i, t in enumerate(model.tokens)}
-    for h, p in zip(rows, got, strict=True):
-        logs = np.array([b + sum(w[at[t]] for t in set(h) if t in at) for b, w in zip(model.base, model.weight, strict=True)]) / model.temperature
+    for r in rows:
+        logs = np.array([b + sum(w[at[t]] for t in set(r["h"]) if t in at) for b, w in zip(model.base, model.weight, strict=True)]) / model.temperature
         want = np.exp(logs - logs.max())
-        assert np.allclose(p, want / want.sum(), atol=1e-9)
+        assert np.allclose(r["p"], want / want.sum(), atol=1e-9)
     names = mix.names
     right = [names[int(np.argmax(p))] == d for p, d in zip(got[500:], kinds[500:], strict=True)]
     assert sum(right) / len(right) > 0.95
