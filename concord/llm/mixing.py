@@ -5,7 +5,8 @@ fitted on ``train_rows`` labelled rows at most (a hash order of the ids picks th
 its presence tells the domains apart beyond chance: ``information`` is half of the likelihood-ratio statistic, 7 is a
 chance of 0.001 with three domains. No other bound picks tokens. Smoothing and temperature are those with the least log
 loss on half of the labelled rows, for a model of the other half; the model is then fitted on all of them. Tokens are
-known by 64-bit hashes; a perfect hash leads from a document's known tokens to their weights.
+known by 64-bit hashes. A text's tokens meet their weights in a broadcast join and are added up where the text lies;
+copies of a text are scored together.
 
 Rates. The rates of documents minimize the squared difference between the expected domain totals and the targets,
 relative to the present totals, plus ``ridge`` times the squared distance of the rates from one, and are nonnegative. The
@@ -26,7 +27,6 @@ that is among them is refused.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -36,6 +36,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .scratch import Scratch, refuse_clash
 from .text import words
 
+#: Rates of texts that may be broadcast, in bytes; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 #: The grain of the cells on which the solver starts.
 GRID = 32
 #: Names of the columns that ``mix_rates`` adds.
@@ -86,36 +88,11 @@ def tokens_of(text: Column, ws: Column) -> Column:
     return F.concat(F.array_distinct(ws), F.array(*bins))
 
 
-def token_hashes(text: Column, ws: Column) -> Column:
-    return F.transform(tokens_of(text, ws), lambda t: F.xxhash64(t))
-
-
 def _numbers(values: Sequence, kind: str) -> Column:
     """An array that the optimizer folds to one constant; one expression for each value would be slow to plan."""
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>") if len(values) else F.array().cast(f"array<{kind}>")
 
 
-def perfect_hash(keys: Sequence[int]) -> tuple[list[int], int]:
-    """(shifts, size): key k has the slot ((k >>> 33) + shifts[k mod len(shifts)]) mod size, and no two share one."""
-    size = 2 * len(keys) + 1
-    while True:
-        groups: dict[int, list[int]] = defaultdict(list)
-        n = max(1, len(keys) // 3)
-        for k in keys:
-            groups[k % n].append(((k & (1 << 64) - 1) >> 33) % size)
-        shifts, taken = [0] * n, np.zeros(size, dtype=bool)
-        for g, own in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
-            at = (np.array(own)[:, None] + np.arange(size)) % size
-            free = np.flatnonzero(~taken[at].any(axis=0)) if len(set(own)) == len(own) else ()
-            if not len(free):
-                break
-            shifts[g] = int(free[0])
-            taken[at[:, free[0]]] = True
-        else:
-            return shifts, size
-        size += 2
-
-
 @dataclass(frozen=True)
 class Posterior:
     """Log weights by token hash and domain; as large as the labelled rows' telling tokens are many."""
@@ -126,29 +103,31 @@ class Posterior:
     base: list[float]
     temperature: float = 1.0
 
-    def logs(self, hashes: Column) -> Column:
-        """The log of each domain's posterior, but for a common summand."""
-        zero = F.struct(*[F.lit(b).alias(f"s{i}") for i, b in enumerate(self.base)])
-        if not self.tokens:
-            return F.array(*[zero[f"s{i}"] for i in range(len(self.base))])
-        shifts, size = perfect_hash(self.tokens)
-        slots = [((t & (1 << 64) - 1) >> 33) % size for t in self.tokens]
-        slots = [(x + shifts[t % len(shifts)]) % size for x, t in zip(slots, self.tokens, strict=True)]
-        rows = []
-        for own in self.weight:
-            w = [0.0] * size
-            for x, v in zip(slots, own, strict=True):
-                w[x] = v
-            rows.append(_numbers(w, "double"))
-        shift = _numbers(shifts, "bigint")
-        slot = lambda h: F.pmod(F.shiftrightunsigned(h, 33) + F.get(shift, F.pmod(h, F.lit(len(shifts))).cast("int")), F.lit(size)).cast("int")
-        at = F.transform(F.array_intersect(hashes, _numbers(self.tokens, "bigint")), slot)
-        step = lambda s, i: F.struct(*[(s[f"s{d}"] + F.get(w, i)).alias(f"s{d}") for d, w in enumerate(rows)])
-        return F.aggregate(at, zero, step, lambda s: F.array(*[s[f"s{d}"] for d in range(len(rows))]))
-
-    def share(self, hashes: Column) -> Column:
-        """The posterior of each domain."""
-        return softmax(self.logs(hashes), self.temperature)
+
+#: A token of every text, by which copies are counted; no word begins with its mark.
+_EVERY = "\x01every"
+
+
+def _logs(rows: DataFrame, by: Sequence[str], models: Sequence[Posterior], work: Scratch) -> DataFrame:
+    """``by``, copies, and l0, l1, ...: each model's logs of the posteriors, but for a common summand.
+
+    ``rows`` has a row for each ``by`` and token hash, the hash of ``_EVERY`` among them; rows that are alike in ``by``
+    are copies. The weights are a table of the models' tokens, which the labelled rows bound; it is broadcast.
+    """
+    spark, d = rows.sparkSession, range(len(models[0].names))
+    known = sorted({t for m in models for t in m.tokens})
+    cols = [_numbers(known, "bigint").alias("token")]
+    for i, m in enumerate(models):
+        for j in d:
+            own = dict(zip(m.tokens, m.weight[j], strict=True))
+            cols.append(_numbers([own.get(t, 0.0) for t in known], "double").alias(f"w{i}_{j}"))
+    weights = spark.range(1).select(F.inline(F.arrays_zip(*cols)))
+    every = spark.range(1).select(F.xxhash64(F.lit(_EVERY)).alias("token"), *[F.lit(0.0).alias(f"w{i}_{j}") for i in range(len(models)) for j in d], F.lit(1).alias("one"))
+    weights = work.cut(weights.withColumn("one", F.lit(0)).unionByName(every))
+    sums = [F.sum("one").alias("copies"), *[F.sum(f"w{i}_{j}").alias(f"w{i}_{j}") for i in range(len(models)) for j in d]]
+    got = rows.join(F.broadcast(weights), "token").groupBy(*by).agg(*sums)
+    logs = [F.array(*[F.lit(float(m.base[j])) + F.col(f"w{i}_{j}") / F.col("copies") for j in d]).alias(f"l{i}") for i, m in enumerate(models)]
+    return got.select(*by, "copies", *logs)
 
 
 def softmax(logs: Column, temperature: float) -> Column:
@@ -178,13 +157,13 @@ def fit_posterior(docs: DataFrame, labelled: DataFrame, mix: Mix, doc_id: str =
     picked = labelled.where(F.col("domain").isin(mix.names)).orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(mix.train_rows)
     x = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("x")).join(F.broadcast(picked), "doc_id")
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
-    rows = work.cut(x.select("domain", half.alias("half"), token_hashes(F.col("x"), words(F.col("x"))).alias("tokens")))
+    rows = work.cut(x.select(F.monotonically_increasing_id().alias("row"), "domain", half.alias("half"), tokens_of(F.col("x"), words(F.col("x"))).alias("tokens")))
     many = {(r["domain"], r["half"]): r["n"] for r in rows.groupBy("domain", "half").agg(F.count("*").alias("n")).collect()}
     # The first model, of half the rows, tells how much to smooth; the second is of all.
     sizes = [[many.get((d, 0), 0) for d in mix.names], [many.get((d, 0), 0) + many.get((d, 1), 0) for d in mix.names]]
     place = F.array_position(F.array(*map(F.lit, mix.names)), F.col("domain")).cast("int") - 1
     one = lambda i, h: F.sum(((place == i) & (F.col("half") <= h)).cast("int")).cast("double").alias(f"c{h}{i}")
-    per = rows.select("domain", "half", F.explode("tokens").alias("token")).groupBy("token").agg(*[one(i, h) for h in (0, 1) for i in range(len(mix.names))])
+    per = rows.select("domain", "half", F.explode("tokens").alias("token")).select("domain", "half", F.xxhash64("token").alias("token")).groupBy("token").agg(*[one(i, h) for h in (0, 1) for i in range(len(mix.names))])
     info = [_information([F.col(f"c{h}{i}") for i in range(len(mix.names))], sizes[h]) for h in (0, 1)]
     telling = per.withColumn("told0", info[0] >= mix.information).withColumn("told1", info[1] >= mix.information).where("told0 or told1").orderBy("token").collect()
 
@@ -199,9 +178,8 @@ def fit_posterior(docs: DataFrame, labelled: DataFrame, mix: Mix, doc_id: str =
                 base[i] += math.log(1 - p)
         return Posterior(mix.names, [r["token"] for r in own], weight, base)
 
-    held = rows.where("half = 1")
-    for i, a in enumerate(mix.smoothing):
-        held = held.withColumn(f"l{i}", model(0, a).logs(F.col("tokens")))
+    held = rows.where("half = 1").select("row", "domain", F.explode(F.array_append("tokens", F.lit(_EVERY))).alias("token"))
+    held = _logs(held.select("row", "domain", F.xxhash64("token").alias("token")), ["row", "domain"], [model(0, a) for a in mix.smoothing], work)
     loss = lambda i, t: -F.log(F.greatest(F.get(softmax(F.col(f"l{i}"), t), place), F.lit(1e-12)))
     choices = [(i, a, t) for i, a in enumerate(mix.smoothing) for t in mix.temperatures]
     got = held.agg(*[F.avg(loss(i, t)) for i, _, t in choices]).first()
@@ -270,23 +248,38 @@ def mixed_shares(rated: DataFrame, mix: Mix = Mix()) -> dict[str, float]:
     return {name: (v or 0.0) / whole if whole else 0.0 for name, v in zip(mix.names, got, strict=True)}
 
 
+def posteriors(docs: DataFrame, model: Posterior, text: str = "text", work: Scratch | None = None) -> DataFrame:
+    """(t1, t2, tokens, copies, p) of every different text, t1 and t2 being 128 bits of it; null counts as empty."""
+    work = work or Scratch(docs.sparkSession, "posterior")
+    x = F.col("x")
+    src = docs.select(F.coalesce(F.col(text), F.lit("")).alias("x")).select(*_keys(x), words(x).alias("ws"), "x")
+    rows = src.select("t1", "t2", F.size("ws").cast("long").alias("tokens"), F.explode(F.array_append(tokens_of(x, F.col("ws")), F.lit(_EVERY))).alias("token"))
+    rows = rows.select("t1", "t2", "tokens", F.xxhash64("token").alias("token"))
+    return _logs(rows, ["t1", "t2", "tokens"], [model], work).select("t1", "t2", "tokens", "copies", softmax(F.col("l0"), model.temperature).alias("p"))
+
+
+def _keys(x: Column) -> tuple[Column, Column]:
+    return F.xxhash64(x).alias("t1"), F.xxhash64(F.lit(7), x, F.lit(7)).alias("t2")
+
+
 def _rated(docs: DataFrame, labelled: DataFrame, mix: Mix, doc_id: str, text: str, keep: bool, names: Sequence[str]) -> DataFrame:
     work = Scratch(docs.sparkSession, "mixing")
     model = fit_posterior(docs, labelled, mix, doc_id, text, work)
-    share = model.share(token_hashes(F.col(text), F.col("_mix_words")))
-    scored = docs.withColumn("_mix_words", words(F.col(text))).withColumn(names[0], F.size("_mix_words").cast("long")).withColumn(names[1], share).drop("_mix_words", *[text] * (not keep))
-    if not keep:
-        scored = work.cut(scored)
-    few = scored.select(F.col(names[0]).alias("tokens"), F.col(names[1]).alias("p")).where("tokens > 0")
-    few = work.cut(few) if keep else few
+    scored = work.cut(posteriors(docs, model, text, work))
+    few = scored.where("tokens > 0").select((F.col("tokens") * F.col("copies")).alias("tokens"), "p")
     n = F.sum("tokens")
     mean = F.array(*[F.sum(F.col("tokens") * F.get("p", F.lit(i))) / n for i in range(len(mix.names))])
     cells = work.cut(few.groupBy(cell_of(F.col("p")).alias("cell")).agg(n.alias("tokens"), mean.alias("p")))
     y, first = solve_rates(cells, mix)
     y, _ = solve_rates(few, mix, y, first)
-    work.drop(cells, *[few] * keep)
+    work.drop(cells)
+    said = scored.select(F.col("t1").alias("_mix_1"), F.col("t2").alias("_mix_2"), F.col("tokens").alias(names[0]), F.col("p").alias(names[1]), _rate(F.col("p"), y).alias(names[2]))
+    said = F.broadcast(said) if 80 * scored.count() <= BROADCAST_BYTES else said
+    one, two = _keys(F.coalesce(F.col(text), F.lit("")))
+    own = docs.withColumn("_mix_1", one).withColumn("_mix_2", two).drop(*[text] * (not keep))
+    out = own.join(said, ["_mix_1", "_mix_2"]).drop("_mix_1", "_mix_2")
     u = F.pmod(F.xxhash64(F.lit("mix"), F.col(doc_id)), F.lit(1 << 20)) / float(1 << 20)
-    return scored.withColumn(names[2], _rate(F.col(names[1]), y)).withColumn(names[3], F.floor(F.col(names[2]) + u).cast("long"))
+    return out.withColumn(names[3], F.floor(F.col(names[2]) + u).cast("long"))
 
 
 def mix_rates(docs: DataFrame, labelled: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
