@@ -69,14 +69,18 @@ def shifts(k: int) -> list[tuple[int, int, int]]:
 def substring_keys(line: Column, n: Column, k: int) -> Column:
     """Hashes of (segment number, substring) for the segments of every line that may be up to k shorter.
 
-    A line of length l has segments of l div (k + 1) code points, the last l mod (k + 1) of them one longer.
+    A line of length l has segments of l div (k + 1) code points, the last l mod (k + 1) of them one longer. Where every
+    code point is a byte the substrings are cut as bytes, which hash alike and need no walk to where they begin.
     """
 
-    def key(i: int, d: int, s: int) -> Column:
-        start, size = _segment(n - d, k + 1, F.lit(i))
-        return F.xxhash64(F.lit(i), F.substring(line, start + s + 1, size))
+    def keys(x: Column) -> Column:
+        def key(i: int, d: int, s: int) -> Column:
+            start, size = _segment(n - d, k + 1, F.lit(i))
+            return F.xxhash64(F.lit(i), F.substring(x, start + s + 1, size))
 
-    return F.array_distinct(F.array(*[key(*x) for x in shifts(k)]))
+        return F.array(*[key(*spec) for spec in shifts(k)])
+
+    return F.array_distinct(F.when(F.octet_length(line) == n, keys(line.cast("binary"))).otherwise(keys(line)))
 
 
 def _segment(n: Column, parts: int, i: Column) -> tuple[Column, Column]:
@@ -95,11 +99,11 @@ def rest_shifts(k: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
     return [(out, x) for out in combinations(range(k + 4), k) for x in moves]
 
 
-def rest_keys(line: Column, n: Column, k: int) -> Column:
+def rest_keys(line: Column, k: int) -> Column:
     """Hashes of what is left of a line, or of one up to k shorter in its place, without k of k + 4 segments."""
     specs = F.array(*[F.struct(F.array(*map(F.lit, out)).alias("out"), F.array(*map(F.lit, x)).alias("to")) for out, x in rest_shifts(k)])
 
-    def key(p: Column) -> Column:
+    def key(p: Column, n: Column) -> Column:
         size = n - p["to"][k - 1]
         at, parts = F.lit(0), []
         for j in range(k):
@@ -109,7 +113,7 @@ def rest_keys(line: Column, n: Column, k: int) -> Column:
             at = F.greatest(begin + long_ + p["to"][j], F.lit(0))
         return F.xxhash64(p["out"], *parts, F.substring(line, at + 1, n))
 
-    return F.array_distinct(F.transform(specs, key))
+    return _let(F.length(line), lambda n: F.array_distinct(F.transform(specs, lambda p: key(p, n))))
 
 
 def _let(value: Column, body) -> Column:
@@ -194,25 +198,27 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str, near: Near) -> DataFra
     return rows.select("d", "t", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line, F.lit(7)).alias("h2"), "line")
 
 
-def near_lines(keyed: DataFrame, occ: DataFrame, near: Near, work: Scratch) -> DataFrame:
-    """(h1, h2, component): near-duplicate lines; lines without near duplicates are missing. ``keyed`` has h1 and keys."""
+def near_lines(lines: DataFrame, near: Near, work: Scratch) -> DataFrame:
+    """(h1, h2, component): near-duplicate lines; lines without near duplicates are missing. ``lines`` are distinct."""
     k = near.max_edits
+    keyed = lines.select("h1", substring_keys(F.col("line"), F.col("size"), k).alias("keys"))
     # An outer explode: the filter on the array's size that an inner one infers would compute the keys again.
     shared = _shared(keyed.select("h1", F.explode_outer("keys").alias("key")), work)
     ids = work.cut(shared.select("h1").distinct())
     ids = F.broadcast(ids) if 16 * ids.count() <= BROADCAST_BYTES else ids
-    texts = work.cut(occ.select("h1", "h2", "line").join(ids, "h1", "left_semi").distinct().select("*", *[f.alias(f"f{i}") for i, f in enumerate(letter_counts(F.col("line")))]))
+    texts = work.cut(lines.select("h1", "h2", "line").join(ids, "h1", "left_semi").select("*", *[f.alias(f"f{i}") for i, f in enumerate(letter_counts(F.col("line")))]))
     comp = work.cut(components(_links(_stars(shared, work), texts, k, work), work))
     open_ = _unresolved(shared, comp, work)
     pairs = _across(open_.where(F.col("size") <= SMALL), texts, k)
     # The lines of large buckets meet again only where all but k of k + 4 segments are the same.
     again = texts.join(open_.where(F.col("size") > SMALL).select("h1").distinct(), "h1", "left_semi")
-    rest = _shared(again.select("h1", F.explode_outer(rest_keys(F.col("line"), F.length("line"), k)).alias("key")), work)
+    again = work.cut(again.select("h1", rest_keys(F.col("line"), k).alias("keys")))
+    rest = _shared(again.select("h1", F.explode_outer("keys").alias("key")), work)
     dense = _unresolved(rest, comp, work)
     links = _links(pairs.unionByName(_across(dense, texts, k)).distinct(), texts, k, work)
     comp = work.cut(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), work))
     out = work.cut(comp.select(F.col("node").alias("h1"), "component").join(texts.select("h1", "h2"), "h1"))
-    work.drop(shared, open_, rest, dense, links, comp, texts)
+    work.drop(shared, open_, again, rest, dense, links, comp, texts)
     return out
 
 
@@ -264,11 +270,10 @@ def repeated_lines(docs: DataFrame, near: Near, doc_id: str, text: str, work: Sc
     occ = _occurrences(docs, doc_id, text, near)
     at = F.struct("d", "t", "pos")
     lines = occ.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(at).alias("first"), F.count("*").alias("n"))
-    size = F.length("line")
-    keys = F.when(size >= near.near_chars, substring_keys(F.col("line"), size, near.max_edits))
-    lines = work.cut(lines.select("h1", "h2", "first", "n", keys.alias("keys")))
-    comp = near_lines(lines, occ.where(F.length("line") >= near.near_chars), near, work)
-    classed = work.cut(lines.join(comp, ["h1", "h2"], "left").where("n > 1 or component is not null").drop("keys"))
+    # The size is written too: as an expression it would be counted anew wherever a key names it.
+    lines = work.cut(lines.withColumn("size", F.length("line")))
+    comp = near_lines(lines.where(F.col("size") >= near.near_chars), near, work)
+    classed = work.cut(lines.drop("line", "size").join(comp, ["h1", "h2"], "left").where("n > 1 or component is not null"))
     work.drop(lines)
     alone = classed.where("component is null and n > 1").select("h1", "h2", "first")
     many = classed.where("component is not null")
