@@ -61,3 +61,23 @@ def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(1, text, "a", "s", 1), (1, text, "b", "s", 1), (2, text, "c", "s", 1), (None, text, "d", "s", 1)], DOCS)
     out = cp.near(spark, docs, "").select("doc_id", F.lit(1)).collect()
     assert sorted(r["doc_id"] or 0 for r in out) == [0, 1]
+
+
+def test_repeated_ids_with_other_texts_stay(spark, monkeypatch):
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, c), (2, b + " more"), (3, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    for gate in (8 << 20, -1):
+        monkeypatch.setattr(cp, "BROADCAST_BYTES", gate)
+        out = [(r["doc_id"], r["text"]) for r in cp.near(spark, docs, "").collect()]
+        # a stands under 1 and, alone, under 3; b under 1 twice and, nearly, under 2.
+        assert len(out) == 3 and (2, c) in out and ((1, a) in out) != ((3, a) in out) and ((1, b) in out) != ((2, b + " more") in out)
+
+
+def test_stages_take_other_columns_and_none(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, prose(rng, 40), "x") for i in range(4)], "doc_id long, text string, n_words string")
+    for _, stage in cp.STAGES[:3]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() == 4
