@@ -12,6 +12,8 @@ from concord.llm.scratch import Scratch
 from concord.llm.sentencepiece import Model, encode_column
 from concord.llm.text import BLANKS
 
+#: Ids that may be broadcast, in bytes; beyond it they are shuffled.
+BROADCAST_BYTES = 8 << 20
 #: The pieces of the last stage.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -24,25 +26,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go; a document that had words and has none left goes with them."""
     had = docs.withColumn("_had", F.length(F.trim(F.coalesce("text", F.lit("")), F.lit(BLANKS))) > 0)
-    out = line_dedup(had).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    out = line_dedup(had)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     left = F.length(F.trim(F.coalesce("text", F.lit("")), F.lit(BLANKS))) > 0
     return out.where(left | ~F.col("_had")).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Repeated ids leave one row."""
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Rows that share an id are documents of their own if their texts differ, and one document if they are equal. One of
+    the texts goes by the id, the others come after all ids. Rows without an id stay.
+    """
     work = Scratch(spark, "near")
-    lost = work.cut(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
     twice = work.cut(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    kept = docs.join(_small(lost), "doc_id", "left_anti")
-    once = kept.join(_small(twice), "doc_id", "left_anti")
-    again = kept.join(_small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).select(*docs.columns)
+    text = F.xxhash64("text", F.lit(7), "text")
+    if twice.limit(1).count():
+        twice = work.cut(docs.join(_small(twice), "doc_id").groupBy("doc_id").agg(F.min(text).alias("_near_first")))
+    else:
+        twice = twice.withColumn("_near_first", F.lit(0).cast("long"))
+    other = F.xxhash64("doc_id", text).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    named = docs.join(_small(twice), "doc_id", "left").withColumn("_near_node", F.when(text != F.col("_near_first"), other).otherwise(F.col("doc_id")))
+    lost = work.cut(near_duplicates(named, doc_id="_near_node").where(~F.col("kept")).select(F.col("doc_id").alias("_near_node")).distinct())
+    kept = named.join(_small(lost), "_near_node", "left_anti")
+    again = kept.where("_near_first is not null").dropDuplicates(["_near_node"])
+    return kept.where("_near_first is null").unionByName(again).select(*docs.columns)
 
 
 def _small(ids: DataFrame) -> DataFrame:
     """Ids to broadcast where they are few: a bound of 8 MB."""
-    return F.broadcast(ids) if 16 * ids.count() <= 8 << 20 else ids
+    return F.broadcast(ids) if 16 * ids.count() <= BROADCAST_BYTES else ids
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
