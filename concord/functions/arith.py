@@ -7,6 +7,8 @@ divisor in any leaf, a float result that is not finite, division of decimals, an
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F, types as T
 
 LEAVES = ("integer", "biginteger", "bigdecimal", "float")
@@ -118,5 +120,56 @@ def significant(n: Column, digits: int) -> Column:
 
 
 def is_multiple(c: Column, n: int | float | str) -> Column:
-    """Whether a number is a whole multiple of n; floats are read as they print, never through their binary form."""
-    return (c.cast("string").cast("decimal(38,12)") % F.lit(str(n)).cast("decimal(38,12)")) == 0
+    """Whether a number is a whole multiple of n; floats are read as they print, never through their binary form.
+
+    Never null and never an error: null, not a number and what 38 digits cannot hold are no multiples. Floats below 2^53
+    and a whole n need no digits, as their remainder is exact.
+    """
+    step = Decimal(str(n))
+    if not step:
+        return F.coalesce(c == 0, F.lit(False))
+    text = c.cast("string")
+
+    def by_digits(kind: str) -> Column:
+        digits = text.try_cast(kind)
+        # What the decimals do not hold whole is no multiple: the value must come back as it was.
+        whole = digits.try_cast("double") == text.try_cast("double")
+        return F.when(whole, (digits % F.lit(str(step)).cast(kind)) == 0)
+
+    fine = by_digits("decimal(38,20)")
+    if step != step.to_integral_value():
+        return F.coalesce(fine, F.lit(False))
+    wide = F.coalesce(fine, by_digits("decimal(38,0)"), F.lit(False))
+    small = F.abs(text.try_cast("double")) < F.lit(float(2**53))
+    return F.coalesce(F.when(small, text.try_cast("double") % F.lit(float(step)) == 0), wide) if abs(step) < 2**53 else wide
+
+
+def plus(a: Column, b: Column, ka: str = "integer", kb: str = "integer") -> Column:
+    """The sum of numbers, one list after another, either of two booleans; a text with anything but a list is text.
+
+    Kinds are leaves, ``string``, ``list`` and ``boolean``; others, and a boolean with a number, are refused. What is
+    missing stays missing.
+    """
+    if ka in LEAVES and kb in LEAVES:
+        return add(a, b, ka, kb)
+    plain = {*LEAVES, "string", "boolean"}
+    if ka == kb == "list":
+        return F.concat(a, b)
+    if ka == kb == "boolean":
+        return F.when(a.isNotNull() & b.isNotNull(), a | b)
+    if "string" in (ka, kb) and {ka, kb} <= plain:
+        return F.concat(a.cast("string"), b.cast("string"))
+    raise TypeError(f"invalid-arg: {ka} + {kb}")
+
+
+def negative(a: Column, of: str = "integer") -> Column:
+    """A number with the other sign, in its leaf."""
+    if of not in LEAVES:
+        raise TypeError(f"invalid-arg: -{of}")
+    return -a
+
+
+def positive(a: Column, of: str = "integer") -> Column:
+    if of not in LEAVES:
+        raise TypeError(f"invalid-arg: +{of}")
+    return a

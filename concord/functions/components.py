@@ -15,8 +15,8 @@ COMPONENTS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...] | None]] = {
     "Fragment": ("from", ("from", "indent", "replace", "eject"), ("Slot", "Content", "Line", "ListItems")),
     "Slot": ("name", ("name",), ("Content", "Line", "Fragment", "ListItems")),
     "Inject": ("name", ("name", "markers", "exclude"), ("Content", "Line", "ListItems")),
-    "CopyFiles": ("from", ("from", "to", "exclude"), None),
-    "ListItems": ("item", ("item", "line", "indent"), ("Content", "Line", "Fragment", "Slot")),
+    "CopyFiles": ("from", ("from", "to", "exclude", "replace"), None),
+    "ListItems": ("item", ("item", "line", "indent"), ("Content", "Line", "Fragment")),
 }
 
 Node = dict[str, Any]

@@ -1,8 +1,12 @@
 """Grammars: RFC 5234 ABNF compiled on the driver, and texts parsed by it into trees.
 
-A tree is ``{rule, src, kids}`` as JSON, for each production that matched. The empty string parses under no grammar, a
-parse is bounded in steps, and alternatives are tried in order with backtracking. A number names exactly its code
-points; a quoted string matches either case unless it is written ``%s"..."``.
+A tree is ``{rule, src, kids}`` as JSON, for each production that matched. The empty string parses under no grammar.
+Alternatives are tried in order with backtracking, and repetitions take as much as they can. A number names exactly its
+code points; a quoted string matches either case unless it is written ``%s"..."``.
+
+A text is read by a machine of a few instructions, without recursion. A state (instruction, place, and what is open) that
+has failed once is not tried again, so the time is bounded by the number of states, whatever the grammar; texts of any
+length have an answer. A rule that would call itself again at the same place fails there.
 """
 
 from __future__ import annotations
@@ -14,7 +18,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-STEPS = 100_000
 _TOKEN = re.compile(
     r"""\s*(?:(?P<comment>;[^\n]*)|(?P<num>%[bdxBDX][0-9A-Fa-f]+(?:-[0-9A-Fa-f]+|(?:\.[0-9A-Fa-f]+)*))|(?P<str>(?:%[siSI])?"[^"]*")|(?P<rep>\d*\*\d*|\d+)|(?P<name>[A-Za-z][A-Za-z0-9-]*)|(?P<op>=/|[=/()\[\]]))"""
 )
@@ -55,6 +58,77 @@ class Grammar:
         for name in self._names(tuple(self.rules.values())):
             if name not in self.rules and name not in _CORE:
                 raise GrammarError(f"rule {name} is missing")
+        self._analyse()
+        self._code: list[tuple] = []
+        self._entry: dict[str, int] = {}
+        for name in dict.fromkeys([*self.rules, *self._names(tuple(self.rules.values()))]):
+            self._entry[name] = self._compile(self.rules.get(name) or _CORE[name], self._put(("return",)))
+
+    def _analyse(self) -> None:
+        """Which rules can be empty, and which can call themselves before anything is read."""
+        self._empty: set[str] = set()
+        while more := {name for name, body in self.rules.items() if name not in self._empty and self._nullable(body)}:
+            self._empty |= more
+        first = {name: self._first(body) for name, body in self.rules.items()}
+        self._left: set[str] = set()
+        for name in first:
+            seen, todo = set(), list(first[name])
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo.extend(first.get(x, ()))
+            if name in seen:
+                self._left.add(name)
+
+    def _nullable(self, node: tuple) -> bool:
+        kind = node[0]
+        if kind == "rule":
+            return node[1] in self._empty
+        if kind in ("or", "seq"):
+            return (any if kind == "or" else all)(map(self._nullable, node[1]))
+        return kind == "text" and not node[1] or kind == "rep" and (not node[2] or self._nullable(node[1]))
+
+    def _first(self, node: tuple) -> set[str]:
+        """The rules that a node may call before anything is read."""
+        kind = node[0]
+        if kind == "rule":
+            return {node[1]}
+        if kind == "rep":
+            return self._first(node[1])
+        if kind not in ("or", "seq"):
+            return set()
+        out: set[str] = set()
+        for part in node[1]:
+            out |= self._first(part)
+            if kind == "seq" and not self._nullable(part):
+                break
+        return out
+
+    def _put(self, *instruction: tuple) -> int:
+        self._code.extend(instruction)
+        return len(self._code) - 1
+
+    def _compile(self, node: tuple, then: int) -> int:
+        """The place of the first instruction for a node, after which the machine goes on at ``then``."""
+        kind = node[0]
+        if kind == "text":
+            return self._put(("text", node[1], node[2], then))
+        if kind == "range":
+            return self._put(("range", node[1], then))
+        if kind == "rule":
+            return self._put(("call", node[1], then))
+        if kind == "or":
+            return self._put(("or", tuple(self._compile(arm, then) for arm in node[1])))
+        if kind == "seq":
+            for part in reversed(node[1]):
+                then = self._compile(part, then)
+            return then
+        _, item, low, high = node
+        again = self._put(("again",))
+        turn = self._put(("turn", self._compile(item, again), low, high, then))
+        self._code[again] = ("again", turn, self._nullable(item))
+        return self._put(("start", turn, self._nullable(item)))
 
     @staticmethod
     def _tokens(line: str) -> list[tuple[str, str]]:
@@ -126,67 +200,132 @@ class Grammar:
             return inner if x == "(" else ("rep", inner, 0, 1)
         raise GrammarError(f"at {x!r}")
 
+    def _run(self, text: str) -> tuple | None:
+        """The rules that opened and closed, as a chain from the last one back, of the first way that reads the whole text.
+
+        ``open_`` is a chain of frames: a rule called (return place, rule, where) or a repetition (turns so far, where the
+        turn began). The place is kept only where it matters: for rules that may call themselves before anything is read,
+        and for turns that may be empty. Equal chains are one number, so that states can be remembered.
+        """
+        if not text:
+            return None
+        code, entry, own, n = self._code, self._entry, self.rules, len(text)
+        frames: list[tuple] = [(-1, ())]
+        known: dict[tuple, int] = {}
+
+        def frame(above: int, body: tuple) -> int:
+            at = known.get((above, body))
+            if at is None:
+                at = known[above, body] = len(frames)
+                frames.append((above, body))
+            return at
+
+        seen: set[tuple[int, int, int]] = set()
+        left = self._left
+        first = frame(0, (-1, self.top, 0 if self.top in left else None))
+        # States to try, the last one first: instruction, place, frames, rules so far.
+        todo: list[tuple[int, int, int, tuple]] = [(entry[self.top], 0, first, ((), True, self.top, 0))]
+        while todo:
+            at, i, open_, trace = todo.pop()
+            while True:
+                state = (at, i, open_)
+                if state in seen:
+                    break
+                seen.add(state)
+                op = code[at]
+                kind = op[0]
+                if kind == "text":
+                    t = text[i : i + len(op[1])]
+                    if (t if op[2] else t.lower()) != op[1]:
+                        break
+                    at, i = op[3], i + len(op[1])
+                elif kind == "range":
+                    if i >= n or not any(lo <= ord(text[i]) <= hi for lo, hi in op[1]):
+                        break
+                    at, i = op[2], i + 1
+                elif kind == "or":
+                    for arm in reversed(op[1][1:]):
+                        todo.append((arm, i, open_, trace))
+                    at = op[1][0]
+                elif kind == "call":
+                    x, name = open_, op[1]
+                    if name in left:  # not again at the same place
+                        while x and frames[x][1][1:] != (name, i):
+                            x = frames[x][0]
+                        if x:
+                            break
+                    open_ = frame(open_, (op[2], name, i if name in left else None))
+                    at = entry[name]
+                    trace = (trace, True, name, i) if name in own else trace
+                elif kind == "return":
+                    above, (back, name, _) = frames[open_]
+                    trace = (trace, False, name, i) if name in own else trace
+                    if back < 0:
+                        if i == n:
+                            return trace
+                        break
+                    at, open_ = back, above
+                elif kind == "start":
+                    open_ = frame(open_, (0, i if op[2] else None))
+                    at = op[1]
+                elif kind == "again":
+                    above, (turns, began) = frames[open_]
+                    low, high, then = code[op[1]][2:]
+                    if i == began:  # an empty turn is as good as all that are still missing
+                        at, open_ = then, above
+                        continue
+                    # Beyond the least number only a bound counts on.
+                    open_ = frame(above, (turns + 1 if high is not None else min(turns + 1, low), i if op[2] else None))
+                    at = op[1]
+                else:
+                    _, item, low, high, then = op
+                    above, (turns, _) = frames[open_]
+                    more = high is None or turns < high
+                    if more and turns >= low:
+                        todo.append((then, i, above, trace))
+                    at, open_ = (item, open_) if more else (then, above)
+        return None
+
     def parse(self, text: str) -> dict:
         """The tree of a whole text."""
-        if not text:
+        trace = self._run(text)
+        if trace is None:
             raise GrammarError("parse_failed")
-        left = [STEPS]
-
-        def run(node: tuple, i: int) -> Iterator[tuple[int, tuple]]:
-            """(end, kids) of every way to match, best first."""
-            left[0] -= 1
-            if left[0] < 0:
-                raise GrammarError("parse_failed: too many steps")
-            kind = node[0]
-            if kind == "text":
-                t = text[i : i + len(node[1])]
-                if (t if node[2] else t.lower()) == node[1]:
-                    yield i + len(node[1]), ()
-            elif kind == "range":
-                if i < len(text) and any(lo <= ord(text[i]) <= hi for lo, hi in node[1]):
-                    yield i + 1, ()
-            elif kind == "rule":
-                body = self.rules.get(node[1]) or _CORE[node[1]]
-                for j, kids in run(body, i):
-                    yield j, (({"rule": node[1], "src": text[i:j], "kids": list(kids)},) if node[1] in self.rules else ())
-            elif kind == "or":
-                for arm in node[1]:
-                    yield from run(arm, i)
-            elif kind == "seq":
-                yield from sequence(node[1], 0, i, ())
+        steps = []
+        while trace:
+            trace, *step = trace
+            steps.append(step)
+        root: dict = {"kids": []}
+        stack = [(root, 0)]
+        for begins, name, i in reversed(steps):
+            if begins:
+                stack.append(({"rule": name, "src": "", "kids": []}, i))
             else:
-                yield from repeat(node, 0, i, ())
-
-        def sequence(parts: tuple, n: int, i: int, kids: tuple) -> Iterator[tuple[int, tuple]]:
-            if n == len(parts):
-                yield i, kids
-                return
-            for j, more in run(parts[n], i):
-                yield from sequence(parts, n + 1, j, kids + more)
-
-        def repeat(node: tuple, n: int, i: int, kids: tuple) -> Iterator[tuple[int, tuple]]:
-            _, item, low, high = node
-            if high is None or n < high:
-                for j, more in run(item, i):
-                    if j > i:
-                        yield from repeat(node, n + 1, j, kids + more)
-            if n >= low:
-                yield i, kids
-
-        try:
-            for j, kids in run(("rule", self.top), 0):
-                if j == len(text):
-                    return kids[0]
-        except RecursionError as e:
-            raise GrammarError("parse_failed: too deep") from e
-        raise GrammarError("parse_failed")
+                node, began = stack.pop()
+                node["src"] = text[began:i]
+                stack[-1][0]["kids"].append(node)
+        return root["kids"][0]
 
     def admits(self, text: str) -> bool:
-        try:
-            self.parse(text)
-        except GrammarError:
-            return False
-        return True
+        return self._run(text) is not None
+
+
+def tree_json(tree: dict) -> str:
+    """A tree of any depth as JSON."""
+    out: list[str] = []
+    todo: list[dict | str] = [tree]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        out.append(f'{{"rule": {json.dumps(x["rule"])}, "src": {json.dumps(x["src"], ensure_ascii=False)}, "kids": [')
+        todo.append("]}")
+        for k in reversed(x["kids"]):
+            todo += [k, ", "]
+        if x["kids"]:
+            todo.pop()
+    return "".join(out)
 
 
 def abnf(source: str) -> str:
@@ -199,7 +338,7 @@ def parse(source: str, text: Column) -> Column:
     g = Grammar(source)
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else json.dumps(g.parse(x), ensure_ascii=False))
+        return s.map(lambda x: None if x is None else tree_json(g.parse(x)))
 
     return F.parse_json(F.pandas_udf(run, "string")(text))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -86,6 +87,24 @@ def portable(pattern: str) -> str:
     return "".join(out)
 
 
+def is_pattern(pattern: str) -> bool:
+    """Whether a text is a pattern of the portable subset."""
+    try:
+        re.compile(portable(pattern).replace(r"\z", r"\Z"))
+    except (ValueError, re.error, OverflowError, RecursionError):
+        return False
+    return True
+
+
+def patterns_are_valid(s: Column) -> Column:
+    """Whether each text is a pattern; null is not. A compiler decides, so this runs in Python, by batches."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: x is not None and is_pattern(x)).astype(bool)
+
+    return F.pandas_udf(run, "boolean")(s)
+
+
 def rep(s: Column, pattern: str, sub: str) -> Column:
     """Replaces all matches; ``$1`` to ``$9`` are groups, ``$&`` is the match, ``$$`` a dollar sign.
 
@@ -134,13 +153,25 @@ def esc(s: Column, variant: str = "json") -> Column:
         return F.regexp_replace(s, r"([\\^$.|?*+()\[\]{}/])", r"\\$1")
     if variant not in _ESCAPES:
         raise ValueError(f"esc_variant: {variant!r}")
+    out = s
     for a, b in _ESCAPES[variant]:
-        s = F.replace(s, F.lit(a), F.lit(b))
-    return s
+        out = F.replace(out, F.lit(a), F.lit(b))
+    if variant == "json":
+        # The other control characters are rare: only texts that have one go through them.
+        rest = [chr(c) for c in range(32) if chr(c) not in "\n\r\t\b\f"]
+        spelled = out
+        for c in rest:
+            spelled = F.replace(spelled, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+        out = F.when(out.rlike("[\\x00-\\x07\\x0B\\x0E-\\x1F]"), spelled).otherwise(out)
+    return out
 
 
 def usc(s: Column, variant: str = "json") -> Column:
-    """The text that :func:`esc` came from; malformed input is refused."""
+    """The text that :func:`esc` came from; malformed input is refused, null stays null."""
+    return F.when(s.isNotNull(), _unescaped(s, variant))
+
+
+def _unescaped(s: Column, variant: str) -> Column:
     if variant == "sql":
         odd = F.length(F.regexp_replace(s, "''", "")) - F.length(F.regexp_replace(F.regexp_replace(s, "''", ""), "'", ""))
         return F.when(odd == 0, F.replace(s, F.lit("''"), F.lit("'"))).otherwise(F.raise_error(F.lit("usc_malformed")))

@@ -70,16 +70,101 @@ def pack(df: DataFrame, key: str, *fields: str) -> DataFrame:
 
 def emit(df: DataFrame, *rules: tuple[Column, Sequence[Column]], order: Sequence[str] = (), out: str = "line") -> DataFrame:
     """Each member becomes the body of the first rule that it matches, spliced flat; ``pos`` counts within a body."""
+    return df.select(*order, F.posexplode(_body(rules, lambda x: x.cast("string"))).alias("pos", out))
+
+
+def _body(rules: Sequence[tuple[Column, Sequence[Column]]], form: Callable[[Column], Column]) -> Column:
     body = F
     for trial, lines in rules:
-        body = body.when(F.coalesce(trial, F.lit(False)), F.array(*[x.cast("string") for x in lines]))
-    return df.select(*order, F.posexplode(body.otherwise(F.raise_error(F.lit("emit_none")).cast("array<string>"))).alias("pos", out))
+        body = body.when(F.coalesce(trial, F.lit(False)), F.array(*[form(x) for x in lines]))
+    return body.otherwise(F.raise_error(F.lit("emit_none")).cast("array<string>"))
+
+
+def emit_tree(df: DataFrame, key: str, parent: str, *rules: tuple[Column, Sequence[Column]], order: Sequence[str], field: str = "children", indent: str = "", variant: str | None = None, replace: Sequence[tuple[str, str]] = (), out: str = "line") -> DataFrame:
+    """(root, pos, depth, line): members that hold members, each emitted by the first rule that it matches, in one text.
+
+    A member's place is below the row whose ``key`` its ``parent`` names; rows without one are roots. A rule's lines come in
+    order; the line ``lit(field)`` stands for the bodies of the member's own members, in the order of ``order``, and is
+    nothing where there are none. Lines of a member at depth d are indented d times; before that their values go through
+    ``replace`` (texts for texts) and the escape ``variant``. Rows that no root leads to, or whose parent's rule makes no
+    room for them, are not emitted.
+    """
+    from ..functions.text import esc
+    from ..lineage import Parts
+
+    def form(x: Column) -> Column:
+        y = x.cast("string")
+        mark = y == field
+        z = y
+        for a, b in replace:
+            z = F.replace(z, F.lit(a), F.lit(b))
+        return F.when(mark, F.lit(None).cast("string")).otherwise(esc(z, variant) if variant else z)
+
+    # Places of rows among their siblings, as texts that sort as the numbers do.
+    place = F.row_number().over(Window.partitionBy(parent).orderBy(*order))
+    rows = df.withColumn("_place", F.lpad(place.cast("string"), 10, "0")).withColumn("_lines", _body(rules, form))
+    rows = rows.select(F.col(key).cast("string").alias("_key"), F.col(parent).cast("string").alias("_parent"), "_place", "_lines")
+    done = Parts(df.sparkSession)
+    # A line's place in the whole text: the places of the lines that lead to it, one after the other.
+    top = rows.where("_parent is null").select(F.col("_key").alias("root"), "_key", F.col("_place").alias("_at"), "_lines", F.lit(0).alias("depth"))
+    front = done.add(top)
+    while front.limit(1).count():
+        slot = F.array_position(F.transform("_lines", lambda x: x.isNull()), True)
+        held = front.where(slot > 0).select("root", F.col("_key").alias("_parent"), F.concat("_at", F.lit("."), F.lpad((slot - 1).cast("string"), 6, "0")).alias("_above"), (F.col("depth") + 1).alias("depth"))
+        front = done.add(rows.join(held, "_parent").select("root", "_key", F.concat("_above", F.lit("."), "_place").alias("_at"), "_lines", "depth"))
+    told = done.all().select("root", "_at", "depth", F.posexplode("_lines").alias("_i", out)).where(F.col(out).isNotNull())
+    at = F.concat("_at", F.lit("."), F.lpad(F.col("_i").cast("string"), 6, "0"))
+    pos = (F.row_number().over(Window.partitionBy("root").orderBy("_order")) - 1).cast("int")
+    told = told.withColumn("_order", at).withColumn("pos", pos)
+    return told.select("root", "pos", "depth", F.concat(F.repeat(F.lit(indent), F.col("depth")), F.col(out)).alias(out))
 
 
 def key_index(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "key") -> DataFrame:
-    """Each member's index in its list, from 0, as text; lists are told apart by ``by``."""
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    return df.withColumn(out, (F.row_number().over(w) - 1).cast("string"))
+    """Each member's index in its list, from 0, as text; lists are told apart by ``by``.
+
+    One list of all rows is ranged over partitions and sorted there; the partitions' sizes, one number each, say where
+    each one's count begins.
+    """
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("string"))
+    from ..lineage import cut, keep
+
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = keep(cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())))
+    sizes = part.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_low"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    told = part.join(F.broadcast(before.select("_part", "_low", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part")
+    return told.withColumn(out, (F.col("_before") + F.col("_row") - F.col("_low")).cast("string")).select(*df.columns, out)
+
+
+def at(items: Column, index: int) -> Column:
+    """An element by index, from 0, or from the end where it is negative; one that is not there is null."""
+    return F.get(items, F.lit(index)) if index >= 0 else F.when(F.size(items) + index >= 0, F.get(items, F.size(items) + index))
+
+
+def row_at(df: DataFrame, index: int, pos: str = "pos") -> DataFrame:
+    """The row at an index of a list, from 0 or, where it is negative, from the end."""
+    if index >= 0:
+        return df.where(F.col(pos) == index)
+    last = df.agg(F.max(pos).alias("_last"))
+    return df.join(F.broadcast(last), F.col(pos) == F.col("_last") + 1 + index).drop("_last")
+
+
+def each_nested(items: Column, inner: Callable[[Column], Column], template: Callable[[Column, Column], Column]) -> Column:
+    """The template for each member of each member's own list, one list after another."""
+    return F.flatten(F.transform(items, lambda x: F.transform(inner(x), lambda y: template(x, y))))
+
+
+def capped(findings: DataFrame, most: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The first ``most`` rows of a report, of each ``by`` if there are any, with ``more``: how many were left out.
+
+    This is a report's own limit; what is counted and decided has seen all rows.
+    """
+    group = [F.col(x) for x in by] or [F.lit(0)]
+    told = findings.withColumn("_n", F.count("*").over(Window.partitionBy(*group)))
+    told = told.withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_i") <= most)
+    return told.withColumn("more", F.greatest(F.col("_n") - most, F.lit(0))).drop("_n", "_i")
 
 
 def sort(df: DataFrame, key: str, pos: str | Sequence[str], descending: bool = False) -> DataFrame:
@@ -103,3 +188,34 @@ def maybe(c: Column, default: Column | None = None) -> Column:
 def get(value: Column, path: str, of: str) -> Column:
     """A member of a variant by path; a missing one, or one of another kind, is null."""
     return F.try_variant_get(value, path, of)
+
+
+def member_keys(value: Column, path: str = "$") -> Column:
+    """The keys of a map inside a variant, sorted; null for anything else."""
+    return F.array_sort(F.map_keys(F.try_variant_get(value, path, "map<string,variant>")))
+
+
+def member_types(value: Column, path: str = "$") -> Column:
+    """The kind of each member of a map inside a variant."""
+    names = F.map_from_arrays(
+        F.array(*map(F.lit, ("BIGINT", "DOUBLE", "STRING", "BOOLEAN", "VOID"))), F.array(*map(F.lit, ("integer", "float", "string", "boolean", "null")))
+    )
+    kind = lambda v: F.schema_of_variant(v)
+
+    def named(v: Column) -> Column:
+        k = kind(v)
+        decimal = F.when(k.startswith("DECIMAL"), F.lit("float"))
+        return F.coalesce(F.try_element_at(names, k), decimal, F.when(k.startswith("OBJECT"), F.lit("map")), F.when(k.startswith("ARRAY"), F.lit("list")), k)
+
+    return F.transform_values(F.try_variant_get(value, path, "map<string,variant>"), lambda _, v: named(v))
+
+
+def leaves(df: DataFrame, value: str, order: Sequence[str], depth: int = 1) -> DataFrame:
+    """(order, path, kind, text): the members of a variant down to a depth; deeper ones are told as JSON."""
+    rows = df.select(*order, F.lit("$").alias("path"), F.col(value).alias("_v"), F.lit(0).alias("_d"))
+    for level in range(depth):
+        here = F.try_variant_get("_v", "$", "map<string,variant>")
+        rows = rows.withColumn("_m", F.when(F.col("_d") == level, here))
+        inner = rows.where("_m is not null and size(_m) > 0").select(*order, "path", F.explode("_m").alias("_k", "_v")).select(*order, F.concat_ws(".", "path", "_k").alias("path"), "_v", F.lit(level + 1).alias("_d"))
+        rows = rows.where("_m is null or size(_m) = 0").drop("_m").unionByName(inner)
+    return rows.select(*order, "path", F.to_json("_v").alias("text"))

@@ -28,6 +28,22 @@ def meet(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return joined.select(*out, named.alias("conflict"))
 
 
+def meet_lists(a: Column, b: Column) -> Column:
+    """Two lists met by position: (list, conflict). A closed list: both must be of one length.
+
+    Members that one side leaves null take the other's; where two differ the place is null and in ``conflict``; lists of
+    two lengths are in conflict at the first place that one of them lacks. A list that is null takes the other whole.
+    """
+    places = F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1)
+    some = F.when(F.greatest(F.size(a), F.size(b)) > 0, places).otherwise(F.array().cast("array<int>"))
+    one, two = lambda i: F.get(a, i), lambda i: F.get(b, i)
+    differ = lambda i: F.coalesce(one(i) != two(i), F.lit(False))
+    met = F.transform(some, lambda i: F.when(~differ(i), F.coalesce(one(i), two(i))))
+    bad = F.filter(some, lambda i: differ(i) | ((i == F.least(F.size(a), F.size(b))) & (F.size(a) != F.size(b))))
+    none = F.array().cast("array<int>")
+    return F.when(a.isNull() | b.isNull(), F.struct(F.coalesce(a, b).alias("list"), none.alias("conflict"))).otherwise(F.struct(met.alias("list"), bad.alias("conflict")))
+
+
 def conflicts(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, path, left, right) for each field on which records of one key disagree."""
     both = [c for c in a.columns if c in b.columns and c not in keys]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import portable
 
@@ -78,3 +78,61 @@ def files(df: DataFrame, file: str, order: Sequence[str], text: str) -> DataFram
     """(file, text): each file's lines, in order, joined by newlines."""
     rows = F.sort_array(F.collect_list(F.struct(*order, text)))
     return df.groupBy(file).agg(F.array_join(F.transform(rows, lambda r: r[text]), "\n").alias("text"))
+
+
+def matrix(df: DataFrame, row: str, column: str, weight: Column | None = None) -> DataFrame:
+    """(row, column, n): the cells of a matrix that hold something."""
+    return df.groupBy(F.col(row).alias("row"), F.col(column).alias("column")).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
+
+
+def states(df: DataFrame, by: Sequence[str], order: Sequence[str], state: str) -> DataFrame:
+    """(src, dst, n): how often one state follows another, within each ``by``; null stands before the first."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.select(F.lag(state).over(w).alias("src"), F.col(state).alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def sequence(df: DataFrame, lane: str, order: Sequence[str], text: str) -> DataFrame:
+    """(lane, step, text): the messages of each lane in their order, steps from 0."""
+    step = F.row_number().over(Window.partitionBy(lane).orderBy(*order)) - 1
+    return df.select(F.col(lane).alias("lane"), step.alias("step"), F.col(text).alias("text"))
+
+
+def ladder(df: DataFrame, value: str, rungs: Sequence[float]) -> DataFrame:
+    """(rung, low, n): how many values stand on each rung: at its bound or above, and below the next one's.
+
+    Rung 0 holds what is below the first bound; null values stand on no rung.
+    """
+    bounds = F.array(*map(F.lit, rungs))
+    rung = F.size(F.filter(bounds, lambda b: b <= F.col(value)))
+    rows = df.where(F.col(value).isNotNull()).select(rung.alias("rung")).groupBy("rung").agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(len(rungs) + 1).select(F.col("id").cast("int").alias("rung"))
+    low = F.when(F.col("rung") > 0, F.get(bounds, F.col("rung") - 1))
+    return every.join(F.broadcast(rows), "rung", "left").select("rung", low.alias("low"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def covers(pairs: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
+    """The pairs of an order with nothing between them, from the pairs of the whole order (reflexive ones may be there)."""
+    own = pairs.where(F.col(low) != F.col(high)).select(F.col(low).alias("low"), F.col(high).alias("high")).distinct()
+    a, b = own.select("low", F.col("high").alias("mid")), own.select(F.col("low").alias("mid"), "high")
+    return own.join(a.join(b, "mid").select("low", "high").distinct(), ["low", "high"], "left_anti")
+
+
+def lattice(covering: DataFrame, pairs: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
+    """(a, b, join): the least element above both, of every two elements that have one; a < b.
+
+    Least upper bounds are asked of every two elements, so this is for orders of few elements, as figures show them.
+    """
+    nodes = covering.select(F.col("low").alias("x")).unionByName(covering.select(F.col("high").alias("x"))).distinct()
+    up = pairs.select(F.col(low).alias("x"), F.col(high).alias("up")).unionByName(nodes.select("x", F.col("x").alias("up"))).distinct()
+    both = up.select(F.col("x").alias("a"), "up").join(up.select(F.col("x").alias("b"), "up"), "up").where("a < b")
+    # The least of the common bounds is the one that is below all others: that has as many of them above as there are.
+    rank = both.join(up.select(F.col("x").alias("up"), F.col("up").alias("over")), "up").join(both.select("a", "b", F.col("up").alias("over")), ["a", "b", "over"])
+    above = rank.groupBy("a", "b", "up").agg(F.count("*").alias("n"))
+    total = both.groupBy("a", "b").agg(F.count("*").alias("total"))
+    return above.join(total, ["a", "b"]).where("n = total").select("a", "b", F.col("up").alias("join"))
+
+
+def loss(view: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """(shown, left_out): how many of a table's keys a view shows, and how many it does not."""
+    own, there = source.select(key).distinct(), view.select(key).distinct().withColumn("_seen", F.lit(1))
+    return own.join(there, key, "left").agg(F.count("_seen").alias("shown"), F.count_if(F.col("_seen").isNull()).alias("left_out"))

@@ -8,6 +8,7 @@ and ``incomplete`` where a required value is missing.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -37,6 +38,36 @@ def findings(df: DataFrame, schema: Schema, ids: Sequence[str]) -> DataFrame:
     return df.select(*keep, F.explode(F.array_compact(F.array(*rows))).alias("f")).select(*ids, "f.*")
 
 
+def report(
+    df: DataFrame, schema: Schema, ids: Sequence[str], at: Sequence[str] = (), fill: bool = True, max_errors: int | None = None, partial: bool = False
+) -> DataFrame:
+    """(ids, pointer, path, code, class, severity, expected, actual, more): findings as a reader wants them.
+
+    ``pointer`` leads to the value as a JSON pointer: the record's ids, then the field. ``at`` keeps the rules of these
+    fields only. Without ``fill``, defaults stand for nothing and a missing value is a finding. A value of a deprecated
+    field is a finding of severity ``warning``; missing values are warnings where ``partial``; all others are errors.
+    ``max_errors`` is the report's own limit for each path: ``more`` tells how many are left out, after all were counted.
+    """
+    from .collections import capped
+
+    if at:
+        schema = Schema(tuple((k, f) for k, f in schema.fields if k in at), False, schema.spread, (), (), tuple(m for m in schema.musts if m[1] in at))
+    if not fill:
+        schema = Schema(tuple((k, replace(f, defaults=())) for k, f in schema.fields), schema.closed, schema.spread, (), (), schema.musts)
+    found = findings(df, schema, ids)
+    old = [(k, f.deprecated) for k, f in schema.fields if f.deprecated and k in df.columns]
+    if old:
+        rows = [F.when(F.col(f"`{k}`").isNotNull(), F.struct(F.lit(k).alias("path"), F.lit("deprecated").alias("code"), F.lit("deprecated").alias("class"), F.lit(why).alias("expected"), F.col(f"`{k}`").cast("string").alias("actual"))) for k, why in old]
+        found = found.unionByName(df.select(*ids, F.explode(F.array_compact(F.array(*rows))).alias("f")).select(*ids, "f.*"))
+    mild = F.col("class") == "deprecated"
+    mild = mild | (F.col("class") == "incomplete") if partial else mild
+    escaped = lambda c: F.replace(F.replace(c.cast("string"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    pointer = F.concat(*[x for i in ids for x in (F.lit("/"), escaped(F.col(i)))], F.lit("/"), escaped(F.col("path")))
+    told = found.withColumn("pointer", pointer).withColumn("severity", F.when(mild, "warning").otherwise("error"))
+    told = told.select(*ids, "pointer", "path", "code", "class", "severity", "expected", "actual")
+    return told.withColumn("more", F.lit(0).cast("long")) if max_errors is None else capped(told, max_errors, [*ids, "code"], by=["path"])
+
+
 def unique_findings(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that are null somewhere or occur more than once, with their number of rows."""
     null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])

@@ -20,25 +20,11 @@ from typing import Any
 from pyspark.sql import Column, functions as F, types as T
 
 from ..functions import arith
-from ..functions.text import portable
+from ..functions.text import is_pattern, patterns_are_valid, portable
+from . import formats
 
 NUMBERS = frozenset(("integer", "float", "biginteger", "bigdecimal"))
 KINDS = NUMBERS | {"string", "boolean", "null", "map", "list"}
-#: Named formats that are regular, as portable patterns.
-FORMATS = {
-    "date": r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])\z",
-    "time": r"^([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)(\.[0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])\z",
-    "date-time": r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])[Tt]([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)(\.[0-9]+)?([Zz]|[+-]([01][0-9]|2[0-3]):[0-5][0-9])\z",
-    "email": r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*@[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?(\.[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?)*\z",
-    "hostname": r"^[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?(\.[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*\z",
-    "ipv4": r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\z",
-    "uuid": r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\z",
-    "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s<>\x22{}|\\^`]*\z",
-    "duration": r"^P([0-9]+W|([0-9]+Y)?([0-9]+M)?([0-9]+D)?(T([0-9]+H)?([0-9]+M)?([0-9]+(\.[0-9]+)?S)?)?)\z",
-    "json-pointer": r"^(/([^~/]|~[01])*)*\z",
-}
-
-
 def kind_of(v: Any) -> str:
     if v is None:
         return "null"
@@ -191,9 +177,12 @@ class Constraint:
                     return False
         if any(same(v, x) for x in self.excluded):
             return False
-        for p in (*self.patterns, *(FORMATS[f] for f in self.formats)):
+        for p in (*self.patterns, *(p for f in self.formats for p in formats.PATTERNS[f])):
             if k != "string" or not re.search(p.replace(r"\z", r"\Z"), v, re.ASCII):
                 return False
+        for f in self.formats:
+            if k != "string" or len(v) > formats.LONGEST.get(f, len(v)) or f == "regex" and not is_pattern(v):
+                return False
         for m in self.multiples:
             if k not in NUMBERS or _exact(v) % _exact(m) != 0:
                 return False
@@ -256,8 +245,15 @@ class Constraint:
         own = [x for x in self.excluded if kind_of(x) == k]
         if own:
             out.append(~c.isin(own))
-        for p in (*self.patterns, *(FORMATS[f] for f in self.formats)):
+        for p in (*self.patterns, *(p for f in self.formats for p in formats.PATTERNS[f])):
             out.append(c.rlike(portable(p)) if text else no)
+        for f in self.formats:
+            if not text:
+                out.append(no)
+            elif f == "regex":
+                out.append(patterns_are_valid(c))
+            elif f in formats.LONGEST:
+                out.append(F.length(c) <= formats.LONGEST[f])
         for m in self.multiples:
             out.append(arith.is_multiple(c, m) if number else no)
         if self.size is not None:
@@ -476,9 +472,9 @@ def pattern(p: str) -> Constraint:
 
 
 def fmt(name: str) -> Constraint:
-    if name not in FORMATS:
+    if name not in formats.PATTERNS:
         raise ValueError(f"format {name!r}")
-    return Constraint(kinds=frozenset(("string",)), formats=(name,), may_be_empty=name == "json-pointer")
+    return Constraint(kinds=frozenset(("string",)), formats=(name,), may_be_empty=name in formats.EMPTY)
 
 
 def _count(n: int | Constraint | None) -> Constraint:

@@ -1,14 +1,20 @@
-"""JSON Schema (2020-12) out of a schema, and the same subset back in."""
+"""JSON Schema (2020-12) out of a schema, and the same subset back in; earlier drafts are brought up to it first.
+
+References go to ``$defs`` and to places in the same document, as deep as they lead but not around in a circle: a
+constraint is a finite value, so a schema that contains itself is refused.
+"""
 
 from __future__ import annotations
 
 from typing import Any
+from urllib.parse import unquote
 
 from .constraint import (
     ANY, NUMBERS, Constraint, const, contains, empty, fmt, kind, len_, max_, members, min_, above, below, mulof, must, nof, nothing, pattern, rest, unique, when,
 )
 from .schema import Field, Schema
 
+#: The dialect and the keywords below are those of the standard.
 DIALECT = "https://json-schema.org/draft/2020-12/schema"
 _OUT = {"string": "string", "integer": "integer", "float": "number", "biginteger": "integer", "bigdecimal": "number", "boolean": "boolean", "null": "null", "map": "object", "list": "array"}
 _IN = {"string": kind("string") & empty(), "integer": kind("integer") | kind("biginteger"), "number": kind("number"), "boolean": kind("boolean"), "null": kind("null"), "object": kind("map"), "array": kind("list")}
@@ -111,16 +117,71 @@ _ONLY = {
     frozenset(NUMBERS): ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"),
     frozenset(("string",)): ("pattern", "minLength", "maxLength"),
     frozenset(("list",)): ("minItems", "maxItems", "uniqueItems", "contains", "items"),
-    frozenset(("map",)): ("properties", "required", "additionalProperties", "minProperties", "maxProperties"),
+    frozenset(("map",)): ("properties", "required", "additionalProperties", "minProperties", "maxProperties", "dependentRequired", "dependentSchemas"),
 }
 
 
-def constraint_in(x: dict[str, Any] | bool) -> Constraint:
-    """A schema object as a constraint; unknown keywords are refused."""
+def upgrade(x: Any) -> Any:
+    """A schema of drafts 4 to 7 in the keywords of 2020-12; one of 2020-12 stays as it is."""
+    if isinstance(x, list):
+        return [upgrade(v) for v in x]
+    if not isinstance(x, dict):
+        return x
+    out: dict[str, Any] = {}
+    for k, v in x.items():
+        if k in ("enum", "const", "default", "examples"):
+            out[k] = v
+        elif k == "definitions":
+            out["$defs"] = {n: upgrade(d) for n, d in v.items()} | out.get("$defs", {})
+        elif k == "id" and isinstance(v, str):
+            out["$id"] = v
+        elif k == "dependencies":
+            for n, d in v.items():
+                out.setdefault("dependentRequired" if isinstance(d, list) else "dependentSchemas", {})[n] = d if isinstance(d, list) else upgrade(d)
+        elif k in ("properties", "$defs", "patternProperties", "dependentSchemas"):
+            out[k] = out.get(k, {}) | {n: upgrade(d) for n, d in v.items()}
+        elif k in ("exclusiveMinimum", "exclusiveMaximum") and isinstance(v, bool):
+            continue  # draft 4: says of the bound beside it that it is open
+        elif k in ("minimum", "maximum") and x.get("exclusive" + k.capitalize()) is True:
+            out["exclusive" + k.capitalize()] = v
+        elif k == "$ref" and isinstance(v, str):
+            out[k] = v.replace("#/definitions/", "#/$defs/")
+        elif k == "$schema":
+            out[k] = DIALECT
+        else:
+            out[k] = upgrade(v)
+    return out
+
+
+def _at(whole: Any, ref: str) -> Any:
+    """The place of a document that a reference names."""
+    if not ref.startswith("#") or ref != "#" and not ref.startswith("#/"):
+        raise ValueError(f"$ref {ref!r} leads out of the document")
+    here = whole
+    for part in ref.split("/")[1:]:
+        part = unquote(part).replace("~1", "/").replace("~0", "~")
+        try:
+            here = here[int(part)] if isinstance(here, list) else here[part]
+        except (KeyError, IndexError, ValueError, TypeError) as e:
+            raise ValueError(f"$ref {ref!r} leads nowhere") from e
+    return here
+
+
+def constraint_in(x: dict[str, Any] | bool, whole: Any = None, within: tuple[str, ...] = ()) -> Constraint:
+    """A schema object as a constraint; unknown keywords are refused. References are read in ``whole``."""
     if isinstance(x, bool):
         return ANY if x else nothing()
+    whole = x if whole is None else whole
+
+    def inner(y: dict[str, Any] | bool) -> Constraint:
+        return constraint_in(y, whole, within)
+
     c = ANY & empty()
-    known = {"type", "enum", "const", "not", "anyOf", "oneOf", "allOf", "if", "then", "else", "format", "$schema", "title", "description", "default", "deprecated", "minContains", "maxContains", "$comment", "examples"}
+    if "$ref" in x:
+        if x["$ref"] in within:
+            raise ValueError(f"$ref {x['$ref']!r} leads around in a circle")
+        c = c & constraint_in(_at(whole, x["$ref"]), whole, (*within, x["$ref"]))
+    known = {"type", "enum", "const", "not", "anyOf", "oneOf", "allOf", "if", "then", "else", "format", "$schema", "title", "description", "default", "deprecated", "minContains", "maxContains", "$comment", "examples", "$ref", "$defs", "$id", "$anchor", "readOnly", "writeOnly", "contentMediaType", "contentEncoding"}
     known |= {k for ks in _ONLY.values() for k in ks}
     if bad := set(x) - known:
         raise ValueError(f"keywords {sorted(bad)}")
@@ -141,17 +202,21 @@ def constraint_in(x: dict[str, Any] | bool) -> Constraint:
         if x.get("uniqueItems") and "uniqueItems" in words:
             own = own & unique()
         if "items" in words and "items" in x:
-            own = own & contains(nof(0, constraint_in(x["items"])), 0)
+            own = own & contains(nof(0, inner(x["items"])), 0)
         if "contains" in words and "contains" in x:
-            own = own & contains(constraint_in(x["contains"]), _between(x.get("minContains", 1), x.get("maxContains")))
+            own = own & contains(inner(x["contains"]), _between(x.get("minContains", 1), x.get("maxContains")))
         if "properties" in words:
             props, need = x.get("properties", {}), x.get("required", [])
-            own = own & Constraint(keys=tuple(sorted((k, constraint_in(props.get(k, True))) for k in need)))
+            own = own & Constraint(keys=tuple(sorted((k, inner(props.get(k, True))) for k in need)))
             for k, p in props.items():
                 if k not in need:
-                    own = own & when(members(**{k: ANY & (kind("null") | nof(0, kind("null")))}), members(**{k: constraint_in(p)}))
+                    own = own & when(members(**{k: ANY & (kind("null") | nof(0, kind("null")))}), members(**{k: inner(p)}))
+            for k, needs in x.get("dependentRequired", {}).items():
+                own = own & when(members(**{k: ANY & empty()}), members(**{n: ANY & empty() for n in needs}))
+            for k, p in x.get("dependentSchemas", {}).items():
+                own = own & when(members(**{k: ANY & empty()}), inner(p))
             if "additionalProperties" in x:
-                own = own & rest(constraint_in(x["additionalProperties"]), *props)
+                own = own & rest(inner(x["additionalProperties"]), *props)
         others = Constraint(kinds=frozenset(("string", "boolean", "null", "map", "list", *NUMBERS)) - kinds, may_be_empty=True)
         c = c & (own & Constraint(kinds=kinds, may_be_empty=True) | others) if "type" not in x or set(kinds) != set(c.kinds or ()) else c & own
     if "enum" in x:
@@ -161,15 +226,15 @@ def constraint_in(x: dict[str, Any] | bool) -> Constraint:
     if "format" in x:
         c = c & (fmt(x["format"]) | nof(0, kind("string")))
     if "not" in x:
-        c = c & nof(0, constraint_in(x["not"]))
+        c = c & nof(0, inner(x["not"]))
     for a in x.get("allOf", ()):
-        c = c & must(constraint_in(a), "allOf")
+        c = c & must(inner(a), "allOf")
     if "anyOf" in x:
-        c = c & nof(min_(1), *map(constraint_in, x["anyOf"]))
+        c = c & nof(min_(1), *map(inner, x["anyOf"]))
     if "oneOf" in x:
-        c = c & nof(1, *map(constraint_in, x["oneOf"]))
+        c = c & nof(1, *map(inner, x["oneOf"]))
     if "if" in x:
-        c = c & when(constraint_in(x["if"]), constraint_in(x.get("then", True)), constraint_in(x.get("else", True)))
+        c = c & when(inner(x["if"]), inner(x.get("then", True)), inner(x.get("else", True)))
     return c
 
 
@@ -181,13 +246,13 @@ def _any(cs: list[Constraint]) -> Constraint:
 
 
 def schema_in(x: dict[str, Any]) -> Schema:
-    """A schema of records from an object schema."""
+    """A schema of records from an object schema, of any draft from 4 on."""
+    x = upgrade(x)
     need = set(x.get("required", ()))
     fields = {}
     for k, p in x.get("properties", {}).items():
         d = ((0, p["default"]),) if isinstance(p, dict) and "default" in p else ()
-        fields[k] = Field(constraint_in(p), optional=k not in need, forbidden=p is False, defaults=d)
+        fields[k] = Field(constraint_in(p, x), optional=k not in need, forbidden=p is False, defaults=d, deprecated="deprecated" if isinstance(p, dict) and p.get("deprecated") else "")
     for k in need - set(fields):
         fields[k] = Field()
     return Schema(tuple(sorted(fields.items())), closed=x.get("additionalProperties") is False)
-

@@ -168,6 +168,43 @@ def breaking(old: Schema, new: Schema, mode: str = "backward") -> dict[str, str]
     return out
 
 
+#: What a comparison of two schemas may leave aside.
+PROFILES = {"whole": frozenset(), "values": frozenset(("table",)), "shape": frozenset(("table", "constraints"))}
+
+
+def subsumes_in(profile: str, general: Schema, specific: Schema) -> str:
+    """:func:`subsumes` as a profile sees it: ``whole``, ``values`` (no rules about tables), ``shape`` (fields and kinds)."""
+    aside = PROFILES[profile]
+
+    def seen(s: Schema) -> Schema:
+        if "table" in aside:
+            s = replace(s, unique=(), links=(), musts=())
+        if "constraints" in aside:
+            bare = lambda c: Constraint(kinds=c.kinds, may_be_empty=True) if c.kinds is not None else ANY
+            s = replace(s, fields=tuple((k, replace(f, constraint=bare(f.constraint))) for k, f in s.fields), spread=ANY)
+        return s
+
+    return subsumes(seen(general), seen(specific))
+
+
+def outcome(df: DataFrame, old: Schema, new: Schema) -> DataFrame:
+    """(rows, old, new, lost, gained, verdict): what an evolution does to a table's records.
+
+    ``lost`` fit the old schema and not the new one, ``gained`` the other way; any lost record makes it ``breaking``.
+    """
+
+    def fits(s: Schema) -> Column:
+        out = F.lit(True)
+        for _, _, test in s.rules(df):
+            out = out & test
+        return out
+
+    a, b = fits(old), fits(new)
+    n = lambda c: F.count_if(c)
+    got = df.select(a.alias("a"), b.alias("b")).agg(F.count("*").alias("rows"), n(F.col("a")).alias("old"), n(F.col("b")).alias("new"), n(F.col("a") & ~F.col("b")).alias("lost"), n(F.col("b") & ~F.col("a")).alias("gained"))
+    return got.withColumn("verdict", F.when(F.col("lost") > 0, "breaking").otherwise("compatible"))
+
+
 def infer(df: DataFrame) -> Schema:
     """The schema of a table's types: every field of its column's kind."""
     from .constraint import column_kind

@@ -106,4 +106,4 @@ def test_json_schema_of_records():
     assert out["required"] == ["a"] and out["additionalProperties"] is False
     assert schema_out(schema_in(out))["required"] == ["a"]
     with pytest.raises(ValueError, match="keywords"):
-        constraint_in({"$ref": "#/x"})
+        constraint_in({"$dynamicRef": "#x"})
