@@ -159,7 +159,8 @@ class Constraint:
         if self.impossible:
             return False
         if self.arms:
-            return any(a.admits(v) for a in self.arms) and replace(self, arms=()).admits(v)
+            # Each arm says itself whether it takes the empty text.
+            return any(a.admits(v) for a in self.arms) and replace(self, arms=(), may_be_empty=True).admits(v)
         k = kind_of(v)
         if self.value and not same(v, self.value[0]):
             return False
@@ -233,7 +234,7 @@ class Constraint:
             out.append(c.isNotNull())
         if self.value:
             out.append(c == F.lit(self.value[0]) if kind_of(self.value[0]) == k or k in NUMBERS and kind_of(self.value[0]) in NUMBERS and k == "bigdecimal" else no)
-        if text and not self.may_be_empty and not self.value:
+        if text and not self.may_be_empty and not self.value and not self.arms:
             out.append(F.length(c) > 0)
         for bound, low in ((self.lo, True), (self.hi, False)):
             if bound:

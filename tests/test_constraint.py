@@ -107,3 +107,13 @@ def test_json_schema_of_records():
     assert schema_out(schema_in(out))["required"] == ["a"]
     with pytest.raises(ValueError, match="keywords"):
         constraint_in({"$dynamicRef": "#x"})
+
+
+def test_arms_say_themselves_whether_they_take_the_empty_text(spark):
+    from pyspark.sql import functions as F
+
+    from concord.plans.jsonschema import constraint_in
+
+    c = constraint_in({"minItems": 1})
+    df = spark.createDataFrame([("",), ("a",)], "x string")
+    assert c.admits("") and not c.admits([]) and [r[0] for r in df.select(c.test(F.col("x"), df.schema["x"].dataType)).collect()] == [True, True]
