@@ -8,7 +8,7 @@ from .scratch import Scratch
 
 
 def components(edges: DataFrame, work: Scratch, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of an edge; component is the smallest node reachable.
+    """(node, component) for every node of an edge, written; component is the smallest node reachable.
 
     Edges become stars around each component's smallest node in a number of rounds that grows with the logarithm of the
     longest path. A hub's edges are never gathered: its minimum is aggregated where they lie, and joined by key.
@@ -32,4 +32,6 @@ def components(edges: DataFrame, work: Scratch, a: str = "a", b: str = "b") -> D
         work.drop(e)
         e = nxt
     tops = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
+    out = work.cut(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops))
+    work.drop(e)
+    return out

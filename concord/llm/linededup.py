@@ -101,6 +101,8 @@ def rest_shifts(k: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
 
 def rest_keys(line: Column, k: int) -> Column:
     """Hashes of what is left of a line, or of one up to k shorter in its place, without k of k + 4 segments."""
+    if not k:
+        return F.array(F.xxhash64(line))
     specs = F.array(*[F.struct(F.array(*map(F.lit, out)).alias("out"), F.array(*map(F.lit, x)).alias("to")) for out, x in rest_shifts(k)])
 
     def key(p: Column, n: Column) -> Column:
@@ -207,18 +209,19 @@ def near_lines(lines: DataFrame, near: Near, work: Scratch) -> DataFrame:
     ids = work.cut(shared.select("h1").distinct())
     ids = F.broadcast(ids) if 16 * ids.count() <= BROADCAST_BYTES else ids
     texts = work.cut(lines.select("h1", "h2", "line").join(ids, "h1", "left_semi").select("*", *[f.alias(f"f{i}") for i, f in enumerate(letter_counts(F.col("line")))]))
-    comp = work.cut(components(_links(_stars(shared, work), texts, k, work), work))
-    open_ = _unresolved(shared, comp, work)
+    near_ = _links(_stars(shared, work), texts, k, work)
+    first = components(near_, work)
+    open_ = _unresolved(shared, first, work)
     pairs = _across(open_.where(F.col("size") <= SMALL), texts, k)
     # The lines of large buckets meet again only where all but k of k + 4 segments are the same.
     again = texts.join(open_.where(F.col("size") > SMALL).select("h1").distinct(), "h1", "left_semi")
     again = work.cut(again.select("h1", rest_keys(F.col("line"), k).alias("keys")))
     rest = _shared(again.select("h1", F.explode_outer("keys").alias("key")), work)
-    dense = _unresolved(rest, comp, work)
+    dense = _unresolved(rest, first, work)
     links = _links(pairs.unionByName(_across(dense, texts, k)).distinct(), texts, k, work)
-    comp = work.cut(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), work))
+    comp = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), work)
     out = work.cut(comp.select(F.col("node").alias("h1"), "component").join(texts.select("h1", "h2"), "h1"))
-    work.drop(shared, open_, again, rest, dense, links, comp, texts)
+    work.drop(shared, near_, first, open_, again, rest, dense, links, comp, texts)
     return out
 
 

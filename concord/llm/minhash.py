@@ -123,7 +123,7 @@ def _full_sets(docs: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
+    """The pairs (a, b) whose full sets are similar enough, written.
 
     A set that many pairs name as their ``b`` is copied, once for each ``SALT`` of them, so that no task gets them all.
     """
@@ -135,7 +135,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, work: Scratch) ->
     two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")).join(parts, "b", "left")
     two = two.select("b", "sb", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return salted.join(one, "a").join(two, ["b", "salt"]).where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    out = work.cut(salted.join(one, "a").join(two, ["b", "salt"]).where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+    work.drop(pairs, parts)
+    return out
 
 
 def _sizes_allow(x: Column, y: Column, percent: int) -> Column:
@@ -155,17 +157,17 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), doc_id: str
     # Written, so that the join can split the rows of a key that very many classes share.
     shared = work.cut(shared)
     member = work.cut(rows.join(shared, "key"))
-    near = work.cut(member.select(F.col("rep").alias("doc_id")).distinct())
-    near = F.broadcast(near) if 16 * near.count() <= BROADCAST_BYTES else near
+    ids = work.cut(member.select(F.col("rep").alias("doc_id")).distinct())
+    near = F.broadcast(ids) if 16 * ids.count() <= BROADCAST_BYTES else ids
     # A repeated id may have several sets; each stays a set of its own under that id.
     sets = work.cut(_full_sets(src.join(near, "doc_id"), sim).select(F.col("doc_id").alias("rep"), "shingles").distinct())
     hub_n = member.where("rep = hub").select("hub", F.col("n").alias("hub_n")).distinct()
     stars = member.where("rep <> hub").select("rep", "n", "hub").distinct().join(hub_n, "hub").where(_sizes_allow(F.col("n"), F.col("hub_n"), sim.percent))
     # Equal sets under several ids are links to the smallest.
     same = sk.join(reps.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = work.cut(_verified(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")), sets, sim.percent, work))
-    comp = work.cut(components(links, work))
-    comp = _rest(member, sets, comp, sim, work)
+    links = _verified(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")), sets, sim.percent, work)
+    first = components(links, work)
+    comp = _rest(member, sets, first, sim, work)
     # Classes, then their members.
     tie = same.join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select("a", F.coalesce("cb", "b").alias("c"))
     top = tie.groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c1"))
@@ -180,6 +182,7 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), doc_id: str
     # The smallest id of a component may itself be a class of ids below its representative only if it is the
     # representative, which is the smallest of its class: so the component's name is right as it stands.
     whole = work.cut(whole.select(F.col("node").alias("doc_id"), "component"))
+    work.drop(shared, member, ids, sets, links, first, comp)
     ns = sk.groupBy("doc_id", "n").count().groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     out = named.select("doc_id").join(ns, "doc_id", "left").join(whole, "doc_id", "left")
     cid = F.coalesce("component", "doc_id")
@@ -231,7 +234,8 @@ def _rest(member: DataFrame, sets: DataFrame, comp: DataFrame, sim: Similarity,
     named = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     per = named.groupBy("key", "c").agg(F.count("*").alias("m"))
     head = per.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("giant"), F.count("*").alias("comps")).where("comps > 1")
-    rows = named.join(work.cut(head), "key")
+    head = work.cut(head)
+    rows = named.join(head, "key")
     both = work.cut(rows.groupBy("rep").agg(F.first("c").alias("c"), F.max((F.col("c") != F.col("giant")).cast("int")).alias("seeks")))
     pre = work.cut(_prefixes(sets.join(both.select("rep"), "rep", "left_semi"), sim.percent).join(both, "rep"))
     x, y = pre.where("seeks = 1").alias("x"), pre.alias("y")
@@ -239,10 +243,10 @@ def _rest(member: DataFrame, sets: DataFrame, comp: DataFrame, sim: Similarity,
     room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     fits = (F.col("x.c") != F.col("y.c")) & _sizes_allow(F.col("x.n"), F.col("y.n"), sim.percent) & ((100 + sim.percent) * room >= need)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
-    found = work.cut(_verified(pairs, sets, sim.percent, work))
+    found = _verified(pairs, sets, sim.percent, work)
     ends = found.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    joined = work.cut(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), work))
+    joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), work)
     old = comp.unionByName(joined.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
     out = work.cut(old.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-    work.drop(both, pre, found, joined)
+    work.drop(head, both, pre, found, joined)
     return out

@@ -52,8 +52,10 @@ def brute_components(texts, k, percent):
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
-def test_near_duplicates_are_those_of_brute_force(spark, k, percent):
+@pytest.mark.parametrize("k,percent,gate,salt", [(3, 85, 8 << 20, 256), (5, 80, -1, 2)])
+def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, k, percent, gate, salt):
+    monkeypatch.setattr(minhash, "BROADCAST_BYTES", gate)
+    monkeypatch.setattr(minhash, "SALT", salt)
     rng = random.Random(k)
     texts = [None, "", " \n", "One", "one", "one two", "ONE TWO", "É one", "é one"]
     for _ in range(6):
@@ -82,6 +84,16 @@ def test_near_duplicates_of_repeated_null_and_no_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(30)
+    long_ = prose(rng, 300_000, 50_000).split()
+    other = list(long_)
+    for i in range(0, len(other), 500):
+        other[i] = "x"
+    df = spark.createDataFrame([(1, " ".join(long_)), (2, " ".join(other)), (3, prose(rng, 300_000, 50_000)), (4, "w" * 2_000_000)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(0)
     for n in (1, 5, 500):
@@ -230,6 +242,13 @@ def test_chat_reads_back(spark):
     assert any(r["n_history"] > 1 for r in made) and chat.chat_windows(df.limit(0)).count() == 0
 
 
+def test_chat_of_very_long_texts(spark):
+    big = "<|im_end|> word " * 100_000
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", big), (1, 2, "user", big), (1, 3, "assistant", "end")], "conv_id long, turn long, role string, text string")
+    r = chat.read_windows(chat.chat_windows(df)).first()
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (4, len(big) + 3, hashlib.sha256((big + "end").encode()).hexdigest()) and r["n_windows"] > 1
+
+
 # ---- 5 urls
 
 
