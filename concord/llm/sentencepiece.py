@@ -21,6 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .scratch import refuse_clash
 
 MARK = "▁"
-#: Stretches that a worker remembers.
+#: Stretches that a worker remembers from one slice of rows to the next.
 CACHE = 400_000
-#: Stretches longer than this (code points) are solved anew, so the cache is bounded in bytes too.
+#: Stretches longer than this (code points) are not remembered, so the memory is bounded in bytes too.
 CACHE_CHARS = 64
-#: Rows at a time in a worker.
+#: Rows at a time in a worker, and stretches that are solved together.
 ROWS = 128
+PARTS = 20_000
 #: A model of more pieces than this is refused: its trie goes to every executor.
 MAX_PIECES = 1_000_000
 
@@ -148,8 +150,9 @@ class Encoder:
         self.m = model
         self.base, self.check, self.value = (x.tolist() for x in (model.trie.base, model.trie.check, model.trie.value))
         self.unk_score = min((s for s, ok in zip(model.scores, model.matched, strict=True) if ok), default=0.0) - 10.0
+        self.scores = np.array([*model.scores, 0.0])
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, list[int]] = {}
 
     def viterbi(self, text: str) -> tuple[int, ...]:
         """Ids of the best path over the text as it stands."""
@@ -191,23 +194,107 @@ class Encoder:
             n = i
         return tuple(reversed(out))
 
+    def solve(self, parts: list[str]) -> list[list[int]]:
+        """Ids of the best path of each of many stretches, all at once: the same search, a step for all of them at a time."""
+        m, check, base, value = self.m, self.m.trie.check, self.m.trie.base, self.m.trie.value
+        raw = [p.encode() for p in parts]
+        sizes = np.array([len(x) for x in raw], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
+        part = np.repeat(np.arange(len(raw)), sizes)
+        end = np.repeat(starts + sizes, sizes)
+        # Every piece that begins at a character: (where, its bytes, which), by walking the trie from all of them at once.
+        first = np.flatnonzero((data & 0xC0) != 0x80)
+        at, state, found = first, np.zeros(len(first), dtype=np.int64), []
+        depth = 0
+        while len(at):
+            on = at + depth < end[at]
+            at, state = at[on], state[on]
+            to = base[state] + data[at + depth]
+            on = to < len(check)
+            on[on] = check[to[on]] == state[on]
+            at, state = at[on], to[on].astype(np.int64)
+            depth += 1
+            which = value[state]
+            hit = which >= 0
+            found.append((at[hit], np.full(int(hit.sum()), depth), which[hit].astype(np.int64)))
+        # A character that no piece covers alone becomes its bytes.
+        lead = data[first]
+        width = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+        covered = np.zeros(len(data), dtype=np.int64)
+        alone = np.zeros(len(data), dtype=bool)
+        covered[first] = width
+        for i, n, _ in found:
+            alone[i[covered[i] == n]] = True
+        bare = ~alone[first]
+        found.append((first[bare], width[bare], np.full(int(bare.sum()), -1)))
+        i, n, v = (np.concatenate([f[k] for f in found]) for k in range(3))
+        order = np.argsort(i - starts[part[i]], kind="stable")
+        i, n, v = i[order], n[order], v[order]
+        offset = i - starts[part[i]]
+        score = np.where(v >= 0, self.scores[v], self.unk_score)
+        # One place more than bytes for each stretch.
+        source, target = i + part[i], i + part[i] + n
+        best = np.full(len(data) + len(raw), -np.inf)
+        back = np.full(len(best), -1, dtype=np.int64)
+        best[starts + np.arange(len(raw))] = 0.0
+        cuts = np.searchsorted(offset, np.arange(int(sizes.max()) + 1 if len(sizes) else 1))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            new, to = best[source[a:b]] + score[a:b], target[a:b]
+            more = new > best[to]
+            to = to[more]
+            best[to] = new[more]
+            back[to] = np.flatnonzero(more) + a
+        own, here = np.arange(len(raw)), starts + sizes + np.arange(len(raw))
+        owners, edges = [], []
+        while len(own):
+            e = back[here]
+            on = e >= 0
+            own, e = own[on], e[on]
+            owners.append(own)
+            edges.append(e)
+            here = source[e]
+        owner, edge = np.concatenate(owners[::-1]), np.concatenate(edges[::-1])
+        order = np.argsort(owner, kind="stable")
+        owner, edge = owner[order], edge[order]
+        ids, counts = v[edge], np.bincount(owner, minlength=len(raw))
+        out, whole, a = [], ids.tolist(), 0
+        rare = np.zeros(len(raw), dtype=bool)
+        rare[owner[ids < 0]] = True
+        for k, c in enumerate(counts.tolist()):
+            one = whole[a : a + c]
+            if rare[k]:
+                one = [y for x, e in zip(one, edge[a : a + c].tolist(), strict=True) for y in ([x] if x >= 0 else self._bytes(data[i[e] : i[e] + n[e]].tolist()))]
+            out.append(one)
+            a += c
+        return out
+
+    def _bytes(self, codes: list[int]) -> list[int]:
+        return [self.m.byte_ids[b] for b in codes] if self.m.byte_ids else [self.m.unk]
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        marked = (" " + text).replace(" ", MARK)
-        if not self.m.split:
-            return list(self.viterbi(marked))
-        out: list[int] = []
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
+        """Ids of many texts; stretches that are not remembered are solved together."""
         known = self.known
-        for part in self.cut.findall(marked):
-            ids = known.get(part)
-            if ids is None:
-                ids = self.viterbi(part)
-                if len(part) <= CACHE_CHARS:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[part] = ids
-            out.extend(ids)
+        marked = [None if x is None else (" " + x).replace(" ", MARK) if x else "" for x in texts]
+        if not self.m.split:
+            return [None if x is None else list(self.viterbi(x)) for x in marked]
+        rows = [None if x is None else self.cut.findall(x) for x in marked]
+        fresh = list(set(chain.from_iterable(ps for ps in rows if ps)).difference(known))
+        for k in range(0, len(fresh), PARTS):
+            some = fresh[k : k + PARTS]
+            known.update(zip(some, self.solve(some), strict=True))
+        out = [None if ps is None else list(chain.from_iterable(map(known.__getitem__, ps))) for ps in rows]
+        if len(known) > CACHE:
+            known.clear()
+        else:
+            for p in fresh:
+                if len(p) > CACHE_CHARS:
+                    del known[p]
         return out
 
 
@@ -251,7 +338,7 @@ def encode_column(df: DataFrame, model: Model, text: str = "text", out: str = "i
         dec = Decoder(sent.value)
 
         def of(part: pa.RecordBatch) -> list[pa.Array]:
-            ids = [None if x is None else enc.encode(x) for x in part.column(at).to_pylist()]
+            ids = enc.encode_all(part.column(at).to_pylist())
             cols = [pa.array([None if x is None else np.array(x, dtype=np.int32) for x in ids], type=pa.list_(pa.int32()))]
             if decoded:
                 cols.append(pa.array([None if x is None else dec.decode(x) for x in ids], type=pa.string()))
