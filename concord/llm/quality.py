@@ -15,6 +15,7 @@ among them is refused (``prefix`` changes the names of all outputs); an empty ta
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -155,25 +156,25 @@ def plan_order(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sampl
     The sample is only counted: it decides the order, and with it the cost, and no verdict.
     """
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).limit(sample_rows).persist()
-    if sample.count() < sample_rows // 4:  # a small table
-        sample.unpersist()
-        sample = rows.limit(sample_rows).persist()
-    try:
-        every = sorted({x for r in rules for x in r.features})
+    every = sorted({x for r in rules for x in r.features})
+
+    def counted(sample: DataFrame) -> list:
+        """A few numbers for each row; the limit on top reads no more partitions than it needs."""
         judged = cascade(sample, [], always=[*every, "n_words", "n_lines"])
         bits = sum((F.when(r.fails({x: F.col(x) for x in r.features}), 1 << i).otherwise(0) for i, r in enumerate(rules)), F.lit(0))
-        got = judged.groupBy(bits.alias("bits")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"), F.sum("n_words").alias("w"), F.sum("n_lines").alias("l")).collect()
-    finally:
-        sample.unpersist()
-    left, have, out, open_ = {r["bits"]: r["n"] for r in got}, set(computed), [], list(range(len(rules)))
+        return judged.select(bits.alias("bits"), F.length("text").alias("c"), F.col("n_words").alias("w"), F.col("n_lines").alias("l")).limit(sample_rows).collect()
+
+    got = counted(rows.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0))
+    if len(got) < sample_rows // 4:  # a small table
+        got = counted(rows)
+    left, out, open_ = Counter(r["bits"] for r in got), [], list(range(len(rules)))
     size = [sum(r[x] or 0 for r in got) for x in "cwl"]
 
     def needs(name: str) -> set[str]:
         start = PASSES[name][3]
         return {name} | (needs(start) if start else set())
 
-    have = set().union(*map(needs, have)) if have else set()
+    have = set().union(*map(needs, computed)) if computed else set()
     while open_:
         total = max(1, sum(left.values()))
 
@@ -186,7 +187,7 @@ def plan_order(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sampl
         open_.remove(best)
         out.append(rules[best])
         have |= set().union(*(needs(x) for x in rules[best].features))
-        left = {b: n for b, n in left.items() if not b >> best & 1}
+        left = Counter({b: n for b, n in left.items() if not b >> best & 1})
     return out
 
 
