@@ -119,6 +119,15 @@ def emit_tree(df: DataFrame, key: str, parent: str, *rules: tuple[Column, Sequen
     return told.select("root", "pos", "depth", F.concat(F.repeat(F.lit(indent), F.col("depth")), F.col(out)).alias(out))
 
 
+def emit_children(df: DataFrame, items: Column, *rules: tuple[Callable[[Column], Column], Callable[[Column], Sequence[Column]]], order: Sequence[str] = (), out: str = "line") -> DataFrame:
+    """The members of each record's own list, emitted in order by the first rule that each matches; ``pos`` counts within a record."""
+
+    def body(x: Column) -> Column:
+        return _body([(trial(x), lines(x)) for trial, lines in rules], lambda y: y.cast("string"))
+
+    return df.select(*order, F.posexplode(F.flatten(F.transform(items, body))).alias("pos", out))
+
+
 def key_index(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "key") -> DataFrame:
     """Each member's index in its list, from 0, as text; lists are told apart by ``by``.
 

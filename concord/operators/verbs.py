@@ -41,6 +41,20 @@ def allow(paths: DataFrame, allowed: Sequence[str], denied: Sequence[str] = (),
     return paths.withColumn("verdict", F.when(hit(denied) | below, "denied").when(hit(allowed), "allowed").otherwise("uncovered"))
 
 
+def path_meet(a: Column, b: Column, sep: str = ".") -> Column:
+    """Two paths met: the longer one if the other leads to it, segment by segment; else null. A missing one is any path."""
+    below = lambda x, y: (x == y) | y.startswith(F.concat(x, F.lit(sep)))
+    return F.when(a.isNull() | b.isNull(), F.coalesce(a, b)).when((a == "") | below(a, b), b).when((b == "") | below(b, a), a)
+
+
+def path_of(*parts: Column, sep: str = ".") -> Column:
+    """The address of a value: its segments in order; a missing segment makes it null."""
+    some = parts[0].isNotNull()
+    for p in parts[1:]:
+        some = some & p.isNotNull()
+    return F.when(some, F.concat_ws(sep, *[p.cast("string") for p in parts]))
+
+
 def canon(df: DataFrame, *fields: str) -> Column:
     """A record's canonical JSON: names in code point order, nulls as null."""
     named = sorted(fields or df.columns)

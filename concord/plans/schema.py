@@ -12,7 +12,10 @@ from .constraint import ANY, NOTHING, Constraint, same
 
 @dataclass(frozen=True)
 class Field:
-    """One member of a record. ``defaults`` are (rank, value), the lowest rank wins; ``forbidden`` must be absent."""
+    """One member of a record. ``defaults`` are (rank, value), the lowest rank wins; ``forbidden`` must be absent.
+
+    ``deprecated``, ``meta`` (names and texts) and ``ident`` ride along: they say something and admit the same values.
+    """
 
     constraint: Constraint = ANY
     optional: bool = False
@@ -20,6 +23,8 @@ class Field:
     defaults: tuple[tuple[int, Any], ...] = ()
     hidden: bool = False
     deprecated: str = ""
+    meta: tuple[tuple[str, str], ...] = ()
+    ident: bool = False
 
     def __and__(self, other: Field) -> Field:
         # Required wins over optional; a member forbidden on one side and required on the other cannot be.
@@ -28,7 +33,11 @@ class Field:
         if forbidden and not (self.optional or self.forbidden) or forbidden and not (other.optional or other.forbidden):
             c = NOTHING
         defaults = tuple(sorted(dict.fromkeys((*self.defaults, *other.defaults)), key=lambda d: d[0]))
-        return Field(c, self.optional and other.optional, forbidden, defaults, self.hidden or other.hidden, self.deprecated or other.deprecated)
+        meta = dict(self.meta)
+        for k, v in other.meta:
+            if meta.setdefault(k, v) != v:
+                raise ValueError(f"meta {k!r}: {meta[k]!r} and {v!r}")
+        return Field(c, self.optional and other.optional, forbidden, defaults, self.hidden or other.hidden, self.deprecated or other.deprecated, tuple(sorted(meta.items())), self.ident or other.ident)
 
     def default(self) -> tuple[Any, ...]:
         """The value of the lowest rank that the constraint admits, as a tuple of one; equal ranks must agree."""
@@ -245,6 +254,44 @@ def hide(schema: Schema, *names: str) -> Schema:
     return replace(schema, fields=tuple((k, replace(f, hidden=f.hidden or k in names)) for k, f in schema.fields))
 
 
+def move(schema: Schema, old: str, new: str) -> Schema:
+    """A field under another name; the old one must be absent from then on."""
+    f = schema.get(old)
+    if f is None or schema.get(new) is not None:
+        raise ValueError(f"move: {old!r} to {new!r}")
+    own = {k: v for k, v in schema.fields if k != old} | {new: f, old: Field(optional=True, forbidden=True)}
+    return replace(schema, fields=tuple(sorted(own.items())))
+
+
+def types(schema: Schema, *names: str) -> Schema:
+    """Fields that say what values are like and are no data themselves: checked where they are, never asked for or written."""
+    return replace(schema, fields=tuple((k, replace(f, hidden=True, optional=True) if k in names else f) for k, f in schema.fields))
+
+
+def annotate(df: DataFrame, schema: Schema) -> DataFrame:
+    """``df`` with each field's riders as its column's metadata, where writers and readers of tables keep them."""
+    for k, f in schema.fields:
+        told = {"deprecated": f.deprecated} if f.deprecated else {}
+        told |= {"meta": dict(f.meta)} if f.meta else {}
+        told |= {"ident": True} if f.ident else {}
+        if told and k in df.columns:
+            df = df.withMetadata(k, told)
+    return df
+
+
+def riders(df: DataFrame) -> dict[str, dict[str, Any]]:
+    """The riders of a table's columns."""
+    return {f.name: f.metadata for f in df.schema.fields if f.metadata}
+
+
+def declarations(schema: Schema, acyclic: tuple[str, ...] = (), inverse: dict[str, str] | None = None) -> dict[str, dict[str, Any]]:
+    """Relation to what is declared of it: its target, whether it must be acyclic, and its inverse."""
+    back = inverse or {}
+    names = sorted({link.field for link in schema.links} | set(acyclic) | set(back))
+    target = {link.field: f"{link.table}.{link.key}" for link in schema.links}
+    return {n: {"target": target.get(n), "acyclic": n in acyclic, "inverse": back.get(n)} for n in names}
+
+
 def prefer(schema: Schema, rank: int = 0, **values: Any) -> Schema:
     """Defaults for fields, at a rank."""
     return replace(schema, fields=tuple((k, replace(f, defaults=(*f.defaults, (rank, values[k]))) if k in values else f) for k, f in schema.fields))

@@ -719,6 +719,24 @@ def view_lattice(spark: SparkSession, d: str) -> DataFrame:
     return verbs.lattice(verbs.covers(pairs), pairs)
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'c.' || c_nationkey || '.' || c_custkey WHEN c_custkey % 3 = 1 THEN 'c.' || c_nationkey END AS met FROM customer")
+def path_meet(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    whole, part = verbs.path_of(F.lit("c"), F.col("c_nationkey"), F.col("c_custkey")), verbs.path_of(F.lit("c"), F.col("c_nationkey"))
+    other = F.when(F.col("c_custkey") % 3 == 0, whole).when(F.col("c_custkey") % 3 == 1, F.lit("c")).otherwise(F.concat(part, F.lit("0.x")))
+    return c.select("c_custkey", verbs.path_meet(part, other).alias("met"))
+
+
+@query(
+    "SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, i) - 1 AS INTEGER) AS pos, line FROM ("
+    "SELECT l_orderkey, l_linenumber, l_partkey, 0 AS i, 'part ' || l_partkey AS line FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 1, '  returned' FROM lineitem WHERE l_returnflag = 'R')"
+)
+def emit_children(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))).alias("items"))
+    head = lambda x: F.concat(F.lit("part "), x["l_partkey"].cast("string"))
+    return co.emit_children(rows, F.col("items"), (lambda x: x["l_returnflag"] == "R", lambda x: [head(x), F.lit("  returned")]), (lambda x: F.lit(True), lambda x: [head(x)]), order=["l_orderkey"])
+
+
 # ---- sources
 
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -48,7 +49,6 @@ def _yaml(text: str) -> str:
 
 def relaxed(text: str) -> str:
     """Relaxed JSON as strict JSON: comments, trailing commas, bare keys and single quotes are allowed."""
-    import re
 
     token = re.compile(r"""//[^\n]*|/\*.*?\*/|\#[^\n]*|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[{}\[\],:]|[^\s{}\[\],:"'/#]+|\s+|.""", re.DOTALL)
     out: list[str] = []
@@ -76,7 +76,7 @@ def _strict(text: str) -> str:
 
 
 _PARSERS: dict[str, Callable[[str], str]] = {"json": _strict, "relaxed": relaxed, "toml": _toml, "yaml": _yaml, "ini": _ini}
-#: Extension to format.
+#: Extension to format.
 EXTENSIONS = {
     "json": "json", "jsonld": "json", "jsonc": "relaxed", "json5": "relaxed", "jsonic": "relaxed", "jsc": "relaxed", "toml": "toml", "yaml": "yaml", "yml": "yaml", "ini": "ini", "txt": "text",
 }
@@ -100,6 +100,42 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInPandas(run, "path string, text string").select("path", F.parse_json("text").alias("value"))
 
 
+def read_memory(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:
+    """(path, value): documents that are given as texts, by the extensions of their names; for what is small."""
+    rows = []
+    for path, text in sorted(files.items()):
+        ext = os.path.splitext(path)[1].lstrip(".").lower()
+        if ext not in EXTENSIONS:
+            raise ValueError(f"include_extension: .{ext}")
+        kind = EXTENSIONS[ext]
+        rows.append((path, json.dumps(text) if kind == "text" else _PARSERS[kind](text)))
+    return spark.createDataFrame(rows, "path string, text string").select("path", F.parse_json("text").alias("value"))
+
+
+def resolve(spark: SparkSession, name: str, roots: Sequence[str] = (), files: Mapping[str, str] | None = None) -> DataFrame:
+    """(path, value) of a document by name: one that is given wins, then the first root that has it; none is an error."""
+    if files and name in files:
+        return read_memory(spark, {name: files[name]})
+    for root in roots:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return read(spark, at.toString())
+    raise ValueError(f"include_missing: {name}")
+
+
+def with_vars(template: str, values: Mapping[str, str | int | float | bool | None]) -> str:
+    """A document's text with ``$name`` for each variable replaced by its value as JSON; ``$$`` is a dollar sign."""
+
+    def put(m: re.Match) -> str:
+        if m[0] == "$$":
+            return "$"
+        if m[1] not in values:
+            raise ValueError(f"var_missing: ${m[1]}")
+        return json.dumps(values[m[1]])
+
+    return re.sub(r"\$\$|\$([A-Za-z_][A-Za-z0-9_]*)", put, template)
+
+
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table of JSON lines with a given schema; a line that does not fit is an error, nothing is guessed."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -11,7 +11,9 @@ from concord.operators import collections as co, graph, merge, verbs, vet
 from concord.plans import ANY, Schema, enum, fmt, kind, max_, min_
 from concord.plans.formats import NAMES, PATTERNS
 from concord.plans.jsonschema import constraint_in, schema_in, schema_out, upgrade
-from concord.plans.schema import Field, outcome, subsumes, subsumes_in
+from concord.plans import schema as sch
+from concord.plans.schema import Field, Link, outcome, subsumes, subsumes_in
+from concord.sources import readers
 
 
 def edges(spark, pairs):
@@ -181,3 +183,48 @@ def test_components_props():
     assert cmp.copyfiles({"from": "a", "replace": {"x": "y"}})["props"]["replace"] == {"x": "y"}
     with pytest.raises(ValueError):
         cmp.listitems({"item": "i"}, [cmp.slot("s")])
+
+
+def test_moved_typed_and_annotated_fields(spark):
+    s = Schema.of(a=Field(kind("integer"), deprecated="use b", meta=(("unit", "m"),), ident=True), t=kind("string"))
+    df = spark.createDataFrame([(1, "x")], "a int, t string")
+    told = sch.riders(sch.annotate(df, s))
+    assert told == {"a": {"deprecated": "use b", "meta": {"unit": "m"}, "ident": True}}
+    moved = sch.move(s, "a", "b")
+    assert [p for p, _, _ in moved.rules(df.withColumnRenamed("a", "b"))] == ["a", "b", "t"] and vet.counts(df, moved).where("n > 0").count() == 2
+    assert sch.types(s, "t").visible(df).columns == ["a"] and vet.counts(df.drop("t"), sch.types(s, "t")).where("n > 0").count() == 0
+    with pytest.raises(ValueError, match="meta"):
+        s & Schema.of(a=Field(meta=(("unit", "cm"),)))
+    with pytest.raises(ValueError, match="move"):
+        sch.move(s, "a", "t")
+    links = Schema.of(links=(Link("o", "orders", "id"),))
+    assert sch.declarations(links, ("next",), {"o": "of"}) == {"next": {"target": None, "acyclic": True, "inverse": None}, "o": {"target": "orders.id", "acyclic": False, "inverse": "of"}}
+
+
+def test_paths_meet(spark):
+    df = spark.createDataFrame([("a.b", "a.b.c"), ("a.b.c", "a"), ("a.b", "a.bc"), (None, "a"), ("", "a"), ("a", "a")], "x string, y string")
+    assert [r[0] for r in df.select(verbs.path_meet(F.col("x"), F.col("y"))).collect()] == ["a.b.c", "a.b.c", None, "a", "a", "a"]
+    assert df.select(verbs.path_of(F.lit("p"), F.col("x"))).collect()[3][0] is None
+
+
+def test_documents_in_memory_and_by_root(spark, tmp_path):
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "conf.toml").write_text("port = 1\n")
+    one = lambda df: df.select(F.to_json("value")).first()[0]
+    roots = [f"{tmp_path}/one", f"{tmp_path}/two"]
+    assert one(readers.resolve(spark, "conf.toml", roots)) == '{"port":1}'
+    assert one(readers.resolve(spark, "conf.toml", roots, {"conf.toml": "port = 2"})) == '{"port":2}'
+    with pytest.raises(ValueError, match="include_missing"):
+        readers.resolve(spark, "none.json", roots)
+    with pytest.raises(ValueError, match="include_extension"):
+        readers.read_memory(spark, {"a.csv": ""})
+    text_ = readers.with_vars('{"a": $a, "b": "$$x", "c": $b}', {"a": 'q"', "b": None})
+    assert json.loads(text_) == {"a": 'q"', "b": "$x", "c": None} and one(readers.read_memory(spark, {"x.json": text_})) == '{"a":"q\\"","b":"$x","c":null}'
+    with pytest.raises(ValueError, match="var_missing"):
+        readers.with_vars("$z", {})
+
+
+def test_emission_into_lists(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3]), (2, [])], "id int, x array<int>")
+    got = co.emit_children(df, F.col("x"), (lambda x: x == 2, lambda x: [F.lit("two"), F.lit("2")]), (lambda x: F.lit(True), lambda x: [x]), order=["id"]).collect()
+    assert [tuple(r) for r in got] == [(1, 0, "1"), (1, 1, "two"), (1, 2, "2"), (1, 3, "3")]
