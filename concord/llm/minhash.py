@@ -164,7 +164,10 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), doc_id: str
     hub_n = member.where("rep = hub").select("hub", F.col("n").alias("hub_n")).distinct()
     stars = member.where("rep <> hub").select("rep", "n", "hub").distinct().join(hub_n, "hub").where(_sizes_allow(F.col("n"), F.col("hub_n"), sim.percent))
     # Equal sets under several ids are links to the smallest.
-    same = sk.join(reps.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # Written, so that the join can split a set that very many documents have.
+    own = ["d1", "d2", "n"]
+    twins = work.cut(sk.groupBy(*own).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1").select(*own, "rep"))
+    same = sk.select("doc_id", *own).join(twins, own).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = _verified(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")), sets, sim.percent, work)
     first = components(links, work)
     comp = _rest(member, sets, first, sim, work)
@@ -182,7 +185,7 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), doc_id: str
     # The smallest id of a component may itself be a class of ids below its representative only if it is the
     # representative, which is the smallest of its class: so the component's name is right as it stands.
     whole = work.cut(whole.select(F.col("node").alias("doc_id"), "component"))
-    work.drop(shared, member, ids, sets, links, first, comp)
+    work.drop(shared, member, ids, sets, twins, links, first, comp)
     ns = sk.groupBy("doc_id", "n").count().groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     out = named.select("doc_id").join(ns, "doc_id", "left").join(whole, "doc_id", "left")
     cid = F.coalesce("component", "doc_id")
