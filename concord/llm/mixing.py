@@ -33,7 +33,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import Scratch, refuse_clash
+from .scratch import Scratch, columns_of, refuse_clash
 from .text import words
 
 #: Rates of texts that may be broadcast, in bytes; beyond it they are joined by a shuffle.
@@ -292,4 +292,4 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, mix: Mix = Mix(), doc_id
     """Each document as many times as its rate says, with its own columns only."""
     names = [f"_{x}" for x in ADDED]
     out = _rated(docs, labelled, mix, doc_id, text, True, names).where(F.col(names[3]) > 0)
-    return out.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col(names[3]).cast("int")))).select(*docs.columns)
+    return out.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col(names[3]).cast("int")))).select(*columns_of(docs))

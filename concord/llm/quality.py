@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import refuse_clash
+from .scratch import columns_of, refuse_clash
 from .text import BLANKS, lines, words
 
 WINDOW = 5
@@ -147,7 +147,7 @@ def cascade(docs: DataFrame, rules: Sequence[Rule], text: str = "text", prefix:
     # A one-element explode: a filter on the verdict stays above it, where it reads one column. Below, the optimizer
     # would put the whole chain of features into the filter's condition, each as often as it is named.
     done = f.df.withColumn(_OWN + "kept", F.explode(F.array(by.isNull())))
-    return done.select(*docs.columns, *[F.col(_OWN + x).alias(prefix + x) for x in added])
+    return done.select(*columns_of(docs), *[F.col(_OWN + x).alias(prefix + x) for x in added])
 
 
 def plan_order(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 400, computed: Sequence[str] = ()) -> list[Rule]:
@@ -195,7 +195,7 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = DEFAULT, text: str =
     """The rows that base rules and ``rules`` all accept, with their own columns only."""
     order = plan_order(docs, [*BASE, *rules], text)
     mark = "_quality_out_"
-    return cascade(docs, order, text, mark).where(F.col(mark + "kept")).select(*docs.columns)
+    return cascade(docs, order, text, mark).where(F.col(mark + "kept")).select(*columns_of(docs))
 
 
 def quality_report(docs: DataFrame, rules: Sequence[Rule] = DEFAULT, text: str = "text", prefix: str = "") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..lineage import shared_dir
 
@@ -44,3 +44,8 @@ def refuse_clash(df: DataFrame, added: Iterable[str]) -> None:
     have = {c.lower() for c in df.columns}
     if clash := sorted(x for x in set(added) if x.lower() in have):
         raise ValueError(f"columns {', '.join(clash)} are there already; rename them, or name the outputs otherwise")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

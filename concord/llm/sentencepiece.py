@@ -324,9 +324,10 @@ def _with_columns(df: DataFrame, make, names: list[str], kinds: list) -> DataFra
         for b in batches:
             for i in range(0, b.num_rows, ROWS):
                 part = b.slice(i, ROWS)
-                yield pa.RecordBatch.from_arrays([*part.columns, *of(part)], names=[*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *of(part)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    # Arrow functions take columns by name, and not every name can be written as one.
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
 
 
 def encode_column(df: DataFrame, model: Model, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import Scratch, refuse_clash
+from .scratch import Scratch, columns_of, refuse_clash
 
 GRAM = 48
 PIECE = 1 << 22
@@ -372,4 +372,4 @@ def suffix_dedup(docs: DataFrame, text: str = "text", length: int = 400, names:
 
     kind = "n long, gone long, runs array<struct<a:long,b:long>>, sha string" + ", rest binary" * (kept is not None)
     done = joined.withColumn("_suffix_cut", F.pandas_udf(cut, kind)(text, "_suffix_spans"))
-    return done.select(*docs.columns, *[F.col(f"_suffix_cut.{x}").alias(name) for x, name in zip(("n", "gone", "runs", "sha", "rest"), added, strict=False)])
+    return done.select(*columns_of(docs), *[F.col(f"_suffix_cut.{x}").alias(name) for x, name in zip(("n", "gone", "runs", "sha", "rest"), added, strict=False)])

@@ -208,6 +208,13 @@ def test_quality_order_is_by_rejections_for_cost_and_repeats(spark):
     assert quality.plan_order(df.limit(0), quality.BASE) and quality.quality_report(docs_of(spark, ["word " * 200_000, None])).where("kept").count() == 0
 
 
+def test_columns_of_any_name_pass_through(spark):
+    df = docs_of(spark, ["one two three four", None]).withColumnRenamed("lang", "a.b").withColumnRenamed("source", "c d")
+    lab = spark.createDataFrame([(0, "clean")], "doc_id long, domain string")
+    for out in (quality.quality_rules(df), quality.quality_report(df), suffix.suffix_dedup(df), mixing.mix_documents(df, lab), mixing.mix_rates(df, lab), linededup.line_dedup(df), sp.encode_column(df, tiny_model())):
+        assert out.columns[:5] == df.columns and out.count() <= 2
+
+
 # ---- 4 chat
 
 
