@@ -8,7 +8,7 @@ from concord.llm.linededup import line_dedup
 from concord.llm.minhash import near_duplicates
 from concord.llm.mixing import label_domains, mix_documents
 from concord.llm.quality import quality_rules
-from concord.llm.scratch import Scratch
+from concord.llm.scratch import Scratch, columns_of
 from concord.llm.sentencepiece import Model, encode_column
 from concord.llm.text import BLANKS
 
@@ -30,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     left = F.length(F.trim(F.coalesce("text", F.lit("")), F.lit(BLANKS))) > 0
-    return out.where(left | ~F.col("_had")).select(*docs.columns)
+    return out.where(left | ~F.col("_had")).select(*columns_of(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lost = work.cut(near_duplicates(named, doc_id="_near_node").where(~F.col("kept")).select(F.col("doc_id").alias("_near_node")).distinct())
     kept = named.join(_small(lost), "_near_node", "left_anti")
     again = kept.where("_near_first is not null").dropDuplicates(["_near_node"])
-    return kept.where("_near_first is null").unionByName(again).select(*docs.columns)
+    return kept.where("_near_first is null").unionByName(again).select(*columns_of(docs))
 
 
 def _small(ids: DataFrame) -> DataFrame:
