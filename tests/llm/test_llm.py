@@ -387,9 +387,9 @@ def test_broken_and_deep_pages_take_linear_time(spark):
 
 
 def test_tags_are_those_of_a_plain_reader():
-    """Random markup against a quadratic reader of the same rules."""
-    tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-    open_tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+    """Random markup against a quadratic reader of the same rules: a name goes on to white space, / or >, quotes included."""
+    tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+    open_tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>")
 
     def plain(page):
         out, at, shown = [], 0, 0
