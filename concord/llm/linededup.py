@@ -193,7 +193,8 @@ def within_edits(a: Column, b: Column, k: int) -> Column:
 def _occurrences(docs: DataFrame, doc_id: str, text: str, near: Near) -> DataFrame:
     """(d, t, pos, h1, h2, line) of every line that takes part."""
     x = F.col(text)
-    rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(x).alias("t"), F.posexplode_outer(F.split(x, "\n")).alias("pos", "line"))
+    # The text's hash in a step of its own: beside the explode it would be computed anew for every line.
+    rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(x).alias("t"), x.alias("x")).select("d", "t", F.posexplode_outer(F.split("x", "\n")).alias("pos", "line"))
     line = F.col("line")
     worded = F.length(F.trim(line, F.lit(BLANKS))) > 0
     rows = rows.where((F.length(line) >= near.near_chars) | (F.length(line) >= near.min_chars) & worded)
