@@ -253,8 +253,9 @@ def posteriors(docs: DataFrame, model: Posterior, text: str = "text", work: Scra
     work = work or Scratch(docs.sparkSession, "posterior")
     x = F.col("x")
     src = docs.select(F.coalesce(F.col(text), F.lit("")).alias("x")).select(*_keys(x), words(x).alias("ws"), "x")
-    rows = src.select("t1", "t2", F.size("ws").cast("long").alias("tokens"), F.explode(F.array_append(tokens_of(x, F.col("ws")), F.lit(_EVERY))).alias("token"))
-    rows = rows.select("t1", "t2", "tokens", F.xxhash64("token").alias("token"))
+    # What a text has once is counted before the explode, not for every token.
+    src = src.select("t1", "t2", F.size("ws").cast("long").alias("tokens"), F.array_append(tokens_of(x, F.col("ws")), F.lit(_EVERY)).alias("own"))
+    rows = src.select("t1", "t2", "tokens", F.explode_outer("own").alias("token")).select("t1", "t2", "tokens", F.xxhash64("token").alias("token"))
     return _logs(rows, ["t1", "t2", "tokens"], [model], work).select("t1", "t2", "tokens", "copies", softmax(F.col("l0"), model.temperature).alias("p"))
 
 
