@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
+def _once(s: Column, f: Callable[[Column], Column]) -> Column:
+    """A function that names its argument several times, over a value computed once.
+
+    A Column is put in wherever it is named: n functions that each name their argument m times, one over the other, would
+    compute it m^n times. A lambda's variable holds the value instead.
+    """
+    return F.get(F.transform(F.array(s), f), F.lit(0))
+
+
 def _run(s: Column, start: int | None, length: int | None, f) -> Column:
     """Applies f to a run of code points; a negative start counts from the end, a negative length takes all."""
     if start is None:
@@ -157,24 +166,27 @@ def esc(s: Column, variant: str = "json") -> Column:
     for a, b in _ESCAPES[variant]:
         out = F.replace(out, F.lit(a), F.lit(b))
     if variant == "json":
-        # The other control characters are rare: only texts that have one go through them.
-        rest = [chr(c) for c in range(32) if chr(c) not in "\n\r\t\b\f"]
-        spelled = out
-        for c in rest:
-            spelled = F.replace(spelled, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
-        out = F.when(out.rlike("[\\x00-\\x07\\x0B\\x0E-\\x1F]"), spelled).otherwise(out)
+        return _once(out, _controls)
     return out
 
 
+def _controls(s: Column) -> Column:
+    """The other control characters are rare: only texts that have one go through them."""
+    spelled = s
+    for c in (chr(c) for c in range(32) if chr(c) not in "\n\r\t\b\f"):
+        spelled = F.replace(spelled, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return F.when(s.rlike("[\\x00-\\x07\\x0B\\x0E-\\x1F]"), spelled).otherwise(s)
+
+
 def usc(s: Column, variant: str = "json") -> Column:
     """The text that :func:`esc` came from; malformed input is refused, null stays null."""
-    return F.when(s.isNotNull(), _unescaped(s, variant))
+    return _once(s, lambda x: F.when(x.isNotNull(), _unescaped(x, variant)))
 
 
 def _unescaped(s: Column, variant: str) -> Column:
     if variant == "sql":
-        odd = F.length(F.regexp_replace(s, "''", "")) - F.length(F.regexp_replace(F.regexp_replace(s, "''", ""), "'", ""))
-        return F.when(odd == 0, F.replace(s, F.lit("''"), F.lit("'"))).otherwise(F.raise_error(F.lit("usc_malformed")))
+        odd = F.replace(s, F.lit("''"), F.lit("")).contains("'")
+        return F.when(~odd, F.replace(s, F.lit("''"), F.lit("'"))).otherwise(F.raise_error(F.lit("usc_malformed")))
     if variant == "uri":
         return F.url_decode(F.replace(s, F.lit("+"), F.lit("%2B")))
     if variant == "shell":

@@ -76,6 +76,19 @@ def test_escapes_round_trip_and_refuse(spark):
         text.rep(F.lit("a"), "(?=a)", "")
 
 
+def test_escapes_over_escapes_compute_their_argument_once(spark):
+    c = F.col("argument")
+    for v in ("json", "xml", "sql", "uri", "shell"):
+        c = text.usc(text.esc(c, v), v)
+    assert str(c).count("argument") == 1
+    rows = ["", "'", "''", "a'''b\"", "\\", "\\n&amp;%20+", "".join(map(chr, range(32))), "é\u2028😀", None]
+    df = spark.createDataFrame([(x,) for x in rows], "argument string")
+    assert [r[0] for r in df.select(c).collect()] == rows
+    for bad in ("'", "a'''b"):
+        with pytest.raises(Exception, match="usc_malformed"):
+            one(spark, text.usc(F.lit(bad), "sql"))
+
+
 def test_predicates_agree_with_the_driver(spark):
     rows = [(1, 1.0, "a", [1, 2], {"a": 1}), (10, 2.5, "", [1, 1], {}), (-3, 0.3, "mm", [], {"a": 5, "b": 9}), (None, None, None, None, None)]
     df = spark.createDataFrame(rows, "i long, f double, s string, l array<long>, m map<string,long>")
