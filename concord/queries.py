@@ -734,7 +734,9 @@ def path_meet(spark: SparkSession, d: str) -> DataFrame:
 def emit_children(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))).alias("items"))
     head = lambda x: F.concat(F.lit("part "), x["l_partkey"].cast("string"))
-    return co.emit_children(rows, F.col("items"), (lambda x: x["l_returnflag"] == "R", lambda x: [head(x), F.lit("  returned")]), (lambda x: F.lit(True), lambda x: [head(x)]), order=["l_orderkey"])
+    # By number and part, what is missing last, and only then by line: several rows of an order may have both in common.
+    key = lambda x: F.struct(*[c for n in ("l_linenumber", "l_partkey") for c in (x[n].isNull(), x[n])])
+    return co.emit_children(rows, F.col("items"), (lambda x: x["l_returnflag"] == "R", lambda x: [head(x), F.lit("  returned")]), (lambda x: F.lit(True), lambda x: [head(x)]), order=["l_orderkey"], key=key)
 
 
 # ---- sources

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from concord import queries
 from concord.functions import arith, components as cmp, text
 from concord.operators import collections as co, graph, merge, verbs, vet
 from concord.plans import ANY, Schema, enum, fmt, kind, max_, min_
@@ -228,3 +229,19 @@ def test_emission_into_lists(spark):
     df = spark.createDataFrame([(1, [1, 2, 3]), (2, [])], "id int, x array<int>")
     got = co.emit_children(df, F.col("x"), (lambda x: x == 2, lambda x: [F.lit("two"), F.lit("2")]), (lambda x: F.lit(True), lambda x: [x]), order=["id"]).collect()
     assert [tuple(r) for r in got] == [(1, 0, "1"), (1, 1, "two"), (1, 2, "2"), (1, 3, "3")]
+
+
+def test_members_of_one_key_are_emitted_abreast(spark, tmp_path):
+    df = spark.createDataFrame([(1, [(2, "a"), (1, "b"), (1, "c")]), (2, []), (3, None)], "id int, x array<struct<k:int,v:string>>")
+    rule = (lambda x: F.lit(True), lambda x: [x["v"], F.upper(x["v"])])
+    assert [r["line"] for r in co.emit_children(df, F.col("x"), rule).collect()] == ["a", "A", "b", "B", "c", "C"]
+    assert [tuple(r) for r in co.emit_children(df, F.col("x"), rule, key=lambda x: x["k"]).collect()] == [(i, x) for i, x in enumerate(["b", "c", "B", "C", "a", "A"])]
+
+    import duckdb
+
+    rows = [(1, 1, 7, "R"), (1, 1, 7, "R"), (1, 1, 7, "A"), (1, 1, 8, None), (1, None, 9, "R"), (1, 2, None, "N"), (None, 1, 7, "R"), (2, 1, 1, "N")]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    got = [tuple(r) for r in queries.QUERIES["emit_children"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(con.execute(queries.ORACLE["emit_children"]).fetchall(), key=str) and len(got) == 12
