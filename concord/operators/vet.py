@@ -63,9 +63,10 @@ def report(
     mild = mild | (F.col("class") == "incomplete") if partial else mild
     escaped = lambda c: F.replace(F.replace(c.cast("string"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
     pointer = F.concat(*[x for i in ids for x in (F.lit("/"), escaped(F.col(i)))], F.lit("/"), escaped(F.col("path")))
-    told = found.withColumn("pointer", pointer).withColumn("severity", F.when(mild, "warning").otherwise("error"))
-    told = told.select(*ids, "pointer", "path", "code", "class", "severity", "expected", "actual")
-    return told.withColumn("more", F.lit(0).cast("long")) if max_errors is None else capped(told, max_errors, [*ids, "code"], by=["path"])
+    # What a reader sees is made of the rows that are left.
+    told = found.withColumn("more", F.lit(0).cast("long")) if max_errors is None else capped(found, max_errors, [*ids, "code"], by=["path"])
+    told = told.withColumn("pointer", pointer).withColumn("severity", F.when(mild, "warning").otherwise("error"))
+    return told.select(*ids, "pointer", "path", "code", "class", "severity", "expected", "actual", "more")
 
 
 def unique_findings(df: DataFrame, keys: Sequence[str]) -> DataFrame:

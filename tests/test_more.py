@@ -245,3 +245,16 @@ def test_members_of_one_key_are_emitted_abreast(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
     got = [tuple(r) for r in queries.QUERIES["emit_children"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(con.execute(queries.ORACLE["emit_children"]).fetchall(), key=str) and len(got) == 12
+
+
+def test_capped_brings_no_whole_group_to_one_task(spark):
+    rows = [(g, i * 37 % 1500) for g in ("a", "b", None) for i in range(1500)] + [("c", 1)]
+    df = spark.createDataFrame(rows, "g string, i int").repartition(5)
+    for most in (0, 1, 3, 1200):
+        for by in (["g"], []):
+            groups = [[r for r in rows if r[0] == g] for g in ("a", "b", "c", None)] if by else [rows]
+            want = [(*r, max(len(x) - most, 0)) for x in groups for r in sorted(x, key=lambda r: (r[1], r[0] or ""))[:most]]
+            assert sorted(map(tuple, co.capped(df, most, ["i", "g"], by).collect()), key=str) == sorted(want, key=str), (most, by)
+    # A count over a window holds its whole group; a rank alone is cut before rows are dealt.
+    plan = co.capped(df, 3, ["i"], ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "count(1) windowspec" not in plan
