@@ -332,7 +332,8 @@ def parse_grammar(spark: SparkSession, d: str) -> DataFrame:
     name = 'name = %s"Customer#" digits\ndigits = 1*d\nd = %x30-39\n'
     five = 'name = %s"Customer#" *d %x35\nd = %x30-39\n'
     tree = grammar.parse(name, F.col("c_name"))
-    return table(spark, d, "customer").select("c_custkey", F.variant_get(tree, "$.kids[0].src", "string").alias("digits"), grammar.parses(five, F.col("c_name")).alias("five"))
+    rows = grammar.spread(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", "c_name")
+    return rows.select("c_custkey", F.variant_get(tree, "$.kids[0].src", "string").alias("digits"), grammar.parses(five, F.col("c_name")).alias("five"))
 
 
 @query("SELECT n_nationkey AS key, CASE WHEN n_nationkey % 5 = 3 THEN 'x' WHEN n_nationkey % 5 IN (1, 2) THEN 'seen' END AS mark, n_nationkey % 5 = 2 AS clash FROM nation WHERE n_nationkey % 5 <> 2 UNION ALL SELECT n_nationkey, NULL, true FROM nation WHERE n_nationkey % 5 = 2")

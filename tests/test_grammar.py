@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from concord import queries
 from concord.functions import components as cmp, grammar
 
 SPAN = 'span = hour ":" hour\nhour = 1*2digits\ndigits = %x30-39\n'
@@ -105,3 +106,19 @@ def test_components():
     for bad in (lambda: cmp.folder("a", ["text"]), lambda: cmp.file({"nope": 1}), lambda: cmp.node("Line", "x", ["y"]), lambda: cmp.folder("a", [cmp.line("x")])):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_characters_of_wide_and_empty_ranges_and_trees_as_json():
+    g = grammar.Grammar("t = *( wide / odd / DIGIT )\nwide = %x3A-10FFFF\nodd = %x20-22 / back\nback = %x0-1F\nnone = %x110000-110001\n")
+    text = "a\"7 \\\n\x01 é😀"
+    tree = g.parse(text)
+    assert [(k["rule"], k["src"]) for k in tree["kids"]] == [("odd" if x in '" \n\x01' else "wide", x) for x in text if x != "7"] and json.loads(grammar.tree_json(tree)) == tree
+    assert not g.admits("#") and not grammar.Grammar("t = none\nnone = %x110000-110001\n").admits("x") and not grammar.Grammar("t = %x39-30\n").admits("5")
+
+
+def test_few_large_files_are_parsed_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"Customer#{i:09d}") for i in range(1, 201)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = queries.QUERIES["parse_grammar"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["c_custkey"], r["digits"], r["five"]) for r in got) == [(i, x[9:], x.endswith("5")) for i, x in rows]
+    assert len({r["task"] for r in got}) > 4
